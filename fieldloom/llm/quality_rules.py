@@ -31,7 +31,7 @@ MAX_REPEATED_PERCENT = 30
 SCALE = 1024
 FEATURES = ("f_length", "f_symbols", "f_lines", "f_repeats", "f_upper")
 #: Standard deviations, in feature units, that an estimate has at least: less than this is no oddity in any text.
-FLOORS = (0.08, 0.05, 0.05, 0.05, 0.04)
+FLOORS = (0.08, 0.05, 0.08, 0.08, 0.04)
 #: The share of a group that an estimate is made from, and the steps to it.
 COVERAGE, STEPS = 0.75, 4
 #: Groups with fewer rows are pooled: by language, then all together; a pool that is still smaller rejects nothing.
