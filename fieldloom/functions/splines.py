@@ -58,19 +58,15 @@ def weight(d: Column, order: int | Spline) -> Column:
     return F.lit(1.0) if order == 0 else _piecewise(F.abs(d), int(order), 0)
 
 
-def gradient(d: Column, order: int | Spline) -> Column:
-    """Its first derivative; at distance 0 the one from the right."""
-    order = spline_of(order)
+def at_tap(d: Column, order: int | Spline, tap: int, derivative: int = 0) -> Column:
+    """The spline (or a derivative) at the distance ``d`` of the ``tap``-th of order + 1 taps: which polynomial holds there is known beforehand."""
+    order = int(spline_of(order))
     if order == 0:
-        return F.lit(0.0)
-    slope = _piecewise(F.abs(d), int(order), 1)
-    return F.when(d < 0, -slope).otherwise(slope)
-
-
-def hessian(d: Column, order: int | Spline) -> Column:
-    """Its second derivative."""
-    order = spline_of(order)
-    return F.lit(0.0) if order < 2 else _piecewise(F.abs(d), int(order), 2)
+        return F.lit(1.0 if derivative == 0 else 0.0)
+    middle = (order - 1) / 2 - tap + 0.5
+    coefficients = next(c for end, c in pieces(order, derivative) if abs(middle) < end)
+    inner = _horner(-d if middle < 0 else d, coefficients)
+    return -inner if middle < 0 and derivative == 1 else inner
 
 
 def value(d: Column, order: int | Spline) -> Column:

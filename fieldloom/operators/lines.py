@@ -45,9 +45,11 @@ def _by_line(field: Field, axis: str, run: Callable[[np.ndarray], np.ndarray]) -
     packed = packed.select(*rest, *[F.col("_v")[c].alias(c) for c in field.channels]).where(F.size(field.channels[0]) > 0)
     schema = T.StructType([*packed.select(*rest).schema.fields, *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in field.channels]])
 
+    channels = field.channels
+
     def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for c in field.channels:
+            for c in channels:
                 if len(f):
                     f[c] = list(run(np.array(f[c].tolist(), np.float64)))
             yield f

@@ -47,24 +47,24 @@ def _check(points: Points, batch: Sequence[str], ndim: int) -> None:
         raise ValueError(f"points have {len(points.loc)} coordinates for {ndim} axes")
 
 
-def _axis_taps(x: Column, n: int, order: Spline, bound: Bound, resize: bool) -> Column:
-    """An array of (index, weight, gradient, second derivative), signs of the boundary included; null where the sign is 0."""
+def _axis_taps(x: Column, n: int, order: Spline, bound: Bound, resize: bool, kinds: str) -> Column:
+    """An array of (index, and as asked for weight, gradient, second derivative), signs of the boundary included; null where the sign is 0."""
     low, out = splines.first_tap(x, order, resize), []
     for t in range(int(order) + 1):
         at = low + t
         i, s = bounds.index_and_sign(at, n, bound)
         d = x - at
-        out.append(F.when(s != 0, F.struct(i.cast("int").alias("i"), (s * splines.weight(d, order)).alias("w"), (s * splines.gradient(d, order)).alias("g"), (s * splines.hessian(d, order)).alias("h"))))
-    return F.array_compact(F.array(*out))
+        out.append(F.when(s != 0, F.struct(i.cast("int").alias("i"), *[(s * splines.at_tap(d, order, t, k)).alias("wgh"[k]) for k in range(len(kinds))])))
+    return F.array(*out)
 
 
-def taps(df: DataFrame, loc: Sequence[str | Column], axes: Mapping[str, int], order: Spline, bound: Bound, extrapolate: int = 1, resize: bool = False) -> DataFrame:
-    """``df`` exploded over taps: for each axis ``_i_<axis>`` and ``_w_``, ``_g_``, ``_h_`` of it."""
+def taps(df: DataFrame, loc: Sequence[str | Column], axes: Mapping[str, int], order: Spline, bound: Bound, extrapolate: int = 1, resize: bool = False, kinds: str = "w") -> DataFrame:
+    """``df`` exploded over taps: for each axis ``_i_<axis>`` and, of "wgh" as many as asked for, ``_w_``, ``_g_``, ``_h_`` of it."""
     columns = [F.col(c).cast("double") if isinstance(c, str) else c for c in loc]
     out = df.where(fov.in_view(columns, axes, extrapolate))
     for x, (axis, n) in zip(columns, axes.items()):
-        out = out.withColumn("_t", F.explode(_axis_taps(x, n, order, bound, resize)))
-        out = out.withColumns({f"_{k}_{axis}": F.col(f"_t.{k}") for k in "iwgh"}).drop("_t")
+        out = out.withColumn("_t", F.explode(_axis_taps(x, n, order, bound, resize, kinds))).where(F.col("_t").isNotNull())
+        out = out.withColumns({f"_{k}_{axis}": F.col(f"_t.{k}") for k in "i" + kinds}).drop("_t")
     return out
 
 
@@ -80,9 +80,9 @@ def _order(order, bound) -> tuple[Spline, Bound]:
     return spline_of(order), bound_of(bound)
 
 
-def _gathered(field: Field, points: Points, order: Spline, bound: Bound, extrapolate: int, sums: Mapping[str, tuple[Column, str]], carry: Sequence[str] = ()) -> DataFrame:
+def _gathered(field: Field, points: Points, order: Spline, bound: Bound, extrapolate: int, sums: Mapping[str, tuple[Column, str]], carry: Sequence[str] = (), kinds: str = "w") -> DataFrame:
     """For each point the sums of (weight x channel), 0 out of view; ``carry`` columns of the points come along."""
-    tapped = taps(points.df.select(*points.keys, *points.loc, *carry), points.loc, field.axes, order, bound, extrapolate)
+    tapped = taps(points.df.select(*points.keys, *points.loc, *carry), points.loc, field.axes, order, bound, extrapolate, kinds=kinds)
     voxels = field.df.select(*field.batch, *[F.col(a).cast("int").alias(f"_i_{a}") for a in field.axes], *[F.col(c).cast("double").alias(f"_f_{c}") for c in field.channels])
     joined = tapped.join(voxels, [*field.batch, *[f"_i_{a}" for a in field.axes]])
     rows = joined.select(*points.keys, *carry, *[(w * F.col(f"_f_{c}")).alias(name) for name, (w, c) in sums.items()])
@@ -117,7 +117,7 @@ def grad(field: Field, points: Points, order: int | str = 2, bound: int | str =
             out = c if out is None else out * c
         return out
 
-    return _gathered(field, points, order, bound, extrapolate, {f"{c}_{a}": (along(a), c) for c in field.channels for a in axes})
+    return _gathered(field, points, order, bound, extrapolate, {f"{c}_{a}": (along(a), c) for c in field.channels for a in axes}, kinds="wg")
 
 
 def hess(field: Field, points: Points, order: int | str = 2, bound: int | str = "dct2", extrapolate: int = 1) -> DataFrame:
@@ -127,7 +127,7 @@ def hess(field: Field, points: Points, order: int | str = 2, bound: int | str =
     axes = list(field.axes)
     pairs = [(a, a) for a in axes] + list(itertools.combinations(axes, 2))
     kinds = lambda a, b: {a: "h"} if a == b else {a: "g", b: "g"}
-    return _gathered(field, points, order, bound, extrapolate, {f"{c}_{a}{b}": (_product(axes, kinds(a, b)), c) for c in field.channels for a, b in pairs})
+    return _gathered(field, points, order, bound, extrapolate, {f"{c}_{a}{b}": (_product(axes, kinds(a, b)), c) for c in field.channels for a, b in pairs}, kinds="wgh")
 
 
 def _scattered(tapped: DataFrame, batch: Sequence[str], axes: Mapping[str, int], sums: Mapping[str, Column], batches: DataFrame | None) -> DataFrame:
@@ -172,7 +172,7 @@ def _contracted(field: Field, points: Points, values: Sequence[str], order: Spli
     for c, v in zip(field.channels, values):
         for a in axes:
             terms[f"_{c}_{a}"] = (_product(axes, {a: "g"}) * F.col(v).cast("double"), c)
-    sums = _gathered(field, points, order, bound, extrapolate, terms, carry=[v for v in values])
+    sums = _gathered(field, points, order, bound, extrapolate, terms, carry=[v for v in values], kinds="wg")
     total = lambda a: sum((F.col(f"_{c}_{a}") for c in field.channels[1:]), F.col(f"_{field.channels[0]}_{a}"))
     return sums.select(*points.keys, *[total(a).alias(l) for a, l in zip(axes, points.loc)])
 
@@ -209,14 +209,14 @@ def grad_backward(field: Field, points: Points, gradient: Mapping[tuple[str, str
     axes = list(field.axes)
     if set(gradient) != {(c, a) for c in field.channels for a in axes}:
         raise ValueError("one gradient for each channel and axis")
-    tapped = taps(points.df, points.loc, field.axes, order_, bound_, extrapolate)
+    tapped = taps(points.df, points.loc, field.axes, order_, bound_, extrapolate, kinds="wg")
     value = lambda c, a: F.col(gradient[c, a]).cast("double")
     total = lambda xs: sum(xs[1:], xs[0])
     spread = {c: total([_product(axes, {a: "g"}) * value(c, a) for a in axes]) for c in field.channels}
     to_field = Field(_scattered(tapped, points.batch, field.axes, spread, _batches(points.df, points.batch)), field.axes, field.channels, field.batch)
     second = lambda a, b: _product(axes, {a: "h"} if a == b else {a: "g", b: "g"})
     terms = {f"_{c}_{b}": (total([second(a, b) * value(c, a) for a in axes]), c) for c in field.channels for b in axes}
-    sums = _gathered(field, points, order_, bound_, extrapolate, terms, carry=sorted(set(gradient.values())))
+    sums = _gathered(field, points, order_, bound_, extrapolate, terms, carry=sorted(set(gradient.values())), kinds="wgh")
     to_grid = sums.select(*points.keys, *[total([F.col(f"_{c}_{b}") for c in field.channels]).alias(l) for b, l in zip(axes, points.loc)])
     return accumulated(to_field, into), to_grid
 
@@ -276,7 +276,7 @@ def restriction(field: Field, axes: Mapping[str, int], order: int | str = 2, bou
         x = F.lit(f) * (F.col("_at") + F.lit(shift)) - F.lit(shift)
         low, high = F.greatest(F.lit(0), F.ceil(x - reach)), F.least(F.lit(field.axes[axis] - 1), F.floor(x + reach))
         listed = coarse.select(i.alias("_new"), s.alias("_s"), x.alias("_x"), low.alias("_low"), high.alias("_high")).where("_s <> 0 and _low <= _high")
-        entries = listed.select("_new", "_s", "_x", F.explode(F.sequence("_low", "_high")).cast("int").alias(axis))
+        entries = listed.select("_new", "_s", "_x", F.explode(F.sequence(F.col("_low").cast("int"), F.col("_high").cast("int"))).alias(axis))
         entries = entries.select("_new", axis, (F.col("_s") * splines.value((F.col("_x") - F.col(axis)) / F.lit(f), order)).alias("_w"))
         now = _mapped(now, axis, n, entries)
     return accumulated(now, into)

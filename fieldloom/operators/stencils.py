@@ -131,7 +131,7 @@ def _sent(df: DataFrame, batch: Sequence[str], axes: Mapping[str, int], parcels:
     for k, (condition, places, values) in enumerate(parcels):
         box = F.struct(*[p.cast("int").alias(a) for a, p in zip(axes, places)], *[values.get(n, null).cast("double").alias(n) for n in names], F.lit(k == 0).alias("_own"))
         boxes.append(box if condition is None else F.when(condition, box))
-    rows = df.select(*batch, F.explode(F.array_compact(F.array(*boxes))).alias("_p")).select(*batch, "_p.*")
+    rows = df.select(*batch, F.explode(F.array(*boxes)).alias("_p")).where(F.col("_p").isNotNull()).select(*batch, "_p.*")
     if only is not None:
         rows = rows.where(F.col("_own") | only)
     return rows.groupBy(*batch, *axes).agg(*[F.sum(n).alias(n) for n in names])
