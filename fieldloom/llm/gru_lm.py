@@ -33,9 +33,11 @@ TABLE_WORDS = 1 << 18
 CLASSES, CLASS_WORDS = 16, 32
 STATE, STREAMS, WINDOW = 12, 512, 32
 #: Words that a task gathers before it trains on or scores them.
-BUFFER_WORDS = 4_000_000
-#: Words of the pilot sample, about.
-PILOT_WORDS = 1_000_000
+BUFFER_WORDS = 3_000_000
+#: Words of the pilot sample, about; a smaller sample is gone through again, up to so many times.
+PILOT_WORDS, PILOT_ROUNDS = 1_000_000, 8
+#: Steps that a buffer is divided into at least, by taking fewer streams.
+MIN_STEPS = 128
 PILOT_RATE, RATE = 1e-2, 4e-3
 SEED = 5
 _BINS_PER_OCTAVE = 32
@@ -274,25 +276,32 @@ def streams_of(sizes: np.ndarray, most: int = STREAMS) -> tuple[np.ndarray, np.n
     return new[stream], offset, lengths[rank]
 
 
-def _windows(model: Gru, words: np.ndarray, sizes: np.ndarray, window: int = WINDOW) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(columns, inputs, keeps, targets, places) of each window; every token is a target once.  Only streams that still have tokens take part."""
-    stream, offset, lengths = streams_of(sizes)
+def _windows(model: Gru, words: np.ndarray, sizes: np.ndarray, window: int = WINDOW, places: bool = False, most: int = STREAMS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(inputs, keeps, targets, places of the targets if asked for) of each window; every token is a target once.  Only streams that still have tokens take part."""
+    stream, offset, lengths = streams_of(sizes, most)
     starts = np.cumsum(sizes) - sizes
-    target = np.zeros((int(lengths[0]), len(lengths)), np.int32)
-    place = np.zeros(target.shape, np.int64)
-    token_stream, token_at = np.repeat(stream, sizes), np.repeat(offset - starts, sizes) + np.arange(len(words))
-    target[token_at, token_stream], place[token_at, token_stream] = words, np.arange(len(words))
-    keep = np.ones(target.shape, np.float32)
-    keep[offset, stream] = 0
-    given = np.full(target.shape, model.words + 1, np.int32)
-    given[1:] = target[:-1]
-    given[keep == 0] = model.words + 1
+    width = len(lengths)
+    flat = np.repeat((offset - starts) * width + stream, sizes)
+    flat += np.arange(len(words)) * width
+    target = np.zeros((int(lengths[0]), width), np.uint16)
+    target.ravel()[flat] = words
+    place = None
+    if places:
+        place = np.zeros(target.shape, np.int32)
+        place.ravel()[flat] = np.arange(len(words), dtype=np.int32)
+    del flat
+    begins = np.zeros(target.shape, bool)
+    begins[offset, stream] = True
     cuts = sorted({0, *lengths.tolist()})
     for a, b in zip(cuts, cuts[1:]):
-        width = int(np.searchsorted(-lengths, -a, side="left"))
+        active = int(np.searchsorted(-lengths, -a, side="left"))
         for t in range(a, b, window):
             e = min(t + window, b)
-            yield slice(t, e), given[t:e, :width], keep[t:e, :width], target[t:e, :width], place[t:e, :width]
+            given = np.empty((e - t, active), np.int32)
+            given[1:] = target[t : e - 1, :active]
+            given[0] = target[t - 1, :active] if t else 0
+            given[begins[t:e, :active]] = model.words + 1
+            yield given, 1 - begins[t:e, :active].astype(np.float32), target[t:e, :active].astype(np.int32), place[t:e, :active] if places else None
 
 
 def log_probabilities(model: Gru, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -301,7 +310,7 @@ def log_probabilities(model: Gru, words: np.ndarray, sizes: np.ndarray) -> np.nd
     if not len(words):
         return out
     h = np.zeros((STREAMS, model.state), np.float32)
-    for _, given, keep, target, place in _windows(model, words, sizes, 32):
+    for given, keep, target, place in _windows(model, words, sizes, places=True):
         states, _ = model.run(given, keep, h)
         out[place.ravel()] = model.outputs(states.reshape(-1, model.state), target.ravel())[0]
     return out
@@ -319,7 +328,8 @@ class Trainer:
         if not len(words):
             return
         model, h = self.model, np.zeros((STREAMS, self.model.state), np.float32)
-        for _, given, keep, target, _ in _windows(model, words, sizes):
+        most = min(STREAMS, max(8, len(words) // (WINDOW * MIN_STEPS)))
+        for given, keep, target, _ in _windows(model, words, sizes, most=most):
             states, saved = model.run(given, keep, h, save=True)
             grads = {k: np.zeros_like(v) for k, v in model.w.items()}
             _, back = model.outputs(states.reshape(-1, model.state), target.ravel(), grads)
@@ -328,7 +338,7 @@ class Trainer:
 
     def _update(self, grads: dict[str, np.ndarray], n: int) -> None:
         self.step += 1
-        size = np.float32(self.rate * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step) * min(1.0, n / (STREAMS * WINDOW)))
+        size = np.float32(self.rate * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step) * min(1.0, n / (8 * WINDOW)))
         for k, g in grads.items():
             g /= np.float32(n)
             m, v = self.m[k], self.v[k]
@@ -360,38 +370,35 @@ def from_bytes(model: Gru, data: bytes) -> Gru:
 
 def word_numbers(places: np.ndarray, words: int) -> np.ndarray:
     """Table places as word numbers: the table's first words, in classes of like frequency; all others have the number after."""
-    return np.where((places >= 0) & (places < words), places, words).astype(np.int32)
+    return np.where((places >= 0) & (places < words), places, words).astype(np.uint16)
 
 
-def _buffers(batches: Iterator[pa.RecordBatch], slots, words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]]:
-    """(hashes, places, word numbers, sizes, batches) of about BUFFER_WORDS tokens at a time."""
+def _buffers(batches: Iterator[pa.RecordBatch], slots, words: int, each=None) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """(word numbers, sizes, what ``each`` made of the pieces) of about BUFFER_WORDS tokens at a time; two bytes a token are held."""
     held, tokens = [], 0
     for whole in batches:
         for batch in pieces(whole, "text"):
             hashes, n = token_hashes(*text_values(batch.column(batch.schema.get_field_index("text"))))
-            held.append((hashes, find_places(slots, hashes), n, batch.drop_columns(["text"])))
+            places = find_places(slots, hashes)
+            held.append((word_numbers(places, words), n, each(batch, hashes, places, n) if each else None))
             tokens += len(hashes)
             if tokens >= BUFFER_WORDS:
-                yield _joined(held, words)
+                yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [h[2] for h in held]
                 held, tokens = [], 0
     if held:
-        yield _joined(held, words)
+        yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [h[2] for h in held]
 
 
-def _joined(held: list, words: int):
-    hashes, places, n = (np.concatenate([h[i] for h in held]) for i in range(3))
-    return hashes, places, word_numbers(places, words), n, [h[3] for h in held]
-
-
-def _trained(docs: DataFrame, shared, rate: float) -> DataFrame:
-    """One row for each task that has documents: its words and its weights."""
+def _trained(docs: DataFrame, shared, rate: float, words_wanted: int = 0) -> DataFrame:
+    """One row for each task that has documents: its words and its weights; ``words_wanted`` has small tables gone through more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, plain, data = shared.value
         slots, model = table.slots(), from_bytes(plain, data)
         trainer, seen = Trainer(model, rate), 0
-        for _, _, words, sizes, _ in _buffers(batches, slots, model.words):
-            trainer.learn(words, sizes)
+        for words, sizes, _ in _buffers(batches, slots, model.words):
+            for _ in range(max(1, min(PILOT_ROUNDS, words_wanted // len(words)))):
+                trainer.learn(words, sizes)
             seen += len(words)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([to_bytes(model)], pa.binary())], ["n", "weights"])
@@ -430,7 +437,7 @@ def fit(training: DataFrame, table: WordTable) -> Gru:
     plain = Gru(model.classes, model.class_words, model.state)
     share = max(1, table.total // PILOT_WORDS)
     pilot = training.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).repartition(1)
-    first = _trained(pilot, spark.sparkContext.broadcast((table, plain, to_bytes(model))), PILOT_RATE).first()
+    first = _trained(pilot, spark.sparkContext.broadcast((table, plain, to_bytes(model))), PILOT_RATE, PILOT_WORDS).first()
     if first is not None:
         model = from_bytes(plain, first.weights)
     data = _average(_trained(training, spark.sparkContext.broadcast((table, plain, to_bytes(model))), RATE))
@@ -455,18 +462,28 @@ def _scored(docs: DataFrame, shared) -> DataFrame:
         top = table.counts[: model.words]
         rest = np.log10(table.total - top.sum() + 0.1 * (table.distinct - len(top) + 1))
         row = TaskContext.get().partitionId() << 40
-        for hashes, places, words, sizes, parts in _buffers(batches, slots, model.words):
+
+        def told(batch: pa.RecordBatch, hashes: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+            """All but the recurrent model's part of the score."""
             edges = np.concatenate([[0], np.cumsum(sizes)])
             summed = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])[edges])
             found = places >= 0
             own = np.where(found, share[np.maximum(places, 0)] if len(share) else 0.0, 0.0)
-            score = log_probabilities(model, words, sizes) / np.log(10) + np.where(words == model.words, own - rest, 0.0)
+            part = summed(np.where((places < 0) | (places >= model.words), own - rest, 0.0))
             rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(summed(~found))]), pa.int32()), pa.array(hashes[~found].view(np.int64)))
-            ids = pa.concat_arrays([p.column(p.schema.get_field_index("doc_id")) for p in parts])
-            held = pa.concat_arrays([p.column(p.schema.get_field_index("held_out")) for p in parts])
-            n = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n), pa.int64()), ids, held, pa.array(sizes, pa.int64()), pa.array(summed(found).astype(np.int64)), pa.array(summed(own - whole)), pa.array(summed(score)), rare], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
-            row += n
+            at = batch.schema.get_field_index
+            columns = [batch.column(at("doc_id")), batch.column(at("held_out")), pa.array(sizes, pa.int64()), pa.array(summed(found).astype(np.int64)), pa.array(summed(own - whole)), pa.array(part), rare]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+
+        for words, sizes, parts in _buffers(batches, slots, model.words, told):
+            edges = np.concatenate([[0], np.cumsum(sizes)])
+            learned = np.diff(np.concatenate([[0.0], np.cumsum(log_probabilities(model, words, sizes))])[edges]) / np.log(10)
+            at = 0
+            for part in parts:
+                n = part.num_rows
+                score = pa.array(part.column(5).to_numpy() + learned[at : at + n])
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n), pa.int64()), *part.columns[:5], score, part.column(6)], ["row", *part.schema.names])
+                at, row = at + n, row + n
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, _SCORED)
 

@@ -552,7 +552,8 @@ def test_rans_round_trip_and_checkpoints(n):
     if n > 100_000:
         assert np.array_equal(coder.decode(frame, 3, 5), ids[3 * 16 * 128 : 5 * 16 * 128])
         entropy = -sum(c / n * math.log2(c / n) for c in np.bincount(ids) if c)
-        assert len(frame) * 8 / n < entropy + 1.2
+        states = -(-n // (16 * 128)) * (8 + 8 * 128)
+        assert len(frame) < 1.02 * n * entropy / 8 + states + 1000
     damaged = bytearray(frame)
     damaged[-1] ^= 1
     with pytest.raises(ValueError):
