@@ -29,8 +29,8 @@ from fieldloom.llm.wordcache import WordCache
 MAGIC = b"RLB1"
 #: States are in [2**31, 2**63); words of 32 bits; frequencies add up to 2**SCALE_BITS.
 SCALE_BITS = 20
-LANES = 8192
-CHECKPOINT_ROUNDS = 32
+LANES = 4096
+CHECKPOINT_ROUNDS = 128
 #: A block is closed when it has so many ids; a document isn't divided.
 BLOCK_IDS = 1 << 20
 END_ID = 2
