@@ -8,6 +8,7 @@ neighbours.
 
 from __future__ import annotations
 
+import bisect
 import html as html_module
 import re
 from collections.abc import Iterator
@@ -197,24 +198,21 @@ def classify(blocks: list[Block]) -> None:
             b.label = "text" if len(b.text) >= LONG else "near"
         else:
             b.label = "boilerplate" if b.stop_density == 0 and b.link_density > 0 else "open"
-    decided = [b.label if b.label in ("text", "boilerplate") else "" for b in blocks]
-    before, last = [], ""
-    for d in decided:
-        last = d or last
-        before.append(last)
-    after, last = [], ""
-    for d in reversed(decided):
-        last = d or last
-        after.append(last)
-    after.reverse()
-    for b, left, right in zip(blocks, before, after):
-        if b.label == "near":  # nearly text: one neighbour of text is enough, or none decided
-            b.label = "text" if "text" in (left, right) or not (left or right) else "boilerplate"
-        elif b.label == "open":
-            if b.heading and right == "text":
-                b.label = "text"
-            else:
-                b.label = "text" if left == right == "text" or {left, right} == {"text", ""} or not (left or right) else "boilerplate"
+    # parts that the page itself marks as boilerplate say nothing of the blocks beside them
+    decided = [(i, b.label) for i, b in enumerate(blocks) if b.label in ("text", "boilerplate") and not b.boilerplate]
+    places = [i for i, _ in decided]
+    for i, b in enumerate(blocks):
+        if b.label not in ("open", "near"):
+            continue
+        k = bisect.bisect(places, i)
+        left, right = decided[k - 1] if k else None, decided[k] if k < len(decided) else None
+        around = {x[1] for x in (left, right) if x}
+        if not around or b.label == "near" and "text" in around or b.heading and right and right[1] == "text":
+            b.label = "text"
+        elif len(around) == 1:
+            b.label = around.pop()
+        else:  # the nearer one; of two as near the one before
+            b.label = left[1] if i - left[0] <= right[0] - i else right[1]
 
 
 def main_text(page: str | None) -> str:
