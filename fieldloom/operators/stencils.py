@@ -13,6 +13,7 @@ the rest is arithmetic on rows.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -105,36 +106,62 @@ def _reads(n: int, o: int, bound: Bound) -> list[tuple[int, int, int]]:
     return out
 
 
-def _readers(axes: Mapping[str, int], offset: Offset, around: Sequence[Bound]) -> list[tuple[Column | None, list[Column], int]]:
-    """(condition on the voxel read, coordinates of a reader, sign) for a tap, in each way that it is met."""
-    options = []
-    for (a, n), o, b in zip(axes.items(), offset, around):
-        at = F.col(a)
-        own: list[tuple[Column | None, Column, int]] = [((at - o).between(0, n - 1) if o else None, (at - o).cast("int"), 1)] if abs(o) < n else []
-        own += [(at == j, F.lit(i), s) for i, j, s in _reads(n, o, b)]
-        options.append(own)
-    out = []
-    for chosen in itertools.product(*options):
-        condition, sign = None, 1
-        for when, _, s in chosen:
-            sign *= s
-            if when is not None:
-                condition = when if condition is None else condition & when
-        out.append((condition, [place for _, place, _ in chosen], sign))
-    return out
+#: How a tap is met along each axis: (offset, -1, 0) within the ends, (0, place read, reader) beyond them.
+Way = tuple[tuple[int, int, int], ...]
 
 
-def _sent(df: DataFrame, batch: Sequence[str], axes: Mapping[str, int], parcels: list[tuple[Column | None, list[Column], dict[str, Column]]], names: Sequence[str], only: Column | None = None) -> DataFrame:
-    """Parcels exploded from each voxel and summed by receiver; ``only`` (of the receiver) drops others but for the first parcel."""
-    null = F.lit(None).cast("double")
-    boxes = []
-    for k, (condition, places, values) in enumerate(parcels):
-        box = F.struct(*[p.cast("int").alias(a) for a, p in zip(axes, places)], *[values.get(n, null).cast("double").alias(n) for n in names], F.lit(k == 0).alias("_own"))
-        boxes.append(box if condition is None else F.when(condition, box))
-    rows = df.select(*batch, F.explode(F.array(*boxes)).alias("_p")).where(F.col("_p").isNotNull()).select(*batch, "_p.*")
+def _ways(axes: Mapping[str, int], offset: Offset, around: Sequence[Bound]) -> list[tuple[Way, int]]:
+    """The ways in which voxels read a tap, with the boundary's sign."""
+    options = []
+    for n, o, b in zip(axes.values(), offset, around):
+        own = [((o, -1, 0), 1)] if abs(o) < n else []
+        options.append(own + [((0, j, i), s) for i, j, s in _reads(n, o, b)])
+    return [(tuple(w for w, _ in chosen), math.prod(s for _, s in chosen)) for chosen in itertools.product(*options)]
+
+
+def _spread(df: DataFrame, axes: Mapping[str, int], entries: list[tuple[Way, dict[str, float]]], only: Column | None) -> DataFrame:
+    """Each voxel once for each voxel that reads it: ``_to_<axis>`` is the reader, ``_e`` has the entry's numbers; the first entry is the voxel itself.
+
+    Entries are a constant array, so generated code is as small for many taps as
+    for few.  Voxels away from the ends take a shorter array without the entries
+    for what lies beyond them.
+    """
+    names = list(entries[0][1])
+
+    def listed(some: list[tuple[Way, dict[str, float]]]) -> Column:
+        rows = []
+        for k, (way, numbers) in enumerate(some):
+            parts = [f"'{x}{a}', {v}" for a, triple in zip(axes, way) for x, v in zip("oji", triple)]
+            parts += [f"'{n}', double('{numbers[n]!r}')" for n in names] + [f"'own', {int(k == 0)}"]
+            rows.append(f"named_struct({', '.join(parts)})")
+        return F.expr(f"array({', '.join(rows)})")
+
+    inner = [e for e in entries if all(j < 0 for _, j, _ in e[0])]
+    array = listed(entries)
+    if len(inner) < len(entries):
+        within = F.lit(True)
+        for d, (a, n) in enumerate(axes.items()):
+            reach = max(abs(e[0][d][0]) for e in inner)
+            within = within & F.col(a).between(reach, n - 1 - reach)
+        array = F.when(within, listed(inner)).otherwise(array)
+    rows = df.withColumn("_e", F.explode(array))
+    for a, n in axes.items():
+        e = F.col("_e")
+        to = F.when(e[f"j{a}"] < 0, F.col(a) - e[f"o{a}"]).otherwise(e[f"i{a}"]).cast("int")
+        rows = rows.withColumn(f"_to_{a}", to).where(F.when(e[f"j{a}"] < 0, F.col(f"_to_{a}").between(0, n - 1)).otherwise(F.col(a) == e[f"j{a}"]))
     if only is not None:
-        rows = rows.where(F.col("_own") | only)
-    return rows.groupBy(*batch, *axes).agg(*[F.sum(n).alias(n) for n in names])
+        flagged = rows.withColumns({f"_at_{a}": F.col(a) for a in axes}).withColumns({a: F.col(f"_to_{a}") for a in axes})
+        rows = flagged.where((F.col("_e.own") == 1) | only).withColumns({a: F.col(f"_at_{a}") for a in axes}).drop(*[f"_at_{a}" for a in axes])
+    return rows
+
+
+def _summed(rows: DataFrame, batch: Sequence[str], axes: Mapping[str, int], values: Mapping[str, Column]) -> DataFrame:
+    sent = rows.select(*batch, *[F.col(f"_to_{a}").alias(a) for a in axes], *[v.cast("double").alias(n) for n, v in values.items()])
+    return sent.groupBy(*batch, *axes).agg(*[F.sum(n).alias(n) for n in values])
+
+
+def _own(columns: Sequence[str], prefix: str) -> dict[str, Column]:
+    return {f"{prefix}{k}": F.when(F.col("_e.own") == 1, F.col(c)) for k, c in enumerate(columns)}
 
 
 def apply_stencil(field: Field, p: Penalties, bound: Bound, carry: Sequence[str] = (), out: Sequence[str] | None = None, only: Column | None = None) -> DataFrame:
@@ -143,44 +170,40 @@ def apply_stencil(field: Field, p: Penalties, bound: Bound, carry: Sequence[str]
     out = list(out or chans)
     v = field.values()
     around = [bound] * ndim
-    # by offset and bounds: what each receiver's channel gets of the voxel's channels
-    sums: dict[tuple[Offset, tuple[Bound, ...]], dict[int, list[tuple[float, int]]]] = {}
+    # by offset and bounds: how much each receiver's channel gets of the voxel's channels
+    weights: dict[tuple[Offset, tuple[Bound, ...]], dict[tuple[int, int], float]] = {}
     for c in range(len(chans)):
         centre, taps = same_channel(p, c)
-        sums.setdefault((_unit(ndim), tuple(around)), {}).setdefault(c, []).append((centre - sum(taps.values()), c))
+        weights.setdefault((_unit(ndim), tuple(around)), {})[c, c] = centre - sum(taps.values())
         for o, w in taps.items():
-            sums.setdefault((o, tuple(around)), {}).setdefault(c, []).append((w, c))
+            weights.setdefault((o, tuple(around)), {})[c, c] = w
     for (d, e), taps in cross_channel(p, ndim).items():
         crossed = tuple(bounds.transposed(bound) if k == d else bound for k in range(ndim))
         for o, w in taps.items():
-            sums.setdefault((o, crossed), {}).setdefault(d, []).append((w, e))
-    parcels = []
-    for (o, about), terms in sums.items():
-        for condition, places, sign in _readers(field.axes, o, about):
-            values = {}
-            for c, parts in terms.items():
-                total = None
-                for w, e in parts:
-                    x = F.lit(w * sign) * v[e]
-                    total = x if total is None else total + x
-                values[f"_o{c}"] = total
-            parcels.append((condition, places, values))
-    parcels[0][2].update({f"_c{k}": F.col(c).cast("double") for k, c in enumerate(carry)})
-    names = [f"_o{c}" for c in range(len(chans))] + [f"_c{k}" for k in range(len(carry))]
-    summed = _sent(field.df, field.batch, field.axes, parcels, names, only)
+            weights.setdefault((o, crossed), {})[d, e] = w
+    pairs = sorted({pair for w in weights.values() for pair in w})
+    entries = [(way, {f"w{c}_{e}": sign * w.get((c, e), 0.0) for c, e in pairs}) for (o, about), w in weights.items() for way, sign in _ways(field.axes, o, about)]
+    rows = _spread(field.df, field.axes, entries, only)
+    values = {}
+    for c in range(len(chans)):
+        parts = [F.col(f"_e.w{d}_{e}") * v[e] for d, e in pairs if d == c]
+        values[f"_o{c}"] = sum(parts[1:], parts[0])
+    summed = _summed(rows, field.batch, field.axes, values | _own(carry, "_c"))
     return summed.select(*field.keys, *[F.coalesce(f"_o{c}", F.lit(0.0)).alias(n) for c, n in enumerate(out)], *[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)])
 
 
 def neighbourhood(df: DataFrame, batch: Sequence[str], axes: Mapping[str, int], reads: Mapping[str, tuple[str, Offset, Sequence[Bound], bool]], carry: Sequence[str]) -> DataFrame:
     """Each voxel with neighbours' values: ``reads`` maps a new column to (column, offset, bounds, whether the boundary's sign applies); null where there is no neighbour."""
-    groups: dict[tuple[Offset, tuple[Bound, ...]], list[tuple[str, str, bool]]] = {}
+    here = tuple((0, -1, 0) for _ in axes)
+    groups = {key: k for k, key in enumerate(dict.fromkeys((offset, tuple(around)) for _, offset, around, _ in reads.values()))}
+    entries: list[tuple[Way, dict[str, float]]] = [(here, {"tap": -1.0, "sign": 1.0})]
+    entries += [(way, {"tap": float(k), "sign": float(sign)}) for (offset, around), k in groups.items() for way, sign in _ways(axes, offset, around)]
+    rows = _spread(df, axes, entries, None)
+    values = {c: F.when(F.col("_e.own") == 1, F.col(c)) for c in carry}
     for name, (column, offset, around, signed) in reads.items():
-        groups.setdefault((offset, tuple(around)), []).append((name, column, signed))
-    parcels = [(None, [F.col(a) for a in axes], {c: F.col(c) for c in carry})]
-    for (offset, around), wanted in groups.items():
-        for condition, places, sign in _readers(axes, offset, around):
-            parcels.append((condition, places, {n: F.col(c).cast("double") * (sign if signed else 1) for n, c, signed in wanted}))
-    return _sent(df, batch, axes, parcels, [*carry, *reads])
+        x = F.col(column).cast("double")
+        values[name] = F.when(F.col("_e.tap") == float(groups[offset, tuple(around)]), x * F.col("_e.sign") if signed else x)
+    return _summed(rows, batch, axes, values)
 
 
 # --- unweighted operators -------------------------------------------------
