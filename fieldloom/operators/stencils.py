@@ -142,7 +142,10 @@ def _spread(df: DataFrame, axes: Mapping[str, int], entries: list[tuple[Way, dic
         within = F.lit(True)
         for d, (a, n) in enumerate(axes.items()):
             reach = max(abs(e[0][d][0]) for e in inner)
-            within = within & F.col(a).between(reach, n - 1 - reach)
+            read = [e[0][d][1] for e in entries if e[0][d][1] >= 0]
+            low = max([reach, *(j + 1 for j in read if j < n // 2)])
+            high = min([n - 1 - reach, *(j - 1 for j in read if j >= n // 2)])
+            within = within & F.col(a).between(low, high)
         array = F.when(within, listed(inner)).otherwise(array)
     rows = df.withColumn("_e", F.explode(array))
     for a, n in axes.items():
