@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A process forgets its words when it knows so many; they are then encoded anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
 
 
 class WordCache:
