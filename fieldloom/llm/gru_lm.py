@@ -2,7 +2,7 @@
 
 The model predicts each word from a recurrent state.  Its output is factored by
 classes: a softmax over classes, then one over the words of the class.  The most
-frequent words are its vocabulary; all other words form one class of their own,
+frequent words are its vocabulary; all other words form classes by how they end,
 in which a word has its share of the training counts.  Documents lie end to end
 in parallel streams; the state is carried from window to window within a
 document and begins anew with each, so a score is that of the complete document.
@@ -43,6 +43,14 @@ SEED = 5
 _BINS_PER_OCTAVE = 32
 #: The token that ends each document, as a hash that is kept apart from those of words.
 END = np.uint64(0)
+#: A word's group is in the lowest six bits of its hash: its last sign, and for letters whether others than ASCII stand in the word.
+GROUP_BITS, GROUPS = np.uint64(63), 61
+_ENDINGS = np.full(256, 59, np.uint64)
+_ENDINGS[97:123] = np.arange(26)
+_ENDINGS[48:58] = 52
+for _sign, _group in ((".", 53), (",", 53), ("*", 54), ("%", 55), ("$", 56), ("&", 57), ("#", 58)):
+    _ENDINGS[ord(_sign)] = _group
+_ENDINGS[128:] = 60
 
 
 @dataclass(frozen=True)
@@ -53,6 +61,13 @@ class WordTable:
     counts: np.ndarray
     total: int
     distinct: int
+    group_totals: np.ndarray
+    group_distinct: np.ndarray
+
+    def rest(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """By group, the counts and the number of the training tokens that aren't among the first ``words`` of the table."""
+        of = (self.hashes[:words] & GROUP_BITS).astype(np.int64)
+        return self.group_totals - np.bincount(of, self.counts[:words], 64), self.group_distinct - np.bincount(of, minlength=64)
 
     def slots(self) -> tuple[np.ndarray, np.ndarray]:
         """An open hash table: hashes and places (-1: free)."""
@@ -60,7 +75,7 @@ class WordTable:
         keys, places = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
         waiting, probe = np.arange(len(self.hashes)), 0
         while len(waiting):
-            at = (self.hashes[waiting] + np.uint64(probe) & np.uint64((1 << bits) - 1)).astype(np.int64)
+            at = ((self.hashes[waiting] >> np.uint64(6)) + np.uint64(probe) & np.uint64((1 << bits) - 1)).astype(np.int64)
             _, first = np.unique(at, return_index=True)
             take = np.zeros(len(waiting), bool)
             take[first] = True
@@ -77,7 +92,7 @@ def find_places(slots: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.
     out = np.full(len(hashes), -1, np.int32)
     todo, probe = np.arange(len(hashes)), 0
     while len(todo):
-        at = (hashes[todo] + np.uint64(probe) & mask).astype(np.int64)
+        at = ((hashes[todo] >> np.uint64(6)) + np.uint64(probe) & mask).astype(np.int64)
         there = places[at]
         hit = (there >= 0) & (keys[at] == hashes[todo])
         out[todo[hit]] = there[hit]
@@ -89,7 +104,12 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     """The hashes of all texts' tokens (words with A-Z as a-z, then the end), and how many each text has."""
     lowered = lower_ascii(data)
     starts, ends, n = runs(NOT_SPACE[lowered], offsets)
-    hashes = np.maximum(span_hashes(lowered, starts, ends), np.uint64(1)) if len(starts) else np.zeros(0, np.uint64)
+    if not len(starts):
+        return np.zeros(len(n), np.uint64), n + 1
+    hashes = np.maximum(span_hashes(lowered, starts, ends) & ~GROUP_BITS, np.uint64(64))
+    group = _ENDINGS[lowered[ends - 1]]
+    beyond = np.concatenate([[0], np.cumsum(lowered >= 128, dtype=np.int32)])
+    hashes |= np.where((group < 26) & (beyond[ends] > beyond[starts]), group + np.uint64(26), group)
     return np.insert(hashes, np.cumsum(n), END), n + 1
 
 
@@ -144,30 +164,34 @@ def count_tokens(training: DataFrame, table_words: int = TABLE_WORDS) -> tuple[D
     rows = counts.where(bin_of >= least).collect() if least is not None else []
     hashes, numbers = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.c for r in rows], np.int64)
     order = np.lexsort((hashes, -numbers))
-    return counts, WordTable(hashes[order], numbers[order], sum(b.n for b in bins), sum(b.types for b in bins))
+    group_totals, group_distinct = np.zeros(64, np.int64), np.zeros(64, np.int64)
+    for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(63).cast("long")).alias("g")).agg(F.count(F.lit(1)).alias("types"), F.sum("c").alias("n")).collect():
+        group_totals[r.g], group_distinct[r.g] = r.n, r.types
+    return counts, WordTable(hashes[order], numbers[order], sum(b.n for b in bins), sum(b.types for b in bins), group_totals, group_distinct)
 
 
 class Gru:
     """A gated recurrent network with input rows by word and class-factored output.
 
     Word numbers: 0 to CLASSES * CLASS_WORDS - 1 are words, class by class; the
-    next is any other word, the next begins a document.
+    next are the groups of other words, each a class; the last begins a document.
     """
 
-    def __init__(self, classes: int = CLASSES, class_words: int = CLASS_WORDS, state: int = STATE, weights: dict[str, np.ndarray] | None = None):
-        self.classes, self.class_words, self.state = classes, class_words, state
+    def __init__(self, classes: int = CLASSES, class_words: int = CLASS_WORDS, state: int = STATE, weights: dict[str, np.ndarray] | None = None, groups: int = GROUPS):
+        self.classes, self.class_words, self.state, self.groups = classes, class_words, state, groups
         self.words = classes * class_words
+        self.first = self.words + groups
         self.w = weights
 
-    def begin(self, counts: np.ndarray, other: int, seed: int = SEED) -> None:
+    def begin(self, counts: np.ndarray, other: np.ndarray, seed: int = SEED) -> None:
         """Random weights, and output biases that give the words' shares of the counts."""
         rng, h = np.random.default_rng(seed), self.state
         f = lambda *shape: (rng.standard_normal(shape) * 0.2).astype(np.float32)
         by_class = np.maximum(counts.astype(np.float64), 0.1).reshape(self.classes, self.class_words)
-        shares = np.append(by_class.sum(1), max(other, 0.1))
+        shares = np.append(by_class.sum(1), np.maximum(other, 0.1))
         self.w = {
-            "x": f(self.words + 2, 3 * h), "u": f(h, 3 * h) / np.float32(2),
-            "wc": f(h, self.classes + 1) / np.float32(4), "bc": np.log(shares / shares.sum()).astype(np.float32),
+            "x": f(self.first + 1, 3 * h), "u": f(h, 3 * h) / np.float32(2),
+            "wc": f(h, self.classes + self.groups) / np.float32(4), "bc": np.log(shares / shares.sum()).astype(np.float32),
             "ww": f(self.classes, h, self.class_words) / np.float32(4), "bw": np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32),
         }
 
@@ -203,7 +227,7 @@ class Gru:
     def outputs(self, states: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of the targets given (N, H) states; with ``grads``, adds to them and returns the states' gradients."""
         n = len(target)
-        of = np.minimum(target // self.class_words, self.classes)
+        of = np.where(target < self.words, target // self.class_words, target - self.words + self.classes)
         p = self._softmax(states @ self.w["wc"] + self.w["bc"])
         rows = np.arange(n)
         out = np.log(np.maximum(p[rows, of], 1e-30))
@@ -300,7 +324,7 @@ def _windows(model: Gru, words: np.ndarray, sizes: np.ndarray, window: int = WIN
             given = np.empty((e - t, active), np.int32)
             given[1:] = target[t : e - 1, :active]
             given[0] = target[t - 1, :active] if t else 0
-            given[begins[t:e, :active]] = model.words + 1
+            given[begins[t:e, :active]] = model.first
             yield given, 1 - begins[t:e, :active].astype(np.float32), target[t:e, :active].astype(np.int32), place[t:e, :active] if places else None
 
 
@@ -352,7 +376,7 @@ class Trainer:
 
 def _shape(model: Gru) -> list[tuple[str, tuple[int, ...]]]:
     h, c, k = model.state, model.classes, model.class_words
-    return [("x", (model.words + 2, 3 * h)), ("u", (h, 3 * h)), ("wc", (h, c + 1)), ("bc", (c + 1,)), ("ww", (c, h, k)), ("bw", (c, k))]
+    return [("x", (model.first + 1, 3 * h)), ("u", (h, 3 * h)), ("wc", (h, c + model.groups)), ("bc", (c + model.groups,)), ("ww", (c, h, k)), ("bw", (c, k))]
 
 
 def to_bytes(model: Gru) -> bytes:
@@ -365,12 +389,12 @@ def from_bytes(model: Gru, data: bytes) -> Gru:
         size = int(np.prod(shape))
         w[k] = flat[at : at + size].reshape(shape).copy()
         at += size
-    return Gru(model.classes, model.class_words, model.state, w)
+    return Gru(model.classes, model.class_words, model.state, w, model.groups)
 
 
-def word_numbers(places: np.ndarray, words: int) -> np.ndarray:
-    """Table places as word numbers: the table's first words, in classes of like frequency; all others have the number after."""
-    return np.where((places >= 0) & (places < words), places, words).astype(np.uint16)
+def word_numbers(places: np.ndarray, hashes: np.ndarray, words: int) -> np.ndarray:
+    """Table places as word numbers: the table's first words, in classes of like frequency; all others have those of their groups after."""
+    return np.where((places >= 0) & (places < words), places, words + (hashes & GROUP_BITS).astype(np.int32)).astype(np.uint16)
 
 
 def _buffers(batches: Iterator[pa.RecordBatch], slots, words: int, each=None) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
@@ -380,7 +404,7 @@ def _buffers(batches: Iterator[pa.RecordBatch], slots, words: int, each=None) ->
         for batch in pieces(whole, "text"):
             hashes, n = token_hashes(*text_values(batch.column(batch.schema.get_field_index("text"))))
             places = find_places(slots, hashes)
-            held.append((word_numbers(places, words), n, each(batch, hashes, places, n) if each else None))
+            held.append((word_numbers(places, hashes, words), n, each(batch, hashes, places, n) if each else None))
             tokens += len(hashes)
             if tokens >= BUFFER_WORDS:
                 yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [h[2] for h in held]
@@ -407,22 +431,27 @@ def _trained(docs: DataFrame, shared, rate: float, words_wanted: int = 0) -> Dat
 
 
 def _average(rows: DataFrame) -> bytes | None:
-    """The mean of weights, weighed by words: added up within partitions first, so that the driver gets one sum from each of a few tasks."""
+    """The mean of weights, weighed by words, by two rounds of partial sums; the driver gets a few rows.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = None, 0
-        for batch in batches:
-            for i in range(batch.num_rows):
-                size = batch.column(0)[i].as_py()
-                part = np.frombuffer(batch.column(1)[i].as_py(), "<f8" if batch.schema.names[1] == "sums" else "<f4").astype(np.float64)
-                part = part if batch.schema.names[1] == "sums" else part * size
-                total, n = part if total is None else total + part, n + size
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.astype("<f8").tobytes()], pa.binary())], ["n", "sums"])
-
-    # the number of tasks sets the number of rows; two rounds of partial sums keep each task's share small
-    rows = rows.mapInArrow(run, "n long, sums binary")
-    parts = rows.repartition(16).mapInArrow(run, "n long, sums binary").collect()
+    Each round begins with a shuffle, so that no task has two Python processes.
+    """
+
+    def summed(name: str, kind: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n = None, 0
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    size = batch.column(0)[i].as_py()
+                    part = np.frombuffer(batch.column(1)[i].as_py(), kind).astype(np.float64)
+                    part = part * size if name == "weights" else part
+                    total, n = part if total is None else total + part, n + size
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.astype("<f8").tobytes()], pa.binary())], ["n", "sums"])
+
+        return run
+
+    first = rows.repartition(64).mapInArrow(summed("weights", "<f4"), "n long, sums binary")
+    parts = first.repartition(4).mapInArrow(summed("sums", "<f8"), "n long, sums binary").collect()
     n = sum(r.n for r in parts)
     return (sum(np.frombuffer(r.sums, "<f8") for r in sorted(parts, key=lambda r: bytes(r.sums))) / n).astype("<f4").tobytes() if n else None
 
@@ -433,7 +462,7 @@ def fit(training: DataFrame, table: WordTable) -> Gru:
     counts = np.zeros(model.words, np.int64)
     top = table.counts[: model.words]
     counts[: len(top)] = top
-    model.begin(counts, table.total - int(top.sum()))
+    model.begin(counts, table.rest(model.words)[0][:GROUPS])
     plain = Gru(model.classes, model.class_words, model.state)
     share = max(1, table.total // PILOT_WORDS)
     pilot = training.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).repartition(1)
@@ -459,8 +488,8 @@ def _scored(docs: DataFrame, shared) -> DataFrame:
         slots, model = table.slots(), from_bytes(plain, data)
         share = np.log10(table.counts + 0.1)
         whole = np.log10(table.total + 0.1 * (table.distinct + 1))
-        top = table.counts[: model.words]
-        rest = np.log10(table.total - top.sum() + 0.1 * (table.distinct - len(top) + 1))
+        totals, distinct = table.rest(model.words)
+        rest = np.log10(totals + 0.1 * (distinct + 1))
         row = TaskContext.get().partitionId() << 40
 
         def told(batch: pa.RecordBatch, hashes: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
@@ -469,7 +498,7 @@ def _scored(docs: DataFrame, shared) -> DataFrame:
             summed = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])[edges])
             found = places >= 0
             own = np.where(found, share[np.maximum(places, 0)] if len(share) else 0.0, 0.0)
-            part = summed(np.where((places < 0) | (places >= model.words), own - rest, 0.0))
+            part = summed(np.where((places < 0) | (places >= model.words), own - rest[(hashes & GROUP_BITS).astype(np.int64)], 0.0))
             rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(summed(~found))]), pa.int32()), pa.array(hashes[~found].view(np.int64)))
             at = batch.schema.get_field_index
             columns = [batch.column(at("doc_id")), batch.column(at("held_out")), pa.array(sizes, pa.int64()), pa.array(summed(found).astype(np.int64)), pa.array(summed(own - whole)), pa.array(part), rare]
@@ -493,7 +522,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty and have one token, the end; whole texts are
     scored.  Repeated rows are documents of their own.  Without any training
-    document all tokens are unknown.  Tokens are told apart by 64-bit hashes.
+    document all tokens are unknown.  Tokens are told apart by 58-bit hashes and their groups.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
     training = rows.where("not held_out").select("text")

@@ -344,8 +344,8 @@ def test_gru_rare_words_are_joined_in(docs, monkeypatch):
 
 def test_gru_gradients_and_sum_to_one():
     rng = np.random.default_rng(0)
-    model = gru_lm.Gru(3, 4, 5)
-    model.begin(rng.integers(1, 9, 12), 20)
+    model = gru_lm.Gru(3, 4, 5, groups=1)
+    model.begin(rng.integers(1, 9, 12), np.array([20]))
     model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
     words, sizes = rng.integers(0, 13, 30).astype(np.uint16), np.array([11, 0 + 12, 7])
     total = lambda: gru_lm.log_probabilities(model, words, sizes).sum()
@@ -375,8 +375,8 @@ def test_gru_gradients_and_sum_to_one():
 
 def test_gru_state_is_carried_across_windows(monkeypatch):
     rng = np.random.default_rng(2)
-    model = gru_lm.Gru(3, 4, 5)
-    model.begin(rng.integers(1, 9, 12), 20)
+    model = gru_lm.Gru(3, 4, 5, groups=1)
+    model.begin(rng.integers(1, 9, 12), np.array([20]))
     words, sizes = rng.integers(0, 13, 400).astype(np.uint16), np.array([150, 200, 1, 49])
     whole = gru_lm.log_probabilities(model, words, sizes)
     parts = np.concatenate([gru_lm.log_probabilities(model, p, np.array([len(p)])) for p in np.split(words, np.cumsum(sizes)[:-1])])
