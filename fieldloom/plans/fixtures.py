@@ -17,8 +17,8 @@ left join (select event_type b, cast(day(ts) as int) - 1 x, cast(count(*) as dou
 select o_orderkey q, bt.b, cast(o_orderkey % 272 as double) / 8 - 2 lx, cast(o_custkey % 7 as double) - 3 g
 from orders join {_BATCHES} bt on o_orderkey % 5 = bt.k""", ("orders", "events")),
     "p2": ("""
-select o_orderkey q, cast(o_orderkey % 10 as int) b, cast(o_orderkey % 408 as double) / 8 - 1 ly, cast(o_custkey % 520 as double) / 8 - 0.5 lx, cast(o_custkey % 7 as double) - 3 g
-from orders where o_orderkey % 3 = 0""", ("orders",)),
+select o_orderkey q, cast(o_orderkey % n.images as int) b, cast(o_orderkey % 408 as double) / 8 - 1 ly, cast(o_custkey % 520 as double) / 8 - 0.5 lx, cast(o_custkey % 7 as double) - 3 g
+from orders cross join (select cast(floor(max(vec_id) / 50) as bigint) + 1 images from embeddings) n""", ("orders", "embeddings")),
     "p3": ("""
 select p_partkey q, cast(p_partkey % 31 as double) / 4 - 0.5 lx, cast(p_size % 33 as double) / 4 - 0.5 ly, cast(p_partkey % 29 as double) / 4 lz, cast(p_size % 5 as double) - 2 g
 from part""", ("part",)),
@@ -30,7 +30,7 @@ select o_orderkey q, cast(6 + o_orderkey % 3 as double) h00, cast(7 + o_orderkey
 from orders""", ("orders",)),
     "mask": ("""
 select d.b, d.x, coalesce(s.f, cast(1000000 as double)) f
-from (select u.b, c.x from (select distinct user_id b from events where user_id < 40) u cross join (select distinct cast(event_id % 64 as int) x from events) c) d
+from (select u.b, c.x from (select distinct user_id b from events) u cross join (select distinct cast(event_id % 64 as int) x from events) c) d
 left join (select user_id b, cast(event_id % 64 as int) x, case when max(case when event_type = 'error' then 1 else 0 end) = 1 then cast(0 as double) else cast(1000000 as double) end f
            from events group by 1, 2) s on s.b = d.b and s.x = d.x""", ("events",)),
     "pts": ("""
