@@ -1,0 +1,120 @@
+"""Near copies by the similarity of their word shingles: wide candidates, each verified.
+
+Texts of equal words are one.  The others meet in buckets of minhash bands; at a
+Jaccard similarity of 0.8 a pair shares a bucket with a chance of 0.99995.  Every pair
+in a bucket of ``SMALL`` is verified on its whole shingle sets.  A larger bucket goes
+in rounds: a few of its texts are held against all others, what is like a smaller one
+goes, and the rest goes on, so that a hot group of copies doesn't make all its pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from fieldloom.llm import scratch
+from fieldloom.llm.textbatch import row_texts
+
+SHINGLE_WORDS = 5
+#: The least Jaccard similarity of near copies, as a fraction.
+LEAST = (4, 5)
+BANDS, ROWS = 25, 5
+SMALL = 16
+_SEED = 42
+_RNG = np.random.default_rng(_SEED)
+_TIMES = _RNG.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RNG.integers(0, 2**63, BANDS * ROWS, np.uint64)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """Hashes of the distinct shingles, in order; a text of fewer words is one shingle."""
+    words = text.lower().split()
+    joined = [b" ".join(words[i : i + SHINGLE_WORDS]) for i in range(max(1, len(words) - SHINGLE_WORDS + 1))]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, _SEED) for x in joined), np.uint64, len(joined)))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each band of the set's minhash."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 4096):
+        low = np.minimum(low, (hashes[at : at + 4096, None] * _TIMES + _PLUS).min(axis=0))
+    return [xxhash.xxh64_intdigest(x.tobytes(), i) - 2**63 for i, x in enumerate(low.reshape(BANDS, ROWS))]
+
+
+def _signed(df: DataFrame) -> DataFrame:
+    """(o, words, n, bands) of a table (o, text): order, hash of all words, number of shingles, band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, sizes, keys = [], [], []
+            for text in row_texts(batch.column(1)):
+                words.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())))
+                found = shingles(text)
+                sizes.append(len(found))
+                keys.append(bands(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["o", "words", "n", "bands"])
+
+    return df.mapInArrow(run, f"o {df.schema['o'].dataType.simpleString()}, words binary, n bigint, bands array<bigint>")
+
+
+def _sets(df: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(x).view(np.int64) for x in row_texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["row", "shingles"])
+
+    return df.mapInArrow(run, "row bigint, shingles array<bigint>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are as similar as ``LEAST``."""
+    part, whole = LEAST
+    a = sets.select(F.col("row").alias("ra"), F.col("shingles").alias("sa"))
+    b = sets.select(F.col("row").alias("rb"), F.col("shingles").alias("sb"))
+    met = pairs.join(a, F.col("a.row") == F.col("ra")).join(b, F.col("b.row") == F.col("rb"))
+    both = F.size(F.array_intersect("sa", "sb")).cast("long")
+    return met.where(whole * both >= part * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` without near copies: a row goes if it is like one with a smaller id (null last).
+
+    Of any two rows that stay, none are as similar as ``LEAST``, but for pairs that
+    share no bucket.  Of rows that tie, fully repeated ones included, one stays.
+    """
+    spark = docs.sparkSession
+    table = docs.select(F.struct("*").alias("doc"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
+    table = table.withColumn("row", F.monotonically_increasing_id()).drop("text")
+    table = scratch.written(table, "numbered")  # from here on row numbers are fixed
+    texts = table.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("o"), F.col("doc").getField(text).cast("string").alias("text"))
+    signed = _signed(texts)
+    nodes = scratch.written(signed.groupBy("words").agg(F.min("o").alias("o"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    members = nodes.select("o", "n", F.explode("bands").alias("k"))
+    shared = members.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k")
+    members = scratch.written(members.join(shared, "k"), "members")
+    wanted = members.select(F.col("o.row").alias("row")).distinct()
+    sets = scratch.written(_sets(table.select("row", F.col("doc").getField(text).cast("string").alias("text")).join(wanted, "row", "left_semi")), "shingles")
+    part, whole = LEAST
+    gone, leaders = None, 1
+    while not members.isEmpty():
+        sizes = members.groupBy("k").agg(F.count("*").alias("m"))
+        members = members.join(sizes.where("m > 1"), "k").withColumn("part", F.when(F.col("m") <= SMALL, F.col("o.row")).otherwise(F.pmod(F.xxhash64("o.row"), F.lit(leaders))))
+        members = scratch.written(members, "members")
+        lead = members.groupBy("k", "part").agg(F.min(F.struct("o", "n")).alias("l")).select("k", "l")
+        met = members.join(lead, "k").where(F.col("o.row") != F.col("l.o.row"))
+        met = met.where((whole * F.least("n", "l.n") >= part * F.greatest("n", "l.n")))
+        pairs = met.select(F.least("o", "l.o").alias("a"), F.greatest("o", "l.o").alias("b")).distinct()
+        fresh = scratch.written(_alike(pairs, sets).select(F.col("b.row").alias("row")).distinct(), "gone")
+        gone = fresh if gone is None else gone.unionByName(fresh)
+        left = members.join(lead.select("k", F.col("l.o.row").alias("led")), (members["k"] == lead["k"]) & (F.col("o.row") == F.col("led")), "left_anti")
+        old, members = members, scratch.written(left.select("k", "o", "n", F.col("o.row").alias("row")).join(fresh, "row", "left_anti").drop("row"), "members")
+        scratch.remove(spark, old)
+        leaders *= 8
+    stay = nodes.select(F.col("o.row").alias("row"))
+    if gone is not None:
+        stay = stay.join(gone, "row", "left_anti")
+    return table.join(stay, "row", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
