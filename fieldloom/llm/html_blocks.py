@@ -185,11 +185,9 @@ def classify(blocks: list[Block]) -> None:
     for b in blocks:
         if b.boilerplate:
             b.label = "boilerplate"
-        elif b.content:
-            # an article's own paragraph counts as text unless it is but links
-            b.label = "boilerplate" if b.link_density > MAX_LINK_DENSITY and len(b.text) >= SHORT else "open" if b.link_density > MAX_LINK_DENSITY else "text"
-        elif marked or b.link_density > MAX_LINK_DENSITY:
-            b.label = "boilerplate"
+        elif b.link_density > MAX_LINK_DENSITY:
+            # a short one in an article may be a line of its text
+            b.label = "open" if b.content and len(b.text) < SHORT else "boilerplate"
         elif len(b.text) < SHORT:
             b.label = "open"
         elif b.stop_density >= HIGH_STOP:
@@ -211,6 +209,8 @@ def classify(blocks: list[Block]) -> None:
             b.label = "text"
         elif len(around) == 1:
             b.label = around.pop()
+        elif marked:  # the element around it decides between neighbours that differ
+            b.label = "text" if b.content else "boilerplate"
         else:  # the nearer one; of two as near the one before
             b.label = left[1] if i - left[0] <= right[0] - i else right[1]
 
