@@ -96,7 +96,7 @@ def text_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
     l_starts, l_ends, l_row = l_starts[real], l_ends[real], l_row[real]
     n_dup_lines = np.bincount(l_row[_repeats(l_row, span_hashes(data, l_starts, l_ends))[1]], minlength=n_rows) if len(l_row) else np.zeros(n_rows, np.int64)
     # words in windows of eight that stand twice or more in the text
-    n_repeat_words = np.zeros(n_rows, np.int64)
+    n_repeat_words = n_often_words = np.zeros(n_rows, np.int64)
     if len(row) >= WINDOW:
         hashes = mix(span_hashes(data, starts, ends))
         n = len(row) - WINDOW + 1
@@ -107,12 +107,18 @@ def text_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
         twice = whole[_repeats(row[whole], window[whole])[0]]
         cover = np.cumsum(np.bincount(twice, minlength=len(row) + 1) - np.bincount(twice + WINDOW, minlength=len(row) + 1))
         n_repeat_words = np.bincount(row[cover[:-1] > 0], minlength=n_rows)
+        # the same for windows that stand three times or more, which a line repeated once doesn't have
+        _, which, times = np.unique(mix(window[twice] ^ mix(row[twice].astype(np.uint64) + np.uint64(1))), return_inverse=True, return_counts=True)
+        thrice = twice[times[which] > 2]
+        cover = np.cumsum(np.bincount(thrice, minlength=len(row) + 1) - np.bincount(thrice + WINDOW, minlength=len(row) + 1))
+        n_often_words = np.bincount(row[cover[:-1] > 0], minlength=n_rows)
     words, lines = np.maximum(n_words, 1), np.maximum(np.bincount(l_row, minlength=n_rows), 1)
     raw = (
         np.log(np.maximum(word_chars, 1) / words),
         np.log1p(n_symbols / words),
-        np.sqrt(n_dup_lines / lines) / 2,
-        n_repeat_words / words,
+        # one repeated line is no oddity; weights let 0.38 of the lines, or 0.23 of the words, reach the cutoff over the floors
+        1.5 * np.maximum(n_dup_lines - 1, 0) / lines,
+        2.5 * n_often_words / words,
         at_rows(UPPER[data]) / np.maximum(at_rows(LETTER[data]), 1),
     )
     values = dict(zip(BASE, (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)))
