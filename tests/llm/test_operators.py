@@ -608,14 +608,6 @@ def test_pages(page):
     assert html_blocks.main_text(page) == EXPECTED
 
 
-def test_odd_pages(spark):
-    for page in (None, "", "<", "<p", "a < b", "<![CDATA[x", "<!--", "</p></p>", "<script>", "&#xZZ; &nope;", "<div " * 500, "<b>" * 2000 + "x"):
-        html_blocks.main_text(page)
-    rows = [(1, "u", "<article><p>Text</p></article>"), (2, "u", None), (2, "u", "<nav>x</nav>")]
-    out = html_blocks.extraction_report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert [(r.page_id, r.text, r.n_chars) for r in out] == [(1, "Text", 4), (2, "", 0), (2, "", 0)]
-
-
 def test_short_blocks_inherit():
     long = "The house of the mouse is in the town and it was there for a very long time, as it is to this day and will be."
     page = f"<body><p>{long}</p><p>Yes.</p><p>{long}</p><p><a href=a>one</a> <a href=b>two</a> <a href=c>three more links in here to click on them all day</a></p><p>Last.</p></body>"
