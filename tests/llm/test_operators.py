@@ -554,10 +554,33 @@ def test_rans_round_trip_and_checkpoints(n):
         entropy = -sum(c / n * math.log2(c / n) for c in np.bincount(ids) if c)
         states = -(-n // (16 * 128)) * (8 + 8 * 128)
         assert len(frame) < 1.02 * n * entropy / 8 + states + 1000
-    damaged = bytearray(frame)
-    damaged[-1] ^= 1
+    for place in {5, len(frame) // 2, len(frame) - 1}:
+        damaged = bytearray(frame)
+        damaged[place] ^= 1
+        if place > 4 and (n or place < len(frame)):
+            with pytest.raises(ValueError):
+                coder.decode(bytes(damaged))
     with pytest.raises(ValueError):
-        coder.decode(bytes(damaged))
+        coder.decode(frame[:-1])
+
+
+def test_frames_hold_their_documents_and_segments_stand_alone():
+    rng = np.random.default_rng(1)
+    ids, names, sizes = rng.integers(0, 50, 50_000).astype(np.uint16), [7, None, -3, 2**60], [10, 0, 40_000, 9_990]
+    coder = rans_tokens.Coder(rans_tokens.frequencies(np.bincount(ids, minlength=60)))
+    frame = coder.encode(ids, lanes=64, every=32, doc_ids=names, sizes=sizes)
+    opened = coder.opened(frame)
+    assert opened.documents() == names and opened.sizes.tolist() == sizes and opened.segments == -(-50_000 // 2048)
+    damaged = bytearray(frame)
+    damaged[-1] ^= 1  # in the last segment's words
+    found = []
+    for i in range(opened.segments):
+        try:
+            assert np.array_equal(coder.segment(bytes(damaged), opened, i), ids[2048 * i : 2048 * (i + 1)])
+            found.append(i)
+        except ValueError:
+            pass
+    assert found == list(range(opened.segments - 1))
 
 
 def test_frequencies_add_up():
@@ -566,27 +589,50 @@ def test_frequencies_add_up():
         assert f.sum() == 1 << rans_tokens.SCALE_BITS and f.min() >= 1
 
 
+#: Marks that compose, letters whose case isn't one to one, white space of all kinds, signs beside letters, special tokens.
+ODD_SIGNS = ["T", "t", "S", "s", "'s", "'S", "'", "\u0308", "\u0301", "\u01c6", "\u0130", "I", "\u00df", "\u1e9e", "\u03a3", "\u03c2", "\u00e9", "\u00c0", "\u00d7", "\u00f7", "\u00ff", "\u0178", " ", "\n", "\t", "\ufeff", "\u2028", "\x85", "\x1c", "\x0b", ".", ",", "-", "_", "1", "\u0663", "\u4e2d", "\ufb01", "A\u030a", "\ud55c", "\u1112", "\u1161", "\u200d", "\xad", "word", "Word.", "WORD's-", "l'\u00c9t\u00e9,", "\u00d1and\u00fa!", "\u00d6...", "." * 20, "\U0001f4a1"]
+
+
 def test_words_equal_whole_texts():
     encoder = rans_tokens.WordEncoder(TOKENIZER)
-    texts = strange_texts() + ["it's we'LL Σίσυφος ΣΑΣ é <|endoftext|> x <|startoftext|>y\x1cz\x85w", ""]
-    flat, sizes = encoder.encode(pa.array(texts))
-    for got, text in zip(np.split(flat, np.cumsum(sizes)[:-1]), texts):
-        assert got.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    rng = random.Random(8)
+    special = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|"]
+    groups = [strange_texts() + ["it's we'LL \u03a3\u03af\u03c3\u03c5\u03c6\u03bf\u03c2 \u03a3\u0391\u03a3 e\u0301 <|endoftext|> x <|startoftext|>y\x1cz\x85w", "", None]]
+    groups += [["".join(rng.choice(ODD_SIGNS + special * (i % 5 == 0)) for _ in range(rng.randint(0, 24))) for _ in range(100)] for i in range(200)]
+    for texts in groups:
+        flat, sizes = encoder.encode(pa.array(texts))
+        for got, text in zip(np.split(flat, np.cumsum(sizes)[:-1]), texts):
+            assert got.tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
-def test_token_files(docs):
+def test_token_files(spark, docs):
+    from pyspark.sql import functions as F
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect()))
-    want, at = [], 0
-    for there, i, text in rows:
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()
+    rows = sorted((r.doc_id is not None, r.doc_id or 0, r.h, r.text) for r in rows)
+    want, every = [], []
+    for there, i, _, text in rows:
         ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
-        want.append((i if there else None, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        at += len(ids)
-    got = [tuple(r) for r in rans_tokens.tokens_report(docs, TOKENIZER).orderBy("start").collect()]
+        want.append((i if there else None, len(every), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        every += ids
+    got = [tuple(r) for r in rans_tokens.tokens_report(clashing(docs, "h").withColumn("part", F.lit(1)), TOKENIZER).orderBy("start").collect()]
     assert got == want
     assert rans_tokens.tokens_report(empty(docs), TOKENIZER).count() == 0
+    path, _ = rans_tokens.write_tokens(docs, TOKENIZER)
+    for begin, end in ((0, len(every)), (17, 18), (1000, 2500), (5, 5), (len(every) - 3, len(every) + 9)):
+        parts = sorted((r.start, bytes(r.ids)) for r in rans_tokens.read_range(spark, path, begin, end).collect())
+        assert np.frombuffer(b"".join(p for _, p in parts), "<u4").tolist() == every[begin:end]
+
+
+def test_documents_longer_than_segments_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(rans_tokens.Coder.encode, "__defaults__", (8, 4, (), ()))
+    tokens = spark.createDataFrame([(0, at, i, np.arange(n, dtype="<u2").tobytes(), n) for i, (at, n) in enumerate([(0, 500), (500, 0), (500, 3), (503, 1000), (1503, 31)])], "part int, before long, doc_id long, ids binary, n int").coalesce(1)
+    freq = rans_tokens.frequencies(np.ones(1000, int))
+    blocks = rans_tokens.encode_blocks(tokens, freq, block_ids=100)
+    got = sorted((r.before, r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in rans_tokens.read_blocks(blocks, freq).collect())
+    assert got == [(0, 0, list(range(500))), (500, 1, []), (500, 2, [0, 1, 2]), (503, 3, list(range(1000))), (1503, 4, list(range(31)))]
 
 
 # --- 10 pages
