@@ -209,13 +209,19 @@ def test_chi_square():
 
 
 def brute_count(doc_id, rate, seed=mixing.SEED):
-    u = (int(hashlib.md5(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
-    k, p, c = 0, math.exp(-rate), math.exp(-rate)
-    while c <= u:
-        k += 1
-        p *= rate / k
-        c += p
-    return k
+    parts, total = max(1, math.ceil(rate / mixing.PART_MEAN)), 0
+    for j in range(parts):
+        named = f"{seed}:{'' if doc_id is None else doc_id}" + (f":part:{j}" if j else "")
+        u = (int(hashlib.md5(named.encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        mean = rate / parts
+        p = c = math.exp(-mean)
+        k = 0
+        while c <= u:
+            k += 1
+            p *= mean / k
+            c += p
+        total += k
+    return total
 
 
 def test_mixing_counts(docs):
@@ -240,6 +246,35 @@ def test_mixing_reaches_its_weights(spark):
     assert mixing.replicate(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("rate", [0.001, 0.7, 30, 499.5, 500.5, 701, 2_345.6, 1_000_000])
+def test_any_mean_is_drawn(spark, rate):
+    n = 20 if rate < 10_000 else 1
+    rows = [(i, "t", "en", "rare", 1) for i in range(n)] + [(1000 + i, "t", "en", None, 1) for i in range(1000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    weights = {"rare": rate * n / (n + 1000), "": max(1e-9, 1 - rate * n / (n + 1000))}
+    epochs = sum(weights.values())
+    found = {r.source: r.rate for r in mixing.rates(docs, weights=weights, epochs=epochs).collect()}
+    assert found["rare"] == pytest.approx(rate, rel=1e-12)
+    out = mixing.replicate(docs, weights=weights, epochs=epochs).where("source = 'rare'").groupBy("doc_id").count().collect()
+    got = {r["doc_id"]: r["count"] for r in out}
+    assert got == {i: c for i in range(n) if (c := brute_count(i, found["rare"]))}
+    if rate > 10:
+        assert abs(sum(got.values()) - n * rate) < 5 * math.sqrt(n * rate)
+
+
+def test_parts_make_one_poisson_distribution():
+    rate, n = 1700.0, 4000
+    x = np.array([brute_count(i, rate) for i in range(n)])
+    assert abs(x.mean() - rate) < 5 * math.sqrt(rate / n) and abs(x.var() / rate - 1) < 0.12
+
+
+def test_mixing_without_a_weighted_source(docs):
+    assert mixing.replicate(docs, weights={"nowhere": 1.0}).count() == 0
+    assert mixing.rates(empty(docs), weights={"nowhere": 1.0}).count() == 0
+    one = docs.where("doc_id = 15")
+    assert {r.n_chars for r in mixing.replicate(one, epochs=900.0).collect()} == {one.first().n_chars}
+
+
 # --- 4 simhash
 
 
