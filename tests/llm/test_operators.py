@@ -555,23 +555,6 @@ def test_tiff_big_endian_planar_and_errors():
             list(tiff_media.read_tiff(bad))
 
 
-def test_media_report(docs):
-    for text, r in by_text(docs, tiff_media.media_report(docs), "doc_id"):
-        raw = text.encode()
-        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r.media_sha256 == hashlib.sha256(tiff_media.text_to_tiff(raw)).hexdigest()
-    pages = tiff_media.read_pages(tiff_media.store_texts(clashing(docs, "image")))
-    assert pages.where("image.error is not null").count() == 0 and pages.count() == docs.count()
-    assert tiff_media.media_report(empty(docs)).count() == 0
-
-
-def test_unreadable_files_give_errors(spark):
-    df = spark.createDataFrame([(1, b"junk"), (2, None), (3, bytes(tiff_media.text_to_tiff(b"x" * 300_000)))], "id int, media binary")
-    out = tiff_media.read_pages(df).collect()
-    assert [(r.id, r.image.page, r.image.error is None) for r in out] == [(1, 0, False), (3, 0, True), (3, 1, True)]
-
-
 # --- 9 token files
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
