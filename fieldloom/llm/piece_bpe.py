@@ -10,12 +10,18 @@ A round may merge several places of a word only if the merged piece is part of
 no piece of the same or a better rank; such a piece could otherwise have come
 first.  For the few other pieces a round merges the leftmost place alone, so
 the result is always that of merging one pair at a time.
+
+A long word is cut further where no piece holds the two characters beside each
+other.  What stays long goes by rounds over a queue: places lie in order of their
+ranks, a round takes the places of the least rank and touches only them and their
+neighbours, so a text without spaces takes time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +35,10 @@ from fieldloom.llm.wordcache import WordCache
 SPACE = "▁"
 #: Bytes of text that are encoded at once: the more, the fewer words come anew.
 BATCH_BYTES = 4 << 20
+#: Characters from which a word is cut where no piece reaches across, and symbols from which it goes by a queue.
+CUT_CHARS, QUEUE_SYMBOLS = 64, 512
+#: Places that a round over a queue takes at most; fewer while merged pieces may come before the next place.
+QUEUE_PLACES = 1 << 16
 _NONE = np.int32(2**31 - 1)
 
 
@@ -99,10 +109,13 @@ class PieceBpe:
             for c in name if len(name) > 1 else "":
                 symbols.setdefault(c, n + len(symbols))
         self.size = n
+        beside = {(ord(a) << 32) | ord(b) for name in ids for a, b in zip(name, name[1:])}
+        self.beside = np.array(sorted(beside), np.uint64)  # characters that stand beside each other in a piece
         self.of_char = np.full(0x110000, -1, np.int32)
         for name, i in symbols.items():
             if len(name) == 1:
                 self.of_char[ord(name)] = i
+        self.char_of = {i: name for name, i in symbols.items() if len(name) == 1}
         pairs = [(symbols[name[:k]], symbols[name[k:]], i) for name, i in ids.items() if len(name) > 1 for k in range(1, len(name)) if name[:k] in symbols and name[k:] in symbols]
         left, right, merged = (np.array(x, np.int32) for x in zip(*pairs))
         self.table = PairTable(left, right, merged)
@@ -159,7 +172,120 @@ class PieceBpe:
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         symbols = self.of_char[points]
         symbols = np.where(symbols < 0, -1 - points.astype(np.int32), symbols)  # negative: a character without a piece
+        if (lengths <= CUT_CHARS).all():
+            return self._merged(symbols, lengths)
+        # long words in parts that no piece reaches across
+        ends = np.cumsum(lengths)
         word = np.repeat(np.arange(len(words)), lengths)
+        pairs = points[:-1].astype(np.uint64) << np.uint64(32) | points[1:]
+        there = np.minimum(np.searchsorted(self.beside, pairs), len(self.beside) - 1)
+        apart = (self.beside[there] != pairs) & (lengths[word[1:]] > CUT_CHARS)
+        apart[ends[:-1] - 1] = True
+        starts = np.concatenate([[0], np.flatnonzero(apart) + 1])
+        sizes = np.diff(np.append(starts, len(points)))
+        counts, out = np.zeros(len(starts), np.int64), np.empty(0, np.int32)
+        short = sizes <= QUEUE_SYMBOLS
+        inside = np.repeat(short, sizes)
+        if short.any():
+            counts[short], out = self._merged(symbols[inside], sizes[short])
+        if not short.all():
+            rest, parts = iter(np.split(out, np.cumsum(counts[short])[:-1])), []
+            for k in range(len(starts)):
+                if short[k]:
+                    parts.append(next(rest))
+                else:
+                    done = self._merged_by_queue(symbols[starts[k] : starts[k] + sizes[k]])
+                    ids = self._ids_of(np.zeros(len(done), np.int64), done)[1]
+                    counts[k] = len(ids)
+                    parts.append(ids)
+            out = np.concatenate(parts)
+        return np.bincount(word[starts], counts, len(words)).astype(np.int64), out
+
+    def _ranks(self, merged: np.ndarray) -> np.ndarray:
+        return np.where(merged >= 0, self.rank[merged], _NONE)
+
+    def _merged_by_queue(self, symbols: np.ndarray) -> np.ndarray:
+        """The symbols that one long word is merged to.
+
+        Of the least rank's places a round takes the leftmost ones.  If a merged
+        piece made a pair of the same or a better rank with a neighbour, the round
+        ends with that place, as the pair comes before the places to the right.
+        """
+        n = len(symbols)
+        sym = symbols.astype(np.int32)  # the symbol that begins at each place
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # n and -1: none
+        merged = np.full(n, -1, np.int32)
+        merged[:-1] = self.table.find(sym[:-1], sym[1:])
+        rank = self._ranks(merged)
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            of = rank[places]
+            places, of = places[of < _NONE], of[of < _NONE]
+            if not len(places):
+                return
+            order = np.lexsort((places, of))
+            places, of = places[order], of[order]
+            cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(of)]):
+                r = int(of[a])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(places[a:b])
+
+        wait(np.arange(n))
+        take = 64
+        while ranks:
+            r = ranks[0]
+            lists = waiting[r]
+            if len(lists) > 1:
+                lists[:] = [np.unique(np.concatenate(lists))]
+            window, rest = lists[0][:take], lists[0][take:]
+            places = window[alive[window] & (rank[window] == r)]
+            if len(places):
+                # of places whose pairs overlap every other one, from the left
+                begins = np.append(True, after[places[:-1]] != places[1:])
+                run = np.maximum.accumulate(np.where(begins, np.arange(len(places)), 0))
+                places = places[(np.arange(len(places)) - run) % 2 == 0]
+                piece, second = merged[places], after[places]
+                left, third = before[places], after[second]
+                better = np.zeros(len(places), bool)
+                for a, b, there in ((sym[np.maximum(left, 0)], piece, left >= 0), (piece, sym[np.minimum(third, n - 1)], third < n)):
+                    better |= there & (self._ranks(self.table.find(a, b)) <= r)
+                beside = np.append(third[:-1] == places[1:], False)
+                better[:-1] |= beside[:-1] & (self._ranks(self.table.find(piece[:-1], piece[1:])) <= r)
+                if better.any():
+                    last = int(np.argmax(better))
+                    rest = lists[0][np.searchsorted(lists[0], places[last], side="right") :]
+                    places, second, third, piece, left = places[: last + 1], second[: last + 1], third[: last + 1], piece[: last + 1], left[: last + 1]
+                    take = max(64, take // 2)
+                else:
+                    take = min(QUEUE_PLACES, take * 4)
+                sym[places] = piece
+                alive[second] = False
+                after[places] = third
+                before[third[third < n]] = places[third < n]
+                changed = np.unique(np.concatenate([places, before[places][before[places] >= 0]]))
+                beyond = after[changed]
+                merged[changed] = np.where(beyond < n, self.table.find(sym[changed], sym[np.minimum(beyond, n - 1)]), -1)
+                rank[changed] = self._ranks(merged[changed])
+            else:
+                take = min(QUEUE_PLACES, take * 4)
+                changed = places
+            if len(rest):
+                lists[:] = [rest]
+            else:
+                del waiting[r]
+                heapq.heappop(ranks)
+            wait(changed)
+        return sym[alive]
+
+    def _merged(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word of the given numbers of symbols has, and the ids of all."""
+        word = np.repeat(np.arange(len(lengths)), lengths)
         ended_words, ended_symbols = [], []
         same = np.append(word[1:] == word[:-1], False)  # whether the next symbol is of the same word
         merged = np.full(len(symbols), -1, np.int32)  # what a symbol and its next one merge to
@@ -197,16 +323,20 @@ class PieceBpe:
                 merged[again] = self.table.find(symbols[again], symbols[again + 1])
         word, symbols = np.concatenate(ended_words), np.concatenate(ended_symbols)
         order = np.argsort(word, kind="stable")
-        word, symbols = word[order], symbols[order]
+        word, symbols = self._ids_of(word[order], symbols[order])
+        return np.bincount(word, minlength=len(lengths)), symbols
+
+    def _ids_of(self, word: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols as ids, each with its word's number; a character without a piece becomes its bytes."""
         odd = np.flatnonzero((symbols < 0) | (symbols >= self.size))
-        if len(odd):  # a character without a piece becomes its bytes
-            raw = [(chr(-1 - s) if s < 0 else chr(int(np.flatnonzero(self.of_char == s)[0]))).encode() for s in symbols[odd].tolist()]
-            times = np.ones(len(symbols), np.int64)
-            times[odd] = [len(r) for r in raw]
-            where = np.repeat(np.isin(np.arange(len(symbols)), odd), times)
+        if len(odd):
+            raw = [(chr(-1 - s) if s < 0 else self.char_of[s]).encode() for s in symbols[odd].tolist()]
+            times, unknown = np.ones(len(symbols), np.int64), np.zeros(len(symbols), bool)
+            times[odd], unknown[odd] = [len(r) for r in raw], True
+            where = np.repeat(unknown, times)
             word, symbols = np.repeat(word, times), np.repeat(symbols, times)
             symbols[where] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-        return np.bincount(word, minlength=len(words)), symbols
+        return word, symbols
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each part of a cut has, and the ids of all."""
@@ -276,7 +406,8 @@ def _mapped(docs: DataFrame, model_path: str, text: str, added: list[tuple[str,
 def encode_texts(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with an array column of ids.  A null or empty text has no ids; texts are encoded whole, however long.
 
-    Rows are independent of each other; a column already called ``ids`` is replaced.
+    Rows are independent of each other: repeated rows give repeated results, an
+    empty table an empty one; a column already called ``ids`` is replaced.
     """
 
     def make(codec: PieceBpe, texts: pa.Array):
@@ -303,7 +434,12 @@ def decode_ids(df: DataFrame, model_path: str, ids: str = "ids", text: str = "te
 
 
 def encoding_report(docs: DataFrame, model_path: str) -> DataFrame:
-    """One row for each document: its number of ids, and digests of the ids and of the text that they decode to."""
+    """One row for each document: its number of ids, and digests of the ids and of the text that they decode to.
+
+    A null text counts as empty, which has no ids; null ids stay; repeated rows
+    give repeated rows, an empty table an empty one; texts are encoded whole,
+    however long; other columns, whatever their names, aren't read.
+    """
 
     def make(codec: PieceBpe, texts: pa.Array):
         rows = [(n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()) for n, ids, back in codec.encode_listed(texts)]

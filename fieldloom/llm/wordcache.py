@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 #: A process forgets its words when it knows so many; they are then encoded anew.
 CACHE_WORDS = 900_000
+#: The same for the characters of all known words.
+CACHE_CHARS = 32 << 20
 
 
 class WordCache:
@@ -21,6 +23,7 @@ class WordCache:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {"": 0}
+        self.chars = 0
         self.size_of, self.at_of, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64), 0
         self.flat = np.zeros(1 << 16, self.dtype)
 
@@ -34,10 +37,11 @@ class WordCache:
         self.size_of = np.append(self.size_of, sizes)
         self.used += len(ids)
         self.known.update(zip(words, range(first, first + len(words))))
+        self.chars += sum(map(len, words))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has; texts are words with single spaces between."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self.forget()
         if not len(texts):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
