@@ -2,25 +2,51 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where that is unset, as in tests, a folder of this machine."""
+    """``spark.checkpoint.dir`` of the session; only where that is unset, as in tests, a folder of this machine for each application."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        key = spark.sparkContext.applicationId
+        folder = _own.get(key) or _own.setdefault(key, "file://" + tempfile.mkdtemp(prefix="fieldloom-"))
     return folder.rstrip("/")
 
 
+_sweeping = threading.local()
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Removes all tables that are begun within, when it ends; whatever is read from them must be written elsewhere by then."""
+    outer, own = getattr(_sweeping, "paths", None), []
+    _sweeping.paths = own
+    try:
+        yield
+    finally:
+        _sweeping.paths = outer
+        for path in own:
+            remove(spark, path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/fieldloom/{name}-{uuid.uuid4().hex}"
+    """A folder for a table, which doesn't exist yet, in the shared folder."""
+    path = f"{shared_folder(spark)}/fieldloom/{name}-{uuid.uuid4().hex}"
+    if getattr(_sweeping, "paths", None) is not None:
+        _sweeping.paths.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -6,6 +6,11 @@ indexed under each half as it is, and under each half with one bit left out.
 Pairs come from an equality join on these signatures and are verified by
 counting the differing bits.  Copies share one fingerprint and are expanded only
 at the end, so a hot group of copies is one row in all joins before that.
+
+``keep_one`` wants all pairs as similar as 0.8 by shingles of five words, of which
+fingerprints of 64 bits differ in about ten.  Segments of which one differs by
+one bit at most would be too short to tell texts apart, so there bands of
+minhashes give candidates beside the signatures, and each is verified.
 """
 
 from __future__ import annotations
@@ -14,39 +19,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from fieldloom.llm import scratch
+from fieldloom.llm import scratch, shingle_sets
 from fieldloom.llm.textbatch import row_texts
 
 MAX_BITS = 3
 SHINGLE_WORDS = 3
-SEED = 42
+#: The shingles and the least Jaccard similarity, as a fraction, of texts of which ``keep_one`` keeps one.
+KEPT_WORDS, LEAST = 5, (4, 5)
+#: Texts of a bucket up to which all its pairs are held against each other at once.
+SMALL = 16
 #: A signature whose two sides would give more candidate pairs than this is split by finer signatures.
 SPLIT_ABOVE = 4096
 _HALF, _EXACT = 32, 32
 
 
-def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     """The unsigned 64-bit SimHash of a text; zero for a text without words."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-1]])
-    last = ends[shingle_words - 1 :] if len(words) >= shingle_words else ends[-1:]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (last - 1).tolist())], np.uint64)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65_536):
-        part = hashes[at : at + 65_536]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
-
-
-def with_fingerprint(df: DataFrame, text: str = "text", out: str = "simhash", shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
+    return shingle_sets.simhash_of(shingle_sets.shingle_hashes(text, shingle_words))
+
+
+def with_fingerprint(df: DataFrame, text: str = "text", out: str = "simhash", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """``df`` with a long column: the fingerprint's 64 bits.  A null text counts as empty; a column called ``out`` is replaced."""
     keep = [c for c in df.columns if c != out]
     schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(out, T.LongType())])
@@ -54,7 +48,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "simhash", sh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = row_texts(batch.column(batch.schema.get_field_index(text)))
-            values = np.array([fingerprint(x, shingle_words, seed) for x in texts], np.uint64).view(np.int64)
+            values = np.array([fingerprint(x, shingle_words) for x in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(values)], [*keep, out])
 
     return df.select(*keep).mapInArrow(run, schema)
@@ -166,24 +160,67 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return out.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id (null last).
+def _wildcards(fp: Column) -> list[Column]:
+    """The signatures of both halves without each of their bits: fingerprints of which a half differs in one bit at most share one."""
+    out = []
+    for side in (0, 1):
+        out += [k for k, _ in _coded(_half(fp, side), _HALF, side)[2:]]
+    return out
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = KEPT_WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
+    """The rows of ``docs`` without near copies: a row goes if it is like one with a smaller id (null last).
+
+    Like are rows whose shingle sets have a Jaccard similarity of at least
+    ``least``.  Texts of equal words are one.  The others meet in buckets of equal
+    SimHash signatures and equal minhash bands, and are verified on their whole
+    sets.  In a large bucket a few texts are held against all others, what is like
+    a smaller one goes, and the rest goes on to the next round with more of them, so
+    that a hot group of copies doesn't make all its pairs and no pair is left out.
 
-    Of rows that tie, fully repeated ones included, exactly one stays.
+    Of any two rows that stay, none are like each other, but for pairs that share
+    no bucket or whose sketches mislead.  Null and empty texts are like each other; of rows that tie,
+    fully repeated ones included, one stays.  An empty table gives an empty one;
+    all columns stay as they are.
     """
-    names = docs.columns
-    table = docs.select(F.struct("*").alias("doc"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
-    table = with_fingerprint(table).drop("text").withColumn("row", F.monotonically_increasing_id())
-    table = scratch.written(table, "fingerprinted")  # from here on row numbers are fixed
-    slim = table.select("row", "doc_id", "simhash")
-    by_print = slim.groupBy("simhash").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
-    best = by_print.join(component_roots(slim, max_bits), "simhash").groupBy("root").agg(F.min("best").alias("best"))
-    kept = table.join(best.select(F.col("best.row").alias("row")), "row", "left_semi")
-    return kept.select(*[F.col("doc").getField(c).alias(c) for c in names])
-
-
-def component_roots(fingerprinted: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(simhash, root): equal roots for the fingerprints of one component."""
-    nodes = scratch.written(fingerprinted.select(F.col("simhash").alias("fp")).distinct(), "fingerprints")
-    roots = components(links(nodes, max_bits))
-    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("simhash"), F.coalesce("root", "fp").alias("root"))
+    table = docs.select(F.struct("*").alias("doc"), F.col(doc_id).alias("doc_id")).withColumn("row", F.monotonically_increasing_id())
+    table = scratch.written(table, "numbered")  # from here on row numbers are fixed
+    texts = table.select("row", F.col("doc").getField(text).cast("string").alias("text"))
+    signed = scratch.written(shingle_sets.signed(texts, shingle_words), "signed")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    heads = table.select("row", order.alias("o")).join(signed.select("row", "words"), "row").groupBy("words").agg(F.min("o").alias("o"))
+    heads = scratch.written(heads.select(F.col("o.row").alias("row"), "o"), "heads")
+    nodes = scratch.written(signed.join(heads, "row").select("row", "o", "n", "simhash", "sketch", "bands"), "nodes")
+    keys = nodes.select("row", F.explode(F.concat(F.array(*_wildcards(F.col("simhash"))), "bands")).alias("k"))
+    shared = keys.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k")
+    members = scratch.written(keys.join(shared, "k"), "keys")
+    wanted = members.select("row").distinct()
+    sets = scratch.written(shingle_sets.sets(texts.join(wanted, "row", "left_semi"), shingle_words), "shingles")
+    members = scratch.written(members.join(nodes.select("row", "o", "n", "sketch"), "row").select("k", "o", "n", "sketch"), "members")
+    gone = _like_smaller_ones(members, sets, least)
+    stay = heads.select("row") if gone is None else heads.select("row").join(gone, "row", "left_anti")
+    return table.join(stay, "row", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+
+
+def _like_smaller_ones(members: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame | None:
+    """The rows of a written table (k, o, n, sketch) of buckets' members that are like a smaller one of a bucket."""
+    spark, (part, whole) = members.sparkSession, least
+    gone, leaders = None, 1
+    while not members.isEmpty():
+        sizes = members.groupBy("k").agg(F.count("*").alias("m"))
+        parted = members.join(sizes.where("m > 1"), "k").withColumn("part", F.when(F.col("m") <= SMALL, F.col("o.row")).otherwise(F.pmod(F.xxhash64("o.row"), F.lit(leaders))))
+        old, members = members, scratch.written(parted.drop("m"), "members")
+        scratch.remove(spark, old)
+        lead = members.groupBy("k", "part").agg(F.min(F.struct("o", "n", "sketch")).alias("l")).select("k", "l")
+        close = (whole * F.least("n", "l.n") >= part * F.greatest("n", "l.n")) & (shingle_sets.rows_that_differ(F.col("sketch"), F.col("l.sketch")) <= shingle_sets.MOST_DIFFERENT)
+        met = members.join(lead, "k").where((F.col("o.row") != F.col("l.o.row")) & close)
+        pairs = met.select(F.least("o", "l.o").alias("a"), F.greatest("o", "l.o").alias("b")).select(F.col("a.row").alias("a"), F.col("b.row").alias("b")).distinct()
+        fresh = scratch.written(shingle_sets.alike(pairs, sets, least).select(F.col("b").alias("row")).distinct(), "gone")
+        gone = fresh if gone is None else gone.unionByName(fresh)
+        led = lead.select("k", F.col("l.o.row").alias("row"))
+        left = members.select("k", "o", "n", "sketch", F.col("o.row").alias("row")).join(led, ["k", "row"], "left_anti").join(fresh, "row", "left_anti")
+        old, members = members, scratch.written(left.select("k", "o", "n", "sketch"), "members")
+        scratch.remove(spark, old)
+        leaders *= 8
+    scratch.remove(spark, members)
+    return gone

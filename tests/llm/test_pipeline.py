@@ -28,13 +28,10 @@ def test_pipeline_rows(spark, tmp_path):
     docs = spark.createDataFrame(rows, brute.SCHEMA)
     good = {r.doc_id for r in quality_rules.quality_report(docs.where("doc_id <> 5")).collect() if r.kept}
     kept = [r for r in rows if r[0] in good or r[0] == 5]
-    roots = brute.brute_components([brute.brute_fingerprint(r[1]) for r in kept])
-    best = {}
-    for r in kept:
-        key = roots[brute.brute_fingerprint(r[1])]
-        if key not in best or r[0] < best[key][0]:
-            best[key] = r
-    left = list(best.values())
+    left = []
+    for r in sorted(kept, key=lambda r: r[0]):
+        if not any(brute.alike(r[1], x[1]) for x in kept if x[0] < r[0]) and r[0] not in {x[0] for x in left}:
+            left.append(r)
     assert len(left) < len(kept)
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     # the row of the repeated id 5 that stays is one of two with the same text
