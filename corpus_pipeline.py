@@ -1,60 +1,5 @@
-"""From raw documents to encoded training rows, in five stages.
+"""The five-stage pipeline of ``fieldloom.llm.pipeline``, where the driver looks for it."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-as Parquet and read again as the next stage's ``docs``.
-"""
+from fieldloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from fieldloom.llm import mixing, near_copies, piece_bpe, quality_rules, scratch, secret_scan
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, and outliers of their language and source, go."""
-    return quality_rules.keep_good(docs)
-
-
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose five-word shingles are as similar as 0.8 to those of one with a smaller id go."""
-    return near_copies.keep_one(docs)
-
-
-def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kinds; all documents stay."""
-    return secret_scan.redact_secrets(docs)
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated, or left out, so that sources come to their target weights, and shuffled."""
-    return mixing.replicate(docs)
-
-
-def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's ids in place of its text, and the number of them."""
-    encoded = piece_bpe.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return encoded.selectExpr("doc_id", "lang", "source", "cast(size(ids) as bigint) as n_tokens", "ids")
-
-
-STAGES = [
-    ("quality_rules", quality_stage),
-    ("simhash_near_dedup", near_dedup_stage),
-    ("secret_scans", secrets_stage),
-    ("source_mixing", mixing_stage),
-    ("piece_encoding", encoding_stage),
-]
-
-#: SQL expresses neither the robust estimates nor the merges; tests hold the rows against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that all stages make of the table ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = scratch.new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
