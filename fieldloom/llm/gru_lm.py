@@ -7,10 +7,12 @@ in which a word has its share of the training counts.  Documents lie end to end
 in parallel streams; the state is carried from window to window within a
 document and begins anew with each, so a score is that of the complete document.
 
-Counts cover all training documents.  Training begins with a pilot on a bounded
-sample, gives every task the pilot's weights, lets each run truncated
-backpropagation over all its training documents, and averages what they arrive
-at, weighed by words.
+Counts cover all training documents, and words are told apart by their bytes.
+Each text is read as word numbers once.  Training documents are dealt by a hash
+into buckets of about equal size and sorted in them, so that results don't depend
+on how the input lies in files.  Training begins with a pilot on a bounded sample,
+gives every bucket the pilot's weights, runs truncated backpropagation over all
+documents of the bucket, and averages what the buckets arrive at, weighed by words.
 """
 
 from __future__ import annotations
@@ -25,27 +27,31 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fieldloom.llm import scratch
-from fieldloom.llm.textbatch import NOT_SPACE, lower_ascii, pieces, runs, span_hashes, text_values
+from fieldloom.llm.textbatch import NOT_SPACE, lower_ascii, pieces, runs, text_values
 
-#: Words with their counts that every task gets, at most (16 bytes each); rarer ones are joined in.
+#: Words with their counts that every task gets, at most (a hundred bytes each in a task); rarer ones are joined in.
 TABLE_WORDS = 1 << 18
 #: Words of the model; their classes; sizes of state, streams and windows.
-CLASSES, CLASS_WORDS = 16, 32
-STATE, STREAMS, WINDOW = 12, 512, 32
-#: Words that a task gathers before it trains on or scores them.
-BUFFER_WORDS = 3_000_000
-#: Words of the pilot sample, about; a smaller sample is gone through again, up to so many times.
+CLASSES, CLASS_WORDS = 32, 64
+STATE, STREAMS, WINDOW = 24, 512, 32
+#: Words of a bucket, about, and words that a task gathers before it scores them.
+BUCKET_WORDS, BUFFER_WORDS = 3_000_000, 2_000_000
+#: Words of the pilot sample at most; a smaller sample is gone through again, up to so many times.
 PILOT_WORDS, PILOT_ROUNDS = 1_000_000, 8
-#: Steps that a buffer is divided into at least, by taking fewer streams.
+#: Documents of the pilot sample at most, and the words that it takes of each.
+PILOT_DOCUMENTS, PILOT_EACH = 50_000, 4096
+#: Steps that a bucket is divided into at least, by taking fewer streams.
 MIN_STEPS = 128
 PILOT_RATE, RATE = 1e-2, 4e-3
 SEED = 5
+#: How many weights are added up by one task.
+ADDED_BY_ONE = 64
 _BINS_PER_OCTAVE = 32
-#: The token that ends each document, as a hash that is kept apart from those of words.
-END = np.uint64(0)
-#: A word's group is in the lowest six bits of its hash: its last sign, and for letters whether others than ASCII stand in the word.
-GROUP_BITS, GROUPS = np.uint64(63), 61
-_ENDINGS = np.full(256, 59, np.uint64)
+#: The token that ends each document; words aren't empty.
+END = b""
+#: A word's group is its last sign, and for letters whether others than ASCII stand in the word; the end is in group 0.
+GROUPS = 61
+_ENDINGS = np.full(256, 59, np.uint8)
 _ENDINGS[97:123] = np.arange(26)
 _ENDINGS[48:58] = 52
 for _sign, _group in ((".", 53), (",", 53), ("*", 54), ("%", 55), ("$", 56), ("&", 57), ("#", 58)):
@@ -55,10 +61,11 @@ _ENDINGS[128:] = 60
 
 @dataclass(frozen=True)
 class WordTable:
-    """The most frequent training tokens by hash, with counts in falling order; totals of all training tokens."""
+    """The most frequent training tokens with counts in falling order; totals of all training tokens."""
 
-    hashes: np.ndarray
+    words: list[bytes]
     counts: np.ndarray
+    groups: np.ndarray
     total: int
     distinct: int
     group_totals: np.ndarray
@@ -66,51 +73,35 @@ class WordTable:
 
     def rest(self, words: int) -> tuple[np.ndarray, np.ndarray]:
         """By group, the counts and the number of the training tokens that aren't among the first ``words`` of the table."""
-        of = (self.hashes[:words] & GROUP_BITS).astype(np.int64)
+        of = self.groups[:words]
         return self.group_totals - np.bincount(of, self.counts[:words], 64), self.group_distinct - np.bincount(of, minlength=64)
 
-    def slots(self) -> tuple[np.ndarray, np.ndarray]:
-        """An open hash table: hashes and places (-1: free)."""
-        bits = max(4, int(np.ceil(np.log2(4 * len(self.hashes) + 1))))
-        keys, places = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-        waiting, probe = np.arange(len(self.hashes)), 0
-        while len(waiting):
-            at = ((self.hashes[waiting] >> np.uint64(6)) + np.uint64(probe) & np.uint64((1 << bits) - 1)).astype(np.int64)
-            _, first = np.unique(at, return_index=True)
-            take = np.zeros(len(waiting), bool)
-            take[first] = True
-            take &= places[at] < 0
-            keys[at[take]], places[at[take]] = self.hashes[waiting[take]], waiting[take]
-            waiting, probe = waiting[~take], probe + 1
-        return keys, places
-
-
-def find_places(slots: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
-    """Places in the table, -1 for hashes that aren't in it."""
-    keys, places = slots
-    mask = np.uint64(len(keys) - 1)
-    out = np.full(len(hashes), -1, np.int32)
-    todo, probe = np.arange(len(hashes)), 0
-    while len(todo):
-        at = ((hashes[todo] >> np.uint64(6)) + np.uint64(probe) & mask).astype(np.int64)
-        there = places[at]
-        hit = (there >= 0) & (keys[at] == hashes[todo])
-        out[todo[hit]] = there[hit]
-        todo, probe = todo[~hit & (there >= 0)], probe + 1
-    return out
 
+@dataclass(frozen=True)
+class Tokens:
+    """The tokens of some texts: the distinct ones as bytes with their groups, the number of each token's, and how many each text has."""
+
+    distinct: pa.Array
+    groups: np.ndarray
+    numbers: np.ndarray
+    sizes: np.ndarray
 
-def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all texts' tokens (words with A-Z as a-z, then the end), and how many each text has."""
+
+def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
+    """Words with A-Z as a-z, and an end after each text."""
     lowered = lower_ascii(data)
-    starts, ends, n = runs(NOT_SPACE[lowered], offsets)
-    if not len(starts):
-        return np.zeros(len(n), np.uint64), n + 1
-    hashes = np.maximum(span_hashes(lowered, starts, ends) & ~GROUP_BITS, np.uint64(64))
-    group = _ENDINGS[lowered[ends - 1]]
-    beyond = np.concatenate([[0], np.cumsum(lowered >= 128, dtype=np.int32)])
-    hashes |= np.where((group < 26) & (beyond[ends] > beyond[starts]), group + np.uint64(26), group)
-    return np.insert(hashes, np.cumsum(n), END), n + 1
+    inside = NOT_SPACE[lowered]
+    starts, ends, n = runs(inside, offsets)
+    edges = np.concatenate([[0], np.cumsum(ends - starts)])
+    flat = np.ascontiguousarray(lowered[inside])
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(flat)]).dictionary_encode()
+    distinct = coded.dictionary
+    values, at = text_values(distinct)
+    beyond = np.concatenate([[0], np.cumsum(values >= 128, dtype=np.int64)])
+    groups = _ENDINGS[values[at[1:] - 1]] if len(distinct) else np.zeros(0, np.uint8)
+    groups = np.where((groups < 26) & (beyond[at[1:]] > beyond[at[:-1]]), groups + 26, groups)
+    numbers = np.insert(np.asarray(coded.indices).astype(np.int32), np.cumsum(n), len(distinct))
+    return Tokens(pa.concat_arrays([distinct, pa.array([END], pa.large_binary())]), np.append(groups, 0).astype(np.uint8), numbers, n + 1)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -119,32 +110,31 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _token_counts(training: DataFrame) -> DataFrame:
-    """(h, c) of every training token."""
+    """(w, g, c) of every training token: its bytes, group and count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, where = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-            return keys, np.bincount(where, np.concatenate([c for _, c in held])).astype(np.int64)
+        held: dict[bytes, int] = {}
+        groups: dict[bytes, int] = {}
 
         def rows() -> pa.RecordBatch:
-            keys, counts = merged()
+            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array([groups[w] for w in held], pa.int32()), pa.array(held.values(), pa.int64())], ["w", "g", "c"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["h", "c"])
+            groups.clear()
+            return out
 
         for whole in batches:
             for batch in pieces(whole, "text"):
-                hashes, _ = token_hashes(*text_values(batch.column(0)))
-                held.append(np.unique(hashes, return_counts=True))
-                if sum(len(h) for h, _ in held) > 2_000_000:
-                    held[:] = [merged()]
-                    if len(held[0][0]) > 1_000_000:
-                        yield rows()
+                tokens = tokens_of(*text_values(batch.column(0)))
+                counts = np.bincount(tokens.numbers, minlength=len(tokens.distinct)).tolist()
+                for w, g, c in zip(tokens.distinct.to_pylist(), tokens.groups.tolist(), counts):
+                    held[w] = held.get(w, 0) + c
+                    groups[w] = g
+                if len(held) > 500_000:
+                    yield rows()
         if held:
             yield rows()
 
-    return training.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return training.select("text").mapInArrow(run, "w binary, g int, c long").groupBy("w", "g").agg(F.sum("c").alias("c"))
 
 
 def count_tokens(training: DataFrame, table_words: int = TABLE_WORDS) -> tuple[DataFrame, WordTable]:
@@ -162,12 +152,12 @@ def count_tokens(training: DataFrame, table_words: int = TABLE_WORDS) -> tuple[D
             break
         least, room = b.bin, room - b.types
     rows = counts.where(bin_of >= least).collect() if least is not None else []
-    hashes, numbers = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.c for r in rows], np.int64)
-    order = np.lexsort((hashes, -numbers))
+    rows = sorted(rows, key=lambda r: (-r.c, r.w))  # of equal counts the smaller bytes come first
     group_totals, group_distinct = np.zeros(64, np.int64), np.zeros(64, np.int64)
-    for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(63).cast("long")).alias("g")).agg(F.count(F.lit(1)).alias("types"), F.sum("c").alias("n")).collect():
+    for r in counts.groupBy("g").agg(F.count(F.lit(1)).alias("types"), F.sum("c").alias("n")).collect():
         group_totals[r.g], group_distinct[r.g] = r.n, r.types
-    return counts, WordTable(hashes[order], numbers[order], sum(b.n for b in bins), sum(b.types for b in bins), group_totals, group_distinct)
+    words, numbers, groups = [bytes(r.w) for r in rows], np.array([r.c for r in rows], np.int64), np.array([r.g for r in rows], np.int64)
+    return counts, WordTable(words, numbers, groups, sum(b.n for b in bins), sum(b.types for b in bins), group_totals, group_distinct)
 
 
 class Gru:
@@ -392,147 +382,219 @@ def from_bytes(model: Gru, data: bytes) -> Gru:
     return Gru(model.classes, model.class_words, model.state, w, model.groups)
 
 
-def word_numbers(places: np.ndarray, hashes: np.ndarray, words: int) -> np.ndarray:
-    """Table places as word numbers: the table's first words, in classes of like frequency; all others have those of their groups after."""
-    return np.where((places >= 0) & (places < words), places, words + (hashes & GROUP_BITS).astype(np.int32)).astype(np.uint16)
+_ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, part double, rare array<struct<w: binary, n: int>>, numbers binary"
 
 
-def _buffers(batches: Iterator[pa.RecordBatch], slots, words: int, each=None) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
-    """(word numbers, sizes, what ``each`` made of the pieces) of about BUFFER_WORDS tokens at a time; two bytes a token are held."""
-    held, tokens = [], 0
-    for whole in batches:
-        for batch in pieces(whole, "text"):
-            hashes, n = token_hashes(*text_values(batch.column(batch.schema.get_field_index("text"))))
-            places = find_places(slots, hashes)
-            held.append((word_numbers(places, hashes, words), n, each(batch, hashes, places, n) if each else None))
-            tokens += len(hashes)
-            if tokens >= BUFFER_WORDS:
-                yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [h[2] for h in held]
-                held, tokens = [], 0
-    if held:
-        yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [h[2] for h in held]
+def encoded(docs: DataFrame, table: WordTable, model_words: int) -> DataFrame:
+    """What the table tells of each document (doc_id, held_out, text), and its word numbers (16 bits each) for the model.
 
-
-def _trained(docs: DataFrame, shared, rate: float, words_wanted: int = 0) -> DataFrame:
-    """One row for each task that has documents: its words and its weights; ``words_wanted`` has small tables gone through more than once."""
+    Numbers from 0 are the table's first words, in classes of like frequency; all
+    others have those of their groups after ``model_words``.  ``rare`` has the
+    tokens that the table doesn't have, with their counts; ``base`` and ``part``
+    leave out those counts, but not the divisors they are put over.  ``part`` is
+    what tokens outside the model have in their groups.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, plain, data = shared.value
-        slots, model = table.slots(), from_bytes(plain, data)
-        trainer, seen = Trainer(model, rate), 0
-        for words, sizes, _ in _buffers(batches, slots, model.words):
-            for _ in range(max(1, min(PILOT_ROUNDS, words_wanted // len(words)))):
-                trainer.learn(words, sizes)
-            seen += len(words)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([to_bytes(model)], pa.binary())], ["n", "weights"])
-
-    return docs.select("text").mapInArrow(run, "n long, weights binary")
+        table = shared.value
+        place = dict(zip(table.words, range(len(table.words))))
+        share = np.append(np.log10(table.counts + 0.1), 0.0)
+        whole = np.log10(table.total + 0.1 * (table.distinct + 1))
+        totals, distinct = table.rest(model_words)
+        rest = np.log10(totals + 0.1 * (distinct + 1))
+        row = TaskContext.get().partitionId() << 40
+        for whole_batch in batches:
+            for batch in pieces(whole_batch, "text"):
+                at = batch.schema.get_field_index
+                tokens = tokens_of(*text_values(batch.column(at("text"))))
+                places = np.array([place.get(w, -1) for w in tokens.distinct.to_pylist()], np.int64)
+                edges = np.concatenate([[0], np.cumsum(tokens.sizes)])
+                summed = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x[tokens.numbers], dtype=np.float64)])[edges])  # noqa: E731, B023
+                own = share[places]  # of a place of -1 the last, which is 0
+                inside = (places >= 0) & (places < model_words)
+                part = np.where(inside, 0.0, own - rest[tokens.groups])
+                numbers = np.where(inside, places, model_words + tokens.groups.astype(np.int64)).astype("<u2")[tokens.numbers].tobytes()
+                cuts = (2 * edges).tolist()
+                where = np.flatnonzero((places < 0)[tokens.numbers])
+                of = np.searchsorted(edges, where, side="right") - 1
+                keys, times = np.unique(of * len(places) + tokens.numbers[where], return_counts=True)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(keys // len(places), minlength=len(tokens.sizes)))])
+                listed = pa.StructArray.from_arrays([tokens.distinct.take(pa.array(keys % len(places))).cast(pa.binary()), pa.array(times, pa.int32())], ["w", "n"])
+                n = batch.num_rows
+                columns = [pa.array(row + np.arange(n), pa.int64()), batch.column(at("doc_id")), batch.column(at("held_out")), pa.array(tokens.sizes, pa.int64()), pa.array(summed((places >= 0).astype(np.float64)).astype(np.int64)), pa.array(summed(own - whole)), pa.array(summed(part)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), listed), pa.array([numbers[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())]
+                row += n
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "part", "rare", "numbers"])
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, _ENCODED)
+
+
+def _numbers(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The word numbers of all rows, and how many each has."""
+    data, offsets = text_values(rows)
+    return np.frombuffer(data.tobytes(), "<u2"), np.diff(offsets) // 2
+
+
+def _trained(rows: DataFrame, model: Gru, rate: float, most: int | None = None) -> DataFrame:
+    """(bucket, n, weights) of each bucket of a table (bucket, numbers) in which buckets lie together: its words and the weights.
+
+    With ``most``, a bucket ends at so many words, and a small one is gone through more than once.
+    """
+    plain = Gru(model.classes, model.class_words, model.state, groups=model.groups)
+    shared = rows.sparkSession.sparkContext.broadcast((plain, to_bytes(model)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain, data = shared.value
+        now, seen, held, trainer = None, 0, [], None
 
-def _average(rows: DataFrame) -> bytes | None:
-    """The mean of weights, weighed by words, by two rounds of partial sums; the driver gets a few rows.
+        def learn(limit: int | None = None) -> None:
+            """Learns what is held, or the first documents of it that reach the limit."""
+            words, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            held.clear()
+            if limit:
+                cut = int(np.searchsorted(np.cumsum(sizes), limit)) + 1
+                at = int(sizes[:cut].sum())
+                held.append((words[at:], sizes[cut:]))
+                words, sizes = words[:at], sizes[:cut]
+            for _ in range(max(1, min(PILOT_ROUNDS, most // len(words))) if most and len(words) else 1):
+                trainer.learn(words, sizes)
 
-    Each round begins with a shuffle, so that no task has two Python processes.
-    """
+        def done() -> pa.RecordBatch:
+            if held:
+                learn()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([seen], pa.int64()), pa.array([to_bytes(trainer.model)], pa.binary())], ["bucket", "n", "weights"])
 
-    def summed(name: str, kind: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, n = None, 0
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    size = batch.column(0)[i].as_py()
-                    part = np.frombuffer(batch.column(1)[i].as_py(), kind).astype(np.float64)
-                    part = part * size if name == "weights" else part
-                    total, n = part if total is None else total + part, n + size
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.astype("<f8").tobytes()], pa.binary())], ["n", "sums"])
+        for whole in batches:
+            for batch in pieces(whole, "numbers", BUCKET_WORDS // 4):
+                buckets = np.asarray(batch.column(0))
+                cuts = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1).tolist(), len(buckets)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if now != buckets[a]:
+                        if now is not None:
+                            yield done()
+                        now, seen, trainer = int(buckets[a]), 0, Trainer(from_bytes(plain, data), rate)
+                    words, sizes = _numbers(batch.column(1).slice(a, b - a))
+                    if most and seen + len(words) > most:
+                        keep = int(np.searchsorted(np.cumsum(sizes), most - seen, side="right"))
+                        words, sizes = words[: int(sizes[:keep].sum())], sizes[:keep]
+                    if len(words):
+                        held.append((words, sizes))
+                        seen += len(words)
+                    while sum(len(h[0]) for h in held) >= 2 * BUCKET_WORDS:
+                        learn(2 * BUCKET_WORDS)
+        if now is not None:
+            yield done()
+
+    return rows.select("bucket", "numbers").mapInArrow(run, "bucket long, n long, weights binary")
 
-        return run
 
-    first = rows.repartition(64).mapInArrow(summed("weights", "<f4"), "n long, sums binary")
-    parts = first.repartition(4).mapInArrow(summed("sums", "<f8"), "n long, sums binary").collect()
-    n = sum(r.n for r in parts)
-    return (sum(np.frombuffer(r.sums, "<f8") for r in sorted(parts, key=lambda r: bytes(r.sums))) / n).astype("<f4").tobytes() if n else None
+def _average(rows: DataFrame) -> bytes | None:
+    """The mean of weights, weighed by words: sums of ``ADDED_BY_ONE`` rows, of as many of those, and so on, each in the order of buckets."""
+
+    def added(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")
+        n, sums = 0, None
+        for bucket, size, data in zip(*(table.column(c).to_pylist() for c in ("bucket", "n", "sums"))):
+            part = np.frombuffer(data, "<f8")
+            n, sums = n + size, part if sums is None else sums + part
+        return pa.table({"bucket": pa.array([bucket // ADDED_BY_ONE], pa.int64()), "n": pa.array([n], pa.int64()), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [(np.frombuffer(w, "<f4").astype("<f8") * n).tobytes() for n, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.binary())], ["bucket", "n", "sums"])
+
+    schema = "bucket long, n long, sums binary"
+    now = scratch.written(rows.mapInArrow(weighed, schema), "weights")
+    while now.count() > 1:
+        before, now = now, scratch.written(now.groupBy(F.floor(F.col("bucket") / ADDED_BY_ONE).alias("of")).applyInArrow(added, schema), "weights")
+        scratch.remove(rows.sparkSession, before)
+    last = now.first()
+    scratch.remove(rows.sparkSession, now)
+    return (np.frombuffer(last.sums, "<f8") / last.n).astype("<f4").tobytes() if last else None
 
 
 def fit(training: DataFrame, table: WordTable) -> Gru:
-    """A model of all training documents (column ``text``): the pilot on a sample of about ``PILOT_WORDS`` words, then every task on all its own, averaged."""
-    spark, model = training.sparkSession, Gru()
+    """A model of all training documents, rows (row, doc_id, n_tokens, numbers) of ``encoded``.
+
+    The pilot is on the documents of least hash, up to its bounds; then every
+    bucket goes through all its own, and the results are averaged.
+    """
+    model = Gru()
     counts = np.zeros(model.words, np.int64)
     top = table.counts[: model.words]
     counts[: len(top)] = top
     model.begin(counts, table.rest(model.words)[0][:GROUPS])
     plain = Gru(model.classes, model.class_words, model.state)
-    share = max(1, table.total // PILOT_WORDS)
-    pilot = training.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).repartition(1)
-    first = _trained(pilot, spark.sparkContext.broadcast((table, plain, to_bytes(model))), PILOT_RATE, PILOT_WORDS).first()
-    if first is not None:
+    # rows without an id are dealt by their place; equal rows with an id are interchangeable
+    hashed = training.select("numbers", F.xxhash64(F.coalesce("doc_id", "row"), "n_tokens", F.crc32("numbers")).alias("h"))
+    documents = int(table.counts[table.words.index(END)]) if END in table.words else 1
+    each = max(1, min(PILOT_DOCUMENTS, 2 * PILOT_WORDS * documents // max(1, table.total)))
+    sample = hashed.select("h", F.substring("numbers", 1, 2 * PILOT_EACH).alias("numbers")).orderBy("h", "numbers").limit(each)
+    pilot = sample.coalesce(1).sortWithinPartitions("h", "numbers").select(F.lit(0).cast("long").alias("bucket"), "numbers")
+    first = _trained(pilot, model, PILOT_RATE, PILOT_WORDS).first()
+    if first is not None and first.n:
         model = from_bytes(plain, first.weights)
-    data = _average(_trained(training, spark.sparkContext.broadcast((table, plain, to_bytes(model))), RATE))
+    buckets = max(1, round(table.total / BUCKET_WORDS))
+    dealt = hashed.withColumn("bucket", F.pmod("h", F.lit(buckets).cast("long"))).repartition(buckets, "bucket").sortWithinPartitions("bucket", "h", "numbers")
+    data = _average(_trained(dealt, model, RATE))
     return from_bytes(plain, data) if data else model
 
 
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
-
-
-def _scored(docs: DataFrame, shared) -> DataFrame:
-    """What a task can tell of each document from the shared table and model; ``rare`` has the hashes of the tokens that the table doesn't have.
-
-    ``base`` and ``score`` leave out the counts of rare tokens, but not the
-    divisors they are put over.
-    """
+def _scored(rows: DataFrame, model: Gru) -> DataFrame:
+    """The rows of ``encoded`` without rare tokens and numbers, and with the recurrent model's part of the score in ``learned``."""
+    plain = Gru(model.classes, model.class_words, model.state, groups=model.groups)
+    shared = rows.sparkSession.sparkContext.broadcast((plain, to_bytes(model)))
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "part"]
+    schema = T.StructType([*rows.select(*names).schema.fields, T.StructField("learned", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, plain, data = shared.value
-        slots, model = table.slots(), from_bytes(plain, data)
-        share = np.log10(table.counts + 0.1)
-        whole = np.log10(table.total + 0.1 * (table.distinct + 1))
-        totals, distinct = table.rest(model.words)
-        rest = np.log10(totals + 0.1 * (distinct + 1))
-        row = TaskContext.get().partitionId() << 40
+        model = from_bytes(*shared.value)
+        held, words = [], 0
 
-        def told(batch: pa.RecordBatch, hashes: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-            """All but the recurrent model's part of the score."""
-            edges = np.concatenate([[0], np.cumsum(sizes)])
-            summed = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])[edges])
-            found = places >= 0
-            own = np.where(found, share[np.maximum(places, 0)] if len(share) else 0.0, 0.0)
-            part = summed(np.where((places < 0) | (places >= model.words), own - rest[(hashes & GROUP_BITS).astype(np.int64)], 0.0))
-            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(summed(~found))]), pa.int32()), pa.array(hashes[~found].view(np.int64)))
-            at = batch.schema.get_field_index
-            columns = [batch.column(at("doc_id")), batch.column(at("held_out")), pa.array(sizes, pa.int64()), pa.array(summed(found).astype(np.int64)), pa.array(summed(own - whole)), pa.array(part), rare]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
-
-        for words, sizes, parts in _buffers(batches, slots, model.words, told):
+        def told() -> Iterator[pa.RecordBatch]:
+            read = [_numbers(b.column(len(names))) for b in held]
+            numbers, sizes = np.concatenate([r[0] for r in read]), np.concatenate([r[1] for r in read])
             edges = np.concatenate([[0], np.cumsum(sizes)])
-            learned = np.diff(np.concatenate([[0.0], np.cumsum(log_probabilities(model, words, sizes))])[edges]) / np.log(10)
+            learned = np.diff(np.concatenate([[0.0], np.cumsum(log_probabilities(model, numbers, sizes))])[edges]) / np.log(10)
             at = 0
-            for part in parts:
-                n = part.num_rows
-                score = pa.array(part.column(5).to_numpy() + learned[at : at + n])
-                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n), pa.int64()), *part.columns[:5], score, part.column(6)], ["row", *part.schema.names])
-                at, row = at + n, row + n
+            for b in held:
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(learned[at : at + b.num_rows])], [*names, "learned"])
+                at += b.num_rows
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, _SCORED)
+        for whole in batches:
+            for batch in pieces(whole, "numbers"):
+                held.append(batch)
+                words += batch.column(len(names)).nbytes // 2
+                if words >= BUFFER_WORDS:
+                    yield from told()
+                    held, words = [], 0
+        if held:
+            yield from told()
+
+    return rows.select(*names, "numbers").mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """One row for each document: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), logarithms to base 10.
 
-    Null texts count as empty and have one token, the end; whole texts are
-    scored.  Repeated rows are documents of their own.  Without any training
-    document all tokens are unknown.  Tokens are told apart by 58-bit hashes and their groups.
+    Null texts count as empty and have one token, the end; null ids stay, and are
+    in training or not by the empty text.  Whole texts are scored, however long: a
+    text is read in one piece, with some ten bytes a byte of it, and its numbers (two
+    bytes a word) are scored in one stream.  Repeated rows are documents of their
+    own.  Of words with equal counts those of smaller bytes have the better places
+    in the table.  Without any training document all tokens are unknown; an empty
+    table gives an empty one.  Other columns, whatever their names, aren't read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    training = rows.where("not held_out").select("text")
-    counts, table = count_tokens(training)
-    model = fit(training, table)
-    plain = Gru(model.classes, model.class_words, model.state)
-    scored = scratch.written(_scored(rows, docs.sparkSession.sparkContext.broadcast((table, plain, to_bytes(model)))), "scored")
-    # the rare tokens' counts, by equality join; none of them is frequent, so no key is hot
-    rare = scored.select("row", F.explode("rare").alias("h")).join(counts, "h", "left")
-    sums = rare.select("row", F.log10(F.coalesce("c", F.lit(0)) + 0.1).alias("share"), F.when(F.col("c") > 0, 1).otherwise(0).cast("long").alias("known")).groupBy("row").agg(F.sum("share").alias("share"), F.sum("known").alias("known"))
-    whole = scored.drop("rare").join(sums, "row", "left")
+    counts, table = count_tokens(rows.where("not held_out").select("text"))
+    read = scratch.written(encoded(rows, table, Gru().words), "encoded")
+    model = fit(read.where("not held_out").select("row", "doc_id", "n_tokens", "numbers"), table)
+    scored = scratch.written(_scored(read, model), "scored")
+    # rare tokens, once for each document that has them, by an equality join; adaptive execution splits a word that many
+    # held-out documents have and no training document does
+    rare = read.select("row", F.explode("rare").alias("r")).select("row", F.col("r.w").alias("w"), F.col("r.n").alias("n")).join(counts, "w", "left")
+    sums = rare.select("row", (F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("share"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("long").alias("known")).groupBy("row").agg(F.sum("share").alias("share"), F.sum("known").alias("known"))
+    whole = scored.join(sums, "row", "left")
     share = F.coalesce("share", F.lit(0.0))
-    return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(table.total)).cast("long").alias("train_tokens"), (F.col("base") + share).alias("base_score"), (F.col("score") + share).alias("score"))
+    return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(table.total)).cast("long").alias("train_tokens"), (F.col("base") + share).alias("base_score"), (F.col("part") + F.col("learned") + share).alias("score"))
