@@ -1,11 +1,15 @@
 """Quality rules: plain limits, then robust multivariate outliers for each language and source.
 
 Each text becomes a vector of transformed statistics in whole 1/1024ths.  For
-each (language, source) a minimum-covariance-determinant estimate is found by
+each (language, source) a minimum-covariance-determinant estimate is searched from
+several starts: a diagonal one of medians and quartiles, the plain covariance of
+all rows, and some of as few random rows as span a covariance.  Each goes through
 concentration steps: distances under the last estimate go into a histogram for
 each group, the least distant ``COVERAGE`` of the group is taken from it, and the
-sums and cross products of those rows give the next estimate.  A group is never
-gathered anywhere; its sums are whole numbers and so exact in any order.
+sums and cross products of those rows give the next estimate.  After a few steps
+the start of the least determinant goes on until its determinant falls no more.
+A group is never gathered anywhere; its sums are whole numbers and so exact in any
+order.
 """
 
 from __future__ import annotations
@@ -32,8 +36,10 @@ SCALE = 1024
 FEATURES = ("f_length", "f_symbols", "f_lines", "f_repeats", "f_upper")
 #: Standard deviations, in feature units, that an estimate has at least: less than this is no oddity in any text.
 FLOORS = (0.08, 0.05, 0.08, 0.08, 0.04)
-#: The share of a group that an estimate is made from, and the steps to it.
-COVERAGE, STEPS = 0.75, 4
+#: The share of a group that an estimate is made from; starts of random rows; steps of all starts, and of the best one at most.
+COVERAGE, RANDOM_STARTS, STEPS, LAST_STEPS = 0.75, 3, 2, 8
+#: The last steps end when no logarithm of a determinant falls by more than this.
+SETTLED = 1e-4
 #: Groups with fewer rows are pooled: by language, then all together; a pool that is still smaller rejects nothing.
 MIN_GROUP = 60
 #: A vector is rejected if a normal one is as far from the centre with this probability.
@@ -79,6 +85,20 @@ def _repeats(row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.stack([out, later])
 
 
+def repeated_words(words: list[bytes]) -> tuple[int, int]:
+    """How many words are in windows of eight that stand twice or more, and in ones that stand three times or more."""
+    number: dict[bytes, int] = {}
+    ids = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+    windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(ids, WINDOW)).view(f"V{8 * WINDOW}").ravel()
+    _, which, times = np.unique(windows, return_inverse=True, return_counts=True)
+    out = []
+    for least in (2, 3):
+        at = np.flatnonzero(times[which] >= least)
+        cover = np.cumsum(np.bincount(at, minlength=len(ids) + 1) - np.bincount(at + WINDOW, minlength=len(ids) + 1))
+        out.append(int((cover[:-1] > 0).sum()))
+    return out[0], out[1]
+
+
 def text_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The base statistics and transformed features of each text of a flat batch."""
     n_rows = len(offsets) - 1
@@ -95,8 +115,8 @@ def text_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
     real = words_in > 0
     l_starts, l_ends, l_row = l_starts[real], l_ends[real], l_row[real]
     n_dup_lines = np.bincount(l_row[_repeats(l_row, span_hashes(data, l_starts, l_ends))[1]], minlength=n_rows) if len(l_row) else np.zeros(n_rows, np.int64)
-    # words in windows of eight that stand twice or more in the text
-    n_repeat_words = n_often_words = np.zeros(n_rows, np.int64)
+    # words in windows of eight that stand twice or more in the text, and three times or more
+    n_repeat_words, n_often_words = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64)
     if len(row) >= WINDOW:
         hashes = mix(span_hashes(data, starts, ends))
         n = len(row) - WINDOW + 1
@@ -104,14 +124,16 @@ def text_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
         for k in range(WINDOW):
             window = window * np.uint64(0x9FB21C651E98DF25) + hashes[k : k + n]
         whole = np.flatnonzero(row[:n] == row[WINDOW - 1 :])
-        twice = whole[_repeats(row[whole], window[whole])[0]]
-        cover = np.cumsum(np.bincount(twice, minlength=len(row) + 1) - np.bincount(twice + WINDOW, minlength=len(row) + 1))
-        n_repeat_words = np.bincount(row[cover[:-1] > 0], minlength=n_rows)
-        # the same for windows that stand three times or more, which a line repeated once doesn't have
-        _, which, times = np.unique(mix(window[twice] ^ mix(row[twice].astype(np.uint64) + np.uint64(1))), return_inverse=True, return_counts=True)
-        thrice = twice[times[which] > 2]
-        cover = np.cumsum(np.bincount(thrice, minlength=len(row) + 1) - np.bincount(thrice + WINDOW, minlength=len(row) + 1))
-        n_often_words = np.bincount(row[cover[:-1] > 0], minlength=n_rows)
+        n_repeat_words[np.unique(row[whole[_repeats(row[whole], window[whole])[0]]])] = 1
+    # equal hashes only tell in which texts to look; there, bytes are compared
+    first = np.searchsorted(row, np.arange(n_rows + 1))
+    for r in np.flatnonzero(n_repeat_words).tolist():
+        a, b = first[r], first[r + 1]
+        n_repeat_words[r], n_often_words[r] = repeated_words([data[x:y].tobytes() for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())])
+    first = np.searchsorted(l_row, np.arange(n_rows + 1))
+    for r in np.flatnonzero(n_dup_lines).tolist():
+        a, b = first[r], first[r + 1]
+        n_dup_lines[r] = b - a - len({data[x:y].tobytes() for x, y in zip(l_starts[a:b].tolist(), l_ends[a:b].tolist())})
     words, lines = np.maximum(n_words, 1), np.maximum(np.bincount(l_row, minlength=n_rows), 1)
     raw = (
         np.log(np.maximum(word_chars, 1) / words),
@@ -161,14 +183,14 @@ def _moments(features: list[Column]) -> list[Column]:
     return out + [F.sum(long[i] * long[j]).alias(f"q{i}_{j}") for i in range(len(long)) for j in range(i, len(long))]
 
 
-_MODEL = T.StructType([T.StructField("key", T.StringType()), T.StructField("mu", T.ArrayType(T.DoubleType())), T.StructField("inv", T.ArrayType(T.DoubleType()))])
+_MODEL = "key string, start int, mu array<double>, inv array<double>, size double"
 
 
-def estimate(n: int, sums: np.ndarray, products: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Centre and inverse covariance (in feature units) from whole-number sums; floors are added to the variances."""
+def estimate(n: float, sums: np.ndarray, products: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centre, inverse covariance (in feature units) and logarithm of the determinant, from sums; floors are added to the variances."""
     mu = sums / n
-    cov = (products - np.outer(sums, sums) / n) / n / SCALE**2
-    return mu / SCALE, np.linalg.inv(factor * cov + np.diag(np.square(FLOORS)))
+    cov = factor * (products - np.outer(sums, sums) / n) / n / SCALE**2 + np.diag(np.square(FLOORS))
+    return mu / SCALE, np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
 
 
 def consistency(coverage: float, k: int) -> float:
@@ -176,24 +198,71 @@ def consistency(coverage: float, k: int) -> float:
     return coverage / chi2_cdf(chi2_quantile(coverage, k), k + 2)
 
 
-def _from_moments(moments: DataFrame, factor: float) -> DataFrame:
+def _sums(record: dict, prefix: str) -> tuple[np.ndarray, np.ndarray]:
     k = len(FEATURES)
+    products = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i, k):
+            products[i, j] = products[j, i] = float(record[f"{prefix}q{i}_{j}"])
+    return np.array([float(record[f"{prefix}s{i}"]) for i in range(k)]), products
+
+
+def _models(table: DataFrame, made) -> DataFrame:
+    """A row (key, start, mu, inv, size) for each (start, mu, inv, size) that ``made`` gives for a row of the table."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = {"key": [], "mu": [], "inv": []}
-            for r in f.to_dict("records"):
-                products = np.zeros((k, k))
-                for i in range(k):
-                    for j in range(i, k):
-                        products[i, j] = products[j, i] = float(r[f"q{i}_{j}"])
-                mu, inv = estimate(int(r["n"]), np.array([float(r[f"s{i}"]) for i in range(k)]), products, factor)
-                out["key"].append(r["key"])
-                out["mu"].append(mu.tolist())
-                out["inv"].append(inv.ravel().tolist())
-            yield pd.DataFrame(out)
+            out = [(r["key"], start, np.asarray(mu).tolist(), np.asarray(inv).ravel().tolist(), size) for r in f.to_dict("records") for start, mu, inv, size in made(r)]
+            yield pd.DataFrame(out, columns=["key", "start", "mu", "inv", "size"])
+
+    return table.mapInPandas(run, _MODEL)
+
+
+def _starts(keyed: DataFrame, min_group: int) -> DataFrame:
+    """The first estimates of each group: 0 of quartiles, 1 of all rows, others of random rows."""
+    k, features = len(FEATURES), [F.col(c) for c in FEATURES]
+    quartiles = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}") for i, c in enumerate(features)]
+    # the vector of the least hash under each of k + 1 hash functions
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(j * (k + 1) + i), *features), F.array(*features).alias("x")))["x"].alias(f"r{j}_{i}") for j in range(RANDOM_STARTS) for i in range(k + 1)]
+    table = keyed.groupBy("key").agg(*_moments(features), *quartiles, *drawn).where(F.col("n") >= min_group)
+
+    def made(r: dict) -> Iterator[tuple]:
+        spread = np.array([max((r[f"p{i}"][2] - r[f"p{i}"][0]) / (1.349 * SCALE), FLOORS[i]) for i in range(k)])
+        yield 0, np.array([r[f"p{i}"][1] for i in range(k)]) / SCALE, np.diag(1 / np.square(spread)), 2 * float(np.log(spread).sum())
+        yield 1, *estimate(int(r["n"]), *_sums(r, ""), 1.0)
+        for j in range(RANDOM_STARTS):
+            x = np.array([r[f"r{j}_{i}"] for i in range(k + 1)], float)
+            yield 2 + j, *estimate(k + 1, x.sum(0), x.T @ x, 1.0)
+
+    return scratch.written(_models(table, made), "estimate")
 
-    return moments.select("key", *_moments_schema()).mapInPandas(run, _MODEL)
+
+def concentrated(keyed: DataFrame, model: DataFrame, coverage: float) -> DataFrame:
+    """The estimates (key, start) after one step: of the least distant ``coverage`` of each group's rows.
+
+    Rows are taken by bins of distance; of the bin in which the coverage is reached,
+    all rows (ties, too) count by the share that is still needed.
+    """
+    features, names, by = [F.col(c) for c in FEATURES], _moments_schema(), ["key", "start"]
+    far = keyed.join(scratch.broadcast_if_small(model), "key").withColumn("d2", distance2(features, F.col("mu"), F.col("inv")))
+    bins = far.groupBy(*by, F.floor(_BINS_PER_OCTAVE * F.log2(F.col("d2") + 1e-6)).alias("bin")).agg(*_moments(features))
+    # one row for each bin of a group, however many rows the group has
+    size = bins.groupBy(*by).agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"))
+    need = F.ceil(F.lit(coverage) * F.col("size"))
+    begin = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("last"), F.lit(0.0).alias("share"))
+    step = lambda acc, b: F.struct((acc["sum"] + b["n"]).alias("sum"), F.when(acc["sum"] < need, b["bin"]).otherwise(acc["last"]).alias("last"), F.when(acc["sum"] < need, F.least(F.lit(1.0), (need - acc["sum"]) / b["n"])).otherwise(acc["share"]).alias("share"))
+    ends = size.select(*by, need.alias("need"), F.aggregate("bins", begin, step).alias("e")).select(*by, "need", "e.last", "e.share")
+    core = bins.join(ends, by).where(F.col("bin") <= F.col("last"))
+    whole = [F.sum(F.when(F.col("bin") < F.col("last"), F.col(c)).otherwise(0)).alias(f"w{c}") for c in names]
+    edge = [F.max(F.when(F.col("bin") == F.col("last"), F.col(c))).alias(f"e{c}") for c in names]
+    summed = core.groupBy(*by).agg(F.first("need").alias("need"), F.first("share").alias("share"), *whole, *edge)
+    factor = consistency(coverage, len(FEATURES))
+
+    def made(r: dict) -> Iterator[tuple]:
+        (s, q), (es, eq), share = _sums(r, "w"), _sums(r, "e"), float(r["share"])
+        yield int(r["start"]), *estimate(float(r["need"]), s + share * es, q + share * eq, factor)
+
+    return scratch.written(_models(summed, made), "estimate")
 
 
 def distance2(features: list[Column], mu: Column, inv: Column) -> Column:
@@ -217,7 +286,7 @@ def fit(rows: DataFrame, min_group: int = MIN_GROUP, coverage: float = COVERAGE,
     """Estimates of each group of a written table with columns ``lang``, ``source`` and the features.
 
     Returns two written tables: (fine, key), the estimate that each group uses,
-    and (key, mu, inv).  Groups of under ``min_group`` rows are pooled by language,
+    and (key, start, mu, inv, size), ``size`` being the logarithm of its determinant.  Groups of under ``min_group`` rows are pooled by language,
     such pools of under ``min_group`` all together, and a last pool that is
     still smaller has no estimate.  All rows of a group count.
     """
@@ -227,31 +296,24 @@ def fit(rows: DataFrame, min_group: int = MIN_GROUP, coverage: float = COVERAGE,
     keys = counts.join(pools, "coarse", "left").select("fine", F.when(F.col("n") >= min_group, F.col("fine")).when(F.col("pool") >= min_group, F.col("coarse")).otherwise(F.lit("*")).alias("key"))
     keys = scratch.broadcast_if_small(scratch.written(keys, "keys"))
     keyed = assign(rows, keys)
-    features = [F.col(c) for c in FEATURES]
-    quartiles = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}") for i, c in enumerate(features)]
-    start = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *quartiles).where(F.col("n") >= min_group)
-    spread = [F.greatest((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / (1.349 * SCALE), F.lit(FLOORS[i])) for i in range(len(FEATURES))]
-    zero = F.lit(0.0)
-    inv = F.array(*[1 / (spread[i] * spread[i]) if i == j else zero for i in range(len(FEATURES)) for j in range(len(FEATURES))])
-    model = scratch.written(start.select("key", F.array(*[F.col(f"p{i}")[1] / SCALE for i in range(len(FEATURES))]).alias("mu"), inv.alias("inv")), "estimate")
-    factor = consistency(coverage, len(FEATURES))
+    model = _starts(keyed, min_group)
     for _ in range(steps):
-        far = keyed.join(scratch.broadcast_if_small(model), "key").withColumn("d2", distance2(features, F.col("mu"), F.col("inv")))
-        bins = far.groupBy("key", F.floor(_BINS_PER_OCTAVE * F.log2(F.col("d2") + 1e-6)).alias("bin")).agg(*_moments(features))
-        # one row for each bin of a group, however many rows the group has; each bin up to the one that reaches the coverage
-        size = bins.groupBy("key").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"))
-        need = F.ceil(F.lit(coverage) * F.col("size"))
-        walked = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("last")), lambda acc, b: F.struct((acc["sum"] + b["n"]).alias("sum"), F.when(acc["sum"] < need, b["bin"]).otherwise(acc["last"]).alias("last")))
-        core = bins.join(size.select("key", walked["last"].alias("last")), "key").where(F.col("bin") <= F.col("last"))
-        summed = core.groupBy("key").agg(*[F.sum(c).alias(c) for c in _moments_schema()])
-        model = scratch.written(_from_moments(summed, factor), "estimate")
+        model = concentrated(keyed, model, coverage)
+    # the start of the least determinant; of equal ones the first
+    best = F.min_by(F.struct("start", "mu", "inv", "size"), F.struct("size", "start")).alias("b")
+    model = scratch.written(model.groupBy("key").agg(best).select("key", "b.start", "b.mu", "b.inv", "b.size"), "estimate")
+    for _ in range(LAST_STEPS):
+        last, model = model, concentrated(keyed, model, coverage)
+        fell = model.join(last.select("key", F.col("size").alias("before")), "key").agg(F.max(F.col("before") - F.col("size"))).first()[0]
+        if fell is None or fell <= SETTLED:
+            break
     return keys, model
 
 
 def verdict(rows: DataFrame, keys: DataFrame, model: DataFrame, tail: float = TAIL) -> DataFrame:
     """``rows`` with ``far2`` (null without an estimate) and ``outlier``."""
     cutoff = chi2_quantile(1 - tail, len(FEATURES))
-    placed = assign(rows, keys).join(scratch.broadcast_if_small(model), "key", "left")
+    placed = assign(rows, keys).join(scratch.broadcast_if_small(model.select("key", "mu", "inv")), "key", "left")
     placed = placed.withColumn("far2", distance2([F.col(c) for c in FEATURES], F.col("mu"), F.col("inv"))).drop("key", "mu", "inv")
     return placed.withColumn("outlier", F.coalesce(F.col("far2") > cutoff, F.lit(False)))
 
@@ -261,7 +323,9 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
     Estimates come from the rows that pass the base rules.  A null text has no
     words and fails them; null languages and sources are groups of their own;
-    repeated rows count each; an empty table gives an empty one.
+    repeated rows count each; whole texts are read, however long; rows that are
+    equally distant are judged alike; an empty table gives an empty one; other
+    columns, whatever their names, aren't read.
     """
     stated = with_statistics(docs.select("doc_id", "lang", "source", "text"), out="_s").select("doc_id", "lang", "source", *[F.col("_s")[c].alias(c) for c in (*BASE, *FEATURES)], base_failed(F.col("_s")).alias("base_failed"))
     table = scratch.written(stated, "statistics")
@@ -272,14 +336,13 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass the base rules and are no outliers; all columns as they are."""
-    rows = docs.select(F.struct("*").alias("doc"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    """The rows of ``docs`` that pass the base rules and are no outliers; all columns as they are.
 
-    def passed(df: DataFrame) -> DataFrame:
-        stated = with_statistics(df, out="_s").drop("text").where(~base_failed(F.col("_s")))
-        return stated.select("*", *[F.col("_s")[c].alias(c) for c in FEATURES]).drop("_s")
-
-    keys, model = fit(scratch.written(passed(rows.drop("doc")), "features"))
-    # the second reading takes the texts through their statistics once more rather than store them
-    judged = verdict(passed(rows), keys, model).where("not outlier")
+    The rows that pass the base rules are written with their features, which are
+    read alone for the estimates; so texts go through their statistics once.
+    """
+    rows = docs.select(F.struct("*").alias("doc"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    stated = with_statistics(rows, out="_s").drop("text").where(~base_failed(F.col("_s")))
+    table = scratch.written(stated.select("*", *[F.col("_s")[c].alias(c) for c in FEATURES]).drop("_s"), "passed")
+    judged = verdict(table, *fit(table.drop("doc"))).where("not outlier")
     return judged.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -27,6 +27,6 @@ def test_each_feature_can_reject(text, kept):
     stats = quality_rules.text_statistics(*textbatch.text_values(pa.array([CLEAN] * 200 + [text])))
     assert 100 * stats["n_repeat_words"][-1] <= 30 * stats["n_words"][-1]
     x = np.stack([stats[f] for f in quality_rules.FEATURES], 1).astype(float)
-    mu, inv = quality_rules.estimate(200, x[:-1].sum(0), x[:-1].T @ x[:-1], 1.0)
+    mu, inv, _ = quality_rules.estimate(200, x[:-1].sum(0), x[:-1].T @ x[:-1], 1.0)
     d = x[-1] / quality_rules.SCALE - mu
     assert (d @ inv @ d <= quality_rules.chi2_quantile(1 - quality_rules.TAIL, len(quality_rules.FEATURES))) == kept
