@@ -1,16 +1,18 @@
 """Secret scans: patterns, and candidates confirmed by decoding and parsing their structure.
 
-Long base64 and hex runs are reported only if they decode to a key: a DER
-sequence whose nested lengths add up and whose parts are those of a private or
-public key, or an OpenSSH key whose length-prefixed fields fill it.  Tokens of
-three base64url parts are reported only if the header is a JSON object that
-names an algorithm and the payload is a JSON object.
+Long base64 (either alphabet) and hex runs (either case), runs wrapped over lines
+and armoured blocks are reported only if they decode to a key: a DER sequence whose
+nested lengths add up and whose parts are those of a private or public key, an
+OpenSSH key whose length-prefixed fields fill it, or an armoured block whose headers
+tell how it is encrypted.  Any three base64url parts are a signed token if the
+first is a JSON object that names an algorithm and the second a JSON object.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -32,13 +34,22 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _MIN_ASSIGNED, _MIN_ACCESS, _MIN_HEX = 12, 18, 16
 
 _HEX = byte_table((0x30, 0x39), (0x61, 0x66))
+_ANY_HEX = byte_table((0x30, 0x39), (0x41, 0x46), (0x61, 0x66))
 _CODE = byte_table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2B, 0x2B), (0x2D, 0x2D), (0x2F, 0x2F), (0x5F, 0x5F), (0x2E, 0x2E), (0x3D, 0x3D))
 #: Shorter candidates can't hold a key or a signed token.
 MIN_CODE = 40
-_JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_BASE64 = re.compile(rb"[A-Za-z0-9+/]{38,}={0,2}|[A-Za-z0-9_-]{38,}={0,2}")
-#: base64 lines of an armoured block: full lines, then a last one.
-_BLOCK = re.compile(rb"-----BEGIN [A-Z0-9 ]*KEY-----\s+((?:[A-Za-z0-9+/]+={0,2}\s+)+)-----END [A-Z0-9 ]*KEY-----")
+_DOTTED = re.compile(rb"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+)++")
+#: Of a run of either alphabet the whole, else what is of one alphabet.
+_BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{38,}+={0,2}")
+_ONE_ALPHABET = re.compile(rb"[A-Za-z0-9+/]{38,}+={0,2}|[A-Za-z0-9_-]{38,}+={0,2}")
+#: A break between lines, which JSON writes as a backslash and a letter.
+_BREAK = rb"(?:[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*)"
+_BREAKS = re.compile(_BREAK)
+#: Lines of base64, of which the first is long enough for a key's header.
+_WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,}+(?:" + _BREAK + rb"[A-Za-z0-9+/]++={0,2})++")
+#: An armoured block: header lines, an empty line, base64 lines.
+_BLOCK = re.compile(rb"-----BEGIN [A-Z0-9 ]*KEY-----" + _BREAK + rb"++((?:[A-Za-z][A-Za-z0-9-]*+:[^\n\\]*+" + _BREAK + rb"++)*+)((?:[A-Za-z0-9+/]++={0,2}" + _BREAK + rb"++)++)-----END [A-Z0-9 ]*KEY-----")
+_ENCRYPTED, _CIPHER = re.compile(rb"Proc-Type:[ \t]*4,[ \t]*ENCRYPTED"), re.compile(rb"DEK-Info:[ \t]*[A-Za-z0-9-]+,[ \t]*((?:[0-9A-Fa-f]{2}){8,16})(?![0-9A-Fa-f])")
 
 
 def decoded(candidate: bytes) -> bytes | None:
@@ -122,17 +133,42 @@ def is_ssh_key(data: bytes) -> bool:
     return n >= 2 and at == len(data)
 
 
+def _json_object(part: bytes) -> dict | None:
+    plain = decoded(part)
+    if not plain or plain.lstrip(b" \t\r\n")[:1] != b"{":
+        return None
+    try:
+        found = json.loads(plain)
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
 def is_signed_token(candidate: bytes) -> bool:
     """Three parts: a JSON header with an algorithm, a JSON object, a signature (which may be empty only for "none")."""
     parts = candidate.split(b".")
     if len(parts) != 3:
         return False
-    try:
-        header, payload = (json.loads(decoded(p) or b"") for p in parts[:2])
-    except (ValueError, RecursionError):
+    header = _json_object(parts[0])
+    if header is None or not isinstance(header.get("alg"), str) or _json_object(parts[1]) is None:
         return False
-    named = isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(payload, dict)
-    return named and (bool(parts[2]) or header["alg"].lower() == "none") and (not parts[2] or decoded(parts[2]) is not None)
+    return decoded(parts[2]) is not None if parts[2] else header["alg"].lower() == "none"
+
+
+def signed_tokens(run: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the leftmost tokens that don't overlap, of any three parts beside each other."""
+    out = []
+    for m in _DOTTED.finditer(run):
+        parts = m[0].split(b".")
+        at, i = m.start(), 0
+        while i + 2 < len(parts):
+            end = at + len(parts[i]) + len(parts[i + 1]) + len(parts[i + 2]) + 2
+            if is_signed_token(run[at:end]):
+                out.append((at, end))
+                at, i = end + 1, i + 3
+            else:
+                at, i = at + len(parts[i]) + 1, i + 1
+    return out
 
 
 def _key_kind(data: bytes | None) -> str | None:
@@ -141,32 +177,80 @@ def _key_kind(data: bytes | None) -> str | None:
     return "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
 
 
+def _armoured(headers: bytes, body: bytes) -> str | None:
+    """The kind of an armoured block: of what it holds, or of an encrypted key that names its cipher and whose blocks are whole."""
+    data = decoded(_BREAKS.sub(b"", body))
+    if kind := _key_kind(data):
+        return kind
+    cipher = _CIPHER.search(headers)
+    if data and cipher and _ENCRYPTED.search(headers) and len(data) % (len(cipher[1]) // 2) == 0:
+        return "der_key"
+    return None
+
+
+def _wrapped_key(block: bytes) -> tuple[str, int] | None:
+    """(kind, end) of a key that begins a block of lines; lines after the length that a DER header tells aren't part of it."""
+    plain = _BREAKS.sub(b"", block)
+    if kind := _key_kind(decoded(plain)):
+        return kind, len(block)
+    head = decoded(plain[:8])
+    if not head or head[0] != 0x30:
+        return None
+    size = 2 + head[1] if head[1] < 0x80 else 3 + head[2] if head[1] == 0x81 else 4 + int.from_bytes(head[2:4], "big") if head[1] == 0x82 else 0
+    signs = -(-size // 3) * 4
+    if not size or signs >= len(plain) or not (kind := _key_kind(decoded(plain[:signs]))):
+        return None
+    at, left = 0, signs
+    for m in [*_BREAKS.finditer(block), None]:
+        line = (m.start() if m else len(block)) - at
+        if left <= line:
+            # a key ends with its line
+            return (kind, at + left) if left == line else None
+        left, at = left - line, m.end() if m else len(block)
+    return None
+
+
 def confirmed(text: bytes, code_runs: list[tuple[int, int]], hex_runs: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in bytes of the candidates whose structure holds; those inside a confirmed block aren't listed again."""
+    """(kind, start, end) in bytes of the candidates whose structure holds; those inside a confirmed block aren't listed again.
+
+    ``hex_runs`` are of either case.
+    """
     found: list[tuple[str, int, int]] = []
     if b"KEY-----" in text:
         for m in _BLOCK.finditer(text):
-            if kind := _key_kind(decoded(m[1])):
+            if kind := _armoured(m[1], m[2]):
                 found.append((kind, *m.span()))
-    blocks = list(found)
-    outside = lambda a, b: not any(s <= a and b <= e for _, s, e in blocks)
+    if code_runs:
+        blocks = [x[1:] for x in found]
+        for m in _WRAPPED.finditer(text):
+            if _outside(blocks, m.start()) and (key := _wrapped_key(m[0])):
+                found.append((key[0], m.start(), m.start() + key[1]))
+    blocks = sorted(x[1:] for x in found)
     for a, b in code_runs:
-        if not outside(a, b):
+        if not _outside(blocks, a):
             continue
         run = text[a:b]
-        for m in _JWT.finditer(run):
-            if is_signed_token(m[0]):
-                found.append(("jwt", a + m.start(), a + m.end()))
+        found += [("jwt", a + x, a + y) for x, y in signed_tokens(run)]
         for m in _BASE64.finditer(run):
             if kind := _key_kind(decoded(m[0])):
                 found.append((kind, a + m.start(), a + m.end()))
+                continue
+            for n in _ONE_ALPHABET.finditer(m[0]):
+                if len(n[0]) < len(m[0]) and (kind := _key_kind(decoded(n[0]))):
+                    found.append((kind, a + m.start() + n.start(), a + m.start() + n.end()))
     for a, b in hex_runs:
-        if b - a >= 2 * 24 and outside(a, b):
+        if b - a >= 2 * 24 and _outside(blocks, a):
             if kind := _key_kind(bytes.fromhex(text[a : a + (b - a) // 2 * 2].decode())):
                 found.append((kind, a, a + (b - a) // 2 * 2))
     return sorted(set(found), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
+def _outside(blocks: list[tuple[int, int]], place: int) -> bool:
+    """Whether a place is in none of the blocks, which are in order and don't overlap."""
+    k = bisect.bisect_right(blocks, (place, 1 << 62)) - 1
+    return k < 0 or place >= blocks[k][1]
+
+
 def base_spans(text: bytes, hex_runs: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """(kind, start, end) in bytes of the plain patterns, each kind leftmost and without overlaps; ``hex_runs`` are the long ones."""
     found = [("hex", a, b) for a, b in hex_runs]
@@ -194,14 +278,14 @@ def _long_runs(table: np.ndarray, data: np.ndarray, offsets: np.ndarray, least:
 
 def find_spans(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[str, int, int]]]:
     """For each text its spans in code points, by start, then kind as listed."""
-    hexes, codes = _long_runs(_HEX, data, offsets, _MIN_HEX), _long_runs(_CODE, data, offsets, MIN_CODE)
+    hexes, any_hexes, codes = _long_runs(_HEX, data, offsets, _MIN_HEX), _long_runs(_ANY_HEX, data, offsets, 2 * 24), _long_runs(_CODE, data, offsets, MIN_CODE)
     raw, at = data.tobytes(), offsets.tolist()
     out = []
     for n, (a, b) in enumerate(zip(at, at[1:])):
         text = raw[a:b]
         found = base_spans(text, hexes[n])
-        if codes[n] or hexes[n] or b"KEY-----" in text:
-            found = sorted(found + confirmed(text, codes[n], hexes[n]), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+        if codes[n] or b"KEY-----" in text:
+            found = sorted(found + confirmed(text, codes[n], any_hexes[n]), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
         if found and not text.isascii():
             before = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
             found = [(k, int(before[s]), int(before[e])) for k, s, e in found]
@@ -230,7 +314,13 @@ def scan_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """One row for each document: counts of the plain patterns, a digest of their spans, and all spans as text."""
+    """One row for each document: counts of the plain patterns, a digest of their spans, and all spans as text.
+
+    A null text counts as empty and has no spans; null ids stay; repeated rows
+    give repeated rows, an empty table an empty one; of spans with one start and
+    kind the shorter comes first; whole texts are read, however long; other
+    columns, whatever their names, aren't read.
+    """
     found = scan_secrets(docs.select("doc_id", "text"))
     spans = F.col("secrets")
     joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -250,7 +340,11 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """``docs`` with all secrets in ``text`` replaced by their kinds, and ``n_chars`` (where there is such a column) set anew in those rows."""
+    """``docs`` with all secrets in ``text`` replaced by their kinds, and ``n_chars`` (where there is such a column) set anew in those rows.
+
+    A null text stays null; repeated rows are changed alike; an empty table gives
+    an empty one; whole texts are read; all other columns stay as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
