@@ -3,8 +3,11 @@
 A template is written in the markup of public license lists:
 ``<<beginOptional>>...<<endOptional>>`` encloses wording that may be missing and
 ``<<var;name="...";original="...";match=".{0,N}">>`` a region that any wording of
-at most ``N`` words may replace.  All other words are mandatory.  A template
-accepts a text in which its mandatory wording stands exactly, word after word.
+at most ``N`` characters may replace (its words, joined by single spaces).  A match
+of ``.+`` or ``.*`` reaches over ``REGION`` characters at most, and any other
+pattern is refused.  All other words are mandatory.  A template accepts a text in
+which its mandatory wording stands exactly, word after word; of templates that
+accept stretches from one word on, the longest counts.
 """
 
 from __future__ import annotations
@@ -27,22 +30,80 @@ _WORD_RE = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Phrases and the labels they stand for.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: License notices, in template markup.
+#: Characters that a region without a bound of its own reaches over.
+REGION = 200
+
+_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE <<var;name="holders";original="AUTHORS OR COPYRIGHT HOLDERS";match=".{1,80}">> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD_BEGIN = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = '<<beginOptional>>3.<<endOptional>> Neither the name of <<var;name="holder";original="the copyright holder";match=".{1,120}">> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.'
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY <<var;name="holder";original="THE COPYRIGHT HOLDERS AND CONTRIBUTORS";match=".{1,120}">> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;name="liable";original="THE COPYRIGHT HOLDER OR CONTRIBUTORS";match=".{1,120}">> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_GNU = '<<var;name="what";original="This program";match=".{1,60}">> is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, either version <<var;name="version";original="3";match=".{1,10}">> of the License, or (at your option) any later version.'
+_CC = 'This <<var;name="work";original="work";match=".{1,60}">> is licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> Creative Commons Attribution{kind} <<beginOptional>>4.0<<endOptional>> <<beginOptional>>International<<endOptional>> License'
+
+#: License texts, notices and short statements, in template markup.
 TEMPLATES = {
+    "agpl-notice": _GNU.replace("{kind}", "Affero General Public License"),
     "apache-2.0": 'Licensed under the Apache License, Version 2.0 <<beginOptional>>(the "License")<<endOptional>>',
-    "apache-2.0-notice": 'you may not use this <<var;name="what";original="file";match=".{1,3}">> except in compliance with the License. You may obtain a copy of the License at',
-    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "cc-by-4.0": 'This <<var;name="work";original="work";match=".{1,6}">> is licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> Creative Commons Attribution <<beginOptional>>4.0<<endOptional>> <<beginOptional>>International<<endOptional>> License',
+    "apache-2.0-notice": 'you may not use this <<var;name="what";original="file";match=".{1,30}">> except in compliance with the License. You may obtain a copy of the License at <<var;name="place";original="http://www.apache.org/licenses/LICENSE-2.0";match=".{1,60}">> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "bsd-2-clause": f"{_BSD_BEGIN} {_BSD_END}",
+    "bsd-3-clause": f"{_BSD_BEGIN} {_BSD_NAMES} {_BSD_END}",
+    "cc-by-4.0": _CC.replace("{kind}", ""),
+    "cc-by-nc": _CC.replace("{kind}", "-NonCommercial"),
+    "cc-by-nc-nd": _CC.replace("{kind}", "-NonCommercial-NoDerivatives"),
+    "cc-by-nc-nd-short": "Licensed under CC BY-NC-ND <<beginOptional>>4.0<<endOptional>>",
+    "cc-by-nc-sa": _CC.replace("{kind}", "-NonCommercial-ShareAlike"),
+    "cc-by-nc-sa-short": "Licensed under CC BY-NC-SA <<beginOptional>>4.0<<endOptional>>",
+    "cc-by-nc-short": "Licensed under CC BY-NC <<beginOptional>>4.0<<endOptional>>",
+    "cc-by-nd": _CC.replace("{kind}", "-NoDerivatives"),
+    "cc-by-nd-short": "Licensed under CC BY-ND <<beginOptional>>4.0<<endOptional>>",
+    "cc-by-sa": _CC.replace("{kind}", "-ShareAlike"),
+    "cc-by-sa-short": "Licensed under CC BY-SA <<beginOptional>>4.0<<endOptional>>",
     "cc-by-short": "Licensed under CC BY <<beginOptional>>4.0<<endOptional>>",
-    "gpl-notice": 'This <<var;name="what";original="program";match=".{1,6}">> is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU <<beginOptional>>Lesser<<endOptional>> General Public License as published by the Free Software Foundation, either version <<var;name="version";original="3";match=".{1,3}">> of the License, or (at your option) any later version.',
-    "gpl-3.0": 'This <<var;name="what";original="work";match=".{1,6}">> is licensed under the GNU General Public License, <<beginOptional>>version<<endOptional>> 3<<beginOptional>>.0<<endOptional>>',
-    "isc": 'Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this <<var;name="what";original="software";match=".{1,3}">> for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.',
-    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this <<var;name="what";original="software";match=".{1,6}">> and associated documentation files (the "<<var;name="short";original="Software";match=".{1,3}">>"), to deal in the <<var;name="again";original="Software";match=".{1,3}">> without restriction',
+    "gpl-3.0": 'This <<var;name="what";original="work";match=".{1,60}">> is licensed under the GNU General Public License, <<beginOptional>>version<<endOptional>> 3<<beginOptional>>.0<<endOptional>>',
+    "gpl-notice": _GNU.replace("{kind}", "General Public License"),
+    "isc": 'Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this <<var;name="what";original="software";match=".{1,40}">> for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name="who";original="THE AUTHOR";match=".{1,40}">> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;name="liable";original="THE AUTHOR";match=".{1,40}">> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "lgpl-notice": _GNU.replace("{kind}", "Lesser General Public License"),
+    "mit": f'Permission is hereby granted, free of charge, to any person obtaining a copy of this <<var;name="what";original="software and associated documentation files";match=".{{1,90}}">> (the "<<var;name="short";original="Software";match=".{{1,20}}">>"), to deal in the <<var;name="again";original="Software";match=".{{1,20}}">> without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. {_WARRANTY}',
     "mit-short": "Released under the <<beginOptional>>terms of the<<endOptional>> MIT License",
-    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at <<beginOptional>>http<<endOptional>><<beginOptional>>https<<endOptional>>://mozilla.org/MPL/2.0/.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
-_MARKUP = re.compile(r'<<(?:(beginOptional)[^>]*|(endOptional)|var;(?:(?!>>).)*?match="\.\{(\d+),(\d+)\}"(?:(?!>>).)*)>>')
+_MARKUP = re.compile(r'<<(?:(beginOptional)[^>]*|(endOptional)|var;((?:(?!>>).)*))>>', re.S)
+_MATCH = re.compile(r'match="((?:(?!"(?:;|$)).)*)"(?:;|$)')
+_COUNT = re.compile(r"\.(?:\{(\d+),(\d*)\}|([+*]))")
+
+
+def _region(label: str, attributes: str) -> tuple[int, int]:
+    """The least and the greatest number of characters of a replaceable region."""
+    found = _MATCH.search(attributes)
+    m = _COUNT.fullmatch(found[1]) if found else None
+    if m is None:
+        raise ValueError(f"{label}: only regions that match .{{a,b}}, .{{a,}}, .+ or .* can be read")
+    least = int(m[1]) if m[1] else int(m[3] == "+")
+    most = int(m[2]) if m[2] else max(REGION, least)
+    if most < max(1, least):
+        raise ValueError(f"{label}: a region of at most {most} characters")
+    return least, most
+
+
+def _parts(label: str, markup: str) -> list[tuple]:
+    """("word", word), ("open",), ("close",) and ("region", least, most) in order."""
+    out, at, opened = [], 0, 0
+    for m in [*_MARKUP.finditer(markup), None]:
+        plain = markup[at : m.start() if m else len(markup)]
+        if "<<" in plain or ">>" in plain:
+            raise ValueError(f"{label}: unknown markup in {plain!r}")
+        out += [("word", w) for w in words_of(plain.encode())]
+        if m is None:
+            break
+        at, opened = m.end(), opened + bool(m[1]) - bool(m[2])
+        if opened < 0:
+            raise ValueError(f"{label}: an optional region ends that hasn't begun")
+        out.append(("open",) if m[1] else ("close",) if m[2] else ("region", *_region(label, m[3])))
+    if opened:
+        raise ValueError(f"{label}: an optional region isn't closed")
+    return out
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -50,81 +111,89 @@ def words_of(text: bytes) -> list[bytes]:
     return _WORD_RE.findall(text.lower())
 
 
+def _size(word: bytes) -> int:
+    """The characters of a word."""
+    return len(word) if word.isascii() else len(word.decode("utf-8", "replace"))
+
+
 @dataclass(frozen=True)
 class Template:
     """A token automaton without empty moves.
 
-    ``moves[state]`` maps a word to the next states; ``anything[state]`` has the
-    next states for any word; ``ends`` are accepting.  Regions end at the latest
-    word that the automaton accepts.
+    ``moves[state]`` maps a word to the next states; ``regions[state]`` is the
+    (least, most) characters of a region that a word may begin or go on there, with
+    the states after the region; ``ends`` are accepting.  A walk is in a state with the
+    characters that it has used of its region (-1: in none).
     """
 
     label: str
     moves: tuple[dict[bytes, frozenset[int]], ...]
-    anything: tuple[frozenset[int], ...]
+    regions: tuple[tuple[int, int, frozenset[int]] | None, ...]
     begin: frozenset[int]
     ends: frozenset[int]
     mandatory: frozenset[bytes]
 
     def match(self, words: Sequence[bytes], at: int) -> int:
         """The end (exclusive) of the longest accepted stretch from word ``at``; -1 if none."""
-        states, end = self.begin, -1
+        walks, end = {(s, -1) for s in self.begin}, -1
         for i in range(at, len(words) + 1):
-            if states & self.ends:
+            if any(s in self.ends for s, used in walks if used < 0):
                 end = i
-            if i == len(words) or not states:
+            if i == len(words) or not walks:
                 break
-            states = frozenset().union(*(self.moves[s].get(words[i], frozenset()) | self.anything[s] for s in states))
+            word, after = words[i], set()
+            size = _size(word)
+            for s, used in walks:
+                if used < 0:
+                    after.update((t, -1) for t in self.moves[s].get(word, ()))
+                if (region := self.regions[s]) is not None:
+                    least, most, beyond = region
+                    now = size if used < 0 else used + 1 + size
+                    if now <= most:
+                        after.add((s, now))
+                        if now >= least:
+                            after.update((t, -1) for t in beyond)
+            walks = after
         return end
 
     @functools.cached_property
-    def first(self) -> frozenset[bytes]:
-        return frozenset(w for s in self.begin for w in self.moves[s])
+    def first(self) -> frozenset[bytes | None]:
+        """Words that it may begin with; None if any."""
+        return frozenset(w for s in self.begin for w in self.moves[s]) | (frozenset([None]) if any(self.regions[s] for s in self.begin) else frozenset())
 
 
 def compile_template(label: str, markup: str) -> Template:
-    """Markup to automaton: a chain of states with empty moves around optional and inside replaceable regions, then closed over them."""
-    chain: list[tuple[int, bytes | None, int]] = []
-    empty: list[tuple[int, int]] = []
-    opened: list[int] = []
-    mandatory: set[bytes] = set()
-    state = at = 0
-    for m in [*_MARKUP.finditer(markup), None]:
-        for word in words_of(markup[at : m.start() if m else len(markup)].encode()):
-            chain.append((state, word, state + 1))
+    """Markup to automaton: a chain of states with empty moves around optional regions, then closed over them."""
+    parts = _parts(label, markup)
+    mandatory, empty, opened = set(), [], []
+    words: list[tuple[int, bytes]] = []
+    regions: dict[int, tuple[int, int]] = {}
+    state = 0
+    for kind, *what in parts:
+        if kind == "word":
+            words.append((state, what[0]))
             if not opened:
-                mandatory.add(word)
+                mandatory.add(what[0])
             state += 1
-        if m is None:
-            break
-        at = m.end()
-        if m[1]:
+        elif kind == "region":
+            regions[state] = (what[0], what[1])
+            if what[0] == 0:
+                empty.append((state, state + 1))
+            state += 1
+        elif kind == "open":
             opened.append(state)
-        elif m[2]:
-            empty.append((opened.pop(), state))
         else:
-            least, most = int(m[3]), int(m[4])
-            begin = state
-            for _ in range(most):
-                chain.append((state, None, state + 1))
-                state += 1
-            empty += [(begin + n, state) for n in range(least, most)]
-    if opened or not mandatory:
-        raise ValueError(f"{label}: an optional region isn't closed, or no wording is mandatory")
+            empty.append((opened.pop(), state))
+    if not mandatory:
+        raise ValueError(f"{label}: no wording is mandatory")
     reach = [{s} for s in range(state + 1)]
     for a, b in sorted(empty, reverse=True):  # empty moves lead forward only
         reach[a] |= reach[b]
     moves: list[dict[bytes, frozenset[int]]] = [{} for _ in range(state + 1)]
-    anything: list[set[int]] = [set() for _ in range(state + 1)]
-    for a, word, b in chain:
-        if word is None:
-            anything[a] |= reach[b]
-        else:
-            moves[a][word] = frozenset(reach[b])
-    begin = frozenset(reach[0])
-    if any(anything[s] for s in begin) or state in begin:
-        raise ValueError(f"{label}: a template begins with mandatory or optional wording")
-    return Template(label, tuple(moves), tuple(map(frozenset, anything)), begin, frozenset([state]), frozenset(mandatory))
+    for a, word in words:
+        moves[a][word] = frozenset(reach[a + 1])
+    listed = tuple((*regions[s], frozenset(reach[s + 1])) if s in regions else None for s in range(state + 1))
+    return Template(label, tuple(moves), listed, frozenset(reach[0]), frozenset([state]), frozenset(mandatory))
 
 
 @dataclass(frozen=True)
@@ -144,7 +213,7 @@ class Scanner:
     def starts(self) -> dict[bytes, list[Template]]:
         out: dict[bytes, list[Template]] = {}
         for t in self.templates:
-            for w in t.first:
+            for w in t.first - {None} if None not in t.first else ():
                 out.setdefault(w, []).append(t)
         return out
 
@@ -159,11 +228,15 @@ class Scanner:
         full: list[tuple[str, int, int]] = []
         if live:
             done = dict.fromkeys((t.label for t in live), 0)
+            anywhere = [t for t in live if None in t.first]
             for i, word in enumerate(words):
-                for t in self.starts.get(word, ()):
-                    if t.label in done and i >= done[t.label] and (end := t.match(words, i)) >= 0:
-                        full.append((t.label, i, end))
-                        done[t.label] = end
+                found = [(t.match(words, i), t.label) for t in (*self.starts.get(word, ()), *anywhere) if t.label in done and i >= done[t.label]]
+                longest = max((end for end, _ in found), default=-1)
+                for end, label in found:
+                    if end >= 0:
+                        done[label] = end
+                        if end == longest:
+                            full.append((label, i, end))
         return base, full
 
 
@@ -224,21 +297,43 @@ def license_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def template_regex(markup: str) -> str:
+def template_regex(label: str, markup: str) -> str:
     """The same language as a template's automaton, as a regular expression over words that each end with one space."""
-    out, at = "", 0
-    for m in [*_MARKUP.finditer(markup), None]:
-        out += "".join(w.decode() + " " for w in words_of(markup[at : m.start() if m else len(markup)].encode()))
-        if m is None:
-            return out
-        at = m.end()
-        out += "(?:" if m[1] else ")?" if m[2] else f"(?:[^ ]+ ){{{m[3]},{m[4]}}}"
+    out = ""
+    for kind, *what in _parts(label, markup):
+        if kind == "word":
+            out += what[0].decode() + " "
+        elif kind == "region":
+            least, most = what
+            # a word's characters and single spaces, from a word's first to a word's last
+            longer = f"[^ ].{{{max(0, least - 2)},{most - 2}}}[^ ] " if most > 1 else ""
+            one = "[^ ] " if least <= 1 else ""
+            out += f"(?:{'|'.join(x for x in (longer, one) if x)})" + ("?" if least == 0 else "")
+        else:
+            out += "(?:" if kind == "open" else ")?"
     return out
 
 
+def _longer(templates: dict[str, str]) -> dict[str, list[str]]:
+    """For each template those that accept more, from the same word on, than it does of their wording."""
+    compiled = {k: compile_template(k, v) for k, v in templates.items()}
+    plain = {k: words_of(_MARKUP.sub(lambda m: m[3] and re.search(r'original="([^"]*)"', m[3])[1] or " ", v).encode()) for k, v in templates.items()}
+    bare = {k: [w for kind, *x in _parts(k, v) for w in (x if kind == "word" else [])] for k, v in templates.items()}
+    return {a: [b for b in templates if b != a and any(0 <= compiled[a].match(text, 0) < compiled[b].match(text, 0) for text in (plain[b], bare[b]))] for a in templates}
+
+
 def oracle_sql() -> str:
-    """DuckDB SQL for ``license_report`` on ``documents``; templates as regular expressions."""
-    cases = ",\n".join(f"case when regexp_matches(joined, ' {template_regex(v)}') then '{k}' end" for k, v in sorted(TEMPLATES.items()))
+    """DuckDB SQL for ``license_report`` on ``documents``; templates as regular expressions, after longer ones from the same word are taken out."""
+    regexes = {k: template_regex(k, v) for k, v in sorted(TEMPLATES.items())}
+    longer = _longer(TEMPLATES)
+
+    def without(label: str) -> str:
+        out = "joined"
+        for other in longer[label]:
+            out = f"regexp_replace({out}, ' {regexes[other]}', ' # ', 'g')"
+        return out
+
+    cases = ",\n".join(f"case when regexp_matches({without(k)}, ' {r}') then '{k}' end" for k, r in regexes.items())
     spots = " || ".join(f"list_transform(list_filter(range(len(w)), lambda i: {' and '.join(f'w[i + {n + 1}] = {chr(39)}{x}{chr(39)}' for n, x in enumerate(p.split()))}), lambda i: {{'label': '{label}', 'at': i}})" for p, label in PHRASES.items())
     return f"""
 with tokens as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') w from documents),

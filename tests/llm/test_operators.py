@@ -109,14 +109,57 @@ def test_license_templates():
     assert not found("Licensed under the Apache License, Version 1.1")
 
 
-def test_template_automaton_equals_its_regex():
+@pytest.mark.parametrize(
+    "markup",
+    [
+        'alpha <<beginOptional>>beta gamma<<endOptional>> <<var;name="n";original="x";match=".{0,9}">> delta <<beginOptional>>end <<beginOptional>>very<<endOptional>> end<<endOptional>>',
+        '<<var;name="n";original="x";match=".{3,12}">> alpha <<var;name="m";original="x";match=".+">> delta',
+        '<<beginOptional>>alpha<<endOptional>><<var;name="n";original="x";match=".{1,1}">> beta <<var;name="m";original="x";match=".{2,}">> end',
+    ],
+)
+def test_template_automaton_equals_its_regex(markup):
     rng = random.Random(1)
-    markup = 'alpha <<beginOptional>>beta gamma<<endOptional>> <<var;name="n";original="x";match=".{0,3}">> delta <<beginOptional>>end <<beginOptional>>very<<endOptional>> end<<endOptional>>'
-    t, pattern = license_scan.compile_template("t", markup), re.compile(license_scan.template_regex(markup))
-    for _ in range(3000):
-        words = [rng.choice(["alpha", "beta", "gamma", "delta", "end", "very", "x"]) for _ in range(rng.randint(1, 9))]
+    t, pattern = license_scan.compile_template("t", markup), re.compile(license_scan.template_regex("t", markup))
+    hits = 0
+    for _ in range(6000):
+        words = [rng.choice(["alpha", "beta", "gamma", "delta", "end", "very", "x", "é"]) for _ in range(rng.randint(1, 9))]
         joined = "".join(w + " " for w in words)
-        assert (t.match([w.encode() for w in words], 0) >= 0) == bool(pattern.match(joined))
+        m = pattern.match(joined)
+        hits += bool(m)
+        assert (t.match([w.encode() for w in words], 0) >= 0) == bool(m), words
+    assert hits > 20
+
+
+def test_unknown_markup_is_refused():
+    for bad in ('a <<var;name="n";original="x";match="[0-9]+">> b', 'a <<var;name="n";original="x">> b', "a <<unknown>> b", "a <<beginOptional>> b", "a <<endOptional>> b", '<<var;name="n";original="x";match=".+">>', 'a <<var;name="n";original="x";match=".{5,2}">>'):
+        with pytest.raises(ValueError):
+            license_scan.compile_template("t", bad)
+
+
+def test_whole_texts_and_near_relatives():
+    scan = license_scan.scanner()
+    found = lambda t: {x[0] for x in scan.scan(t.lower().encode())[1]}
+    filled = {k: re.sub(r'<<var;[^>]*?original="([^"]*)"[^>]*>>', r"\1", v) for k, v in license_scan.TEMPLATES.items()}
+    for label, text in filled.items():
+        for whole in (re.sub(r"<<(begin|end)Optional>>", " ", text), re.sub(r"<<beginOptional>>.*?<<endOptional>>", " ", text)):
+            assert label in found(f"Copyright 2020 Someone\n{whole}\nmore"), label
+            assert found(whole) <= {label, "apache-2.0"} or label in ("bsd-2-clause", "bsd-3-clause"), (label, found(whole))
+    assert found("Licensed under CC BY-NC 4.0") == {"cc-by-nc-short"} and found("licensed under cc by-nc-nd") == {"cc-by-nc-nd-short"}
+    assert found("Licensed under CC BY 4.0 by all") == {"cc-by-short"}
+    gnu = re.sub(r"<<(begin|end)Optional>>", " ", filled["lgpl-notice"])
+    assert found(gnu) == {"lgpl-notice"} and found(gnu.replace("Lesser ", "")) == {"gpl-notice"}
+    mit = re.sub(r"<<(begin|end)Optional>>", " ", filled["mit"])
+    assert found(mit) == {"mit"} and not found(mit[: mit.index("THE SOFTWARE IS")]) and not found(mit.replace("NONINFRINGEMENT", "OTHERS"))
+    bsd = re.sub(r"<<(begin|end)Optional>>", " ", filled["bsd-3-clause"])
+    assert found(bsd) == {"bsd-3-clause"} and not found(bsd[: bsd.index("Neither")])
+    assert scan.scan((mit + " word " + mit).lower().encode())[1][0][1] == 0 and len(scan.scan((mit + " word " + mit).lower().encode())[1]) == 2
+
+
+def test_licenses_of_very_long_texts(spark):
+    text = "word this is free text " * 100_000 + "Licensed under CC BY-SA 4.0 " + "this program is free software " * 20_000 + "cc by"
+    out = license_scan.license_report(spark.createDataFrame([(1, text), (1, text), (None, None)], "doc_id long, text string")).collect()
+    n = 500_000 + 7 + 100_000
+    assert sorted((str(r.doc_id), r.n_words, r.n_base, r.first_word, r.last_word, r.labels) for r in out) == [("1", n + 2, 2, 500_002, n, "cc-by,cc-by-sa-short")] * 2 + [("None", 0, 0, None, None, "")]
 
 
 def test_license_edge_tables(docs):
