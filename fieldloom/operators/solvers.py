@@ -2,17 +2,18 @@
 
 Each sweep or step reads the table once and shuffles it once; unknowns, right
 hand sides and matrices are columns of one table, so that no step has a join.
-Lineage is cut every few steps by ``checkpoint()``, in the shared folder.
+Lineage is cut every few steps by a table in the shared folder; the last one
+stays for the result to be read from.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fieldloom import storage
 from fieldloom.meta import Field, bound_of
 from fieldloom.operators import posdef, stencils
 from fieldloom.operators.stencils import Penalties
@@ -21,17 +22,18 @@ from fieldloom.operators.stencils import Penalties
 CHECKPOINT_EVERY = 4
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, checkpointed in spark.checkpoint.dir; only on one machine, where that is unset, a temporary folder is made."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="fieldloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+class Cuts:
+    """Cuts of lineage: each is a written table, and the one before it is removed."""
+
+    def __init__(self) -> None:
+        self.path: str | None = None
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        table, path = storage.written(df, "steps")
+        if self.path:
+            storage.remove(df.sparkSession, self.path)
+        self.path = path
+        return table
 
 
 def colours(p: Penalties, ndim: int) -> tuple[int, str]:
@@ -81,11 +83,11 @@ def relax(field: Field, p: Penalties, right: Sequence[str], hessian: Sequence[st
     b, (count, kind) = bound_of(bound), colours(p, field.ndim)
     carry = list(dict.fromkeys([*field.channels, *right, *(hessian or ())]))
     now = field.with_df(field.df.select(*field.keys, *[F.col(c).cast("double").alias(c) for c in carry]))
-    n = len(field.channels)
+    n, cut = len(field.channels), Cuts()
     diagonal = [stencils.diagonal(field.axes, p, b, k) for k in range(n)]
     for step in range(iterations * count):
         chosen = colour_is(list(field.axes), kind, step)
-        moved = stencils.apply_stencil(now, p, b, carry=carry, out=[f"_m{k}" for k in range(n)], only=chosen)
+        moved = stencils.apply_stencil(now, p, b, carry=carry, out=[f"_m{k}" for k in range(n)])
         table = _updated(moved, now, [F.col(f"_m{k}") for k in range(n)], diagonal, right, hessian, chosen).drop(*[f"_m{k}" for k in range(n)])
         now = now.with_df(cut(table) if (step + 1) % CHECKPOINT_EVERY == 0 else table)
     return now
@@ -99,6 +101,7 @@ def relax_rls(field: Field, p: Penalties, right: Sequence[str], weights: Sequenc
         count, kind = 1, ""
     carry = list(dict.fromkeys([*field.channels, *right, *(hessian or ()), *weights]))
     now = field.with_df(field.df.select(*field.keys, *[F.col(c).cast("double").alias(c) for c in carry]))
+    cut = Cuts()
     for step in range(iterations * count):
         op = stencils._Weighted(now, p, weights, b)
         chosen = colour_is(list(field.axes), kind, step) if kind else None
@@ -130,7 +133,7 @@ def _dots(df: DataFrame, pairs: dict[str, tuple[Sequence[str], Sequence[str]]])
     return df.agg(*terms).first().asDict()
 
 
-def cg(field: Field, p: Penalties, right: Sequence[str], hessian: Sequence[str] | None = None, bound="dct2", iterations: int = 32, tolerance: float = 1e-6, cut_every: int = 1) -> Solution:
+def cg(field: Field, p: Penalties, right: Sequence[str], hessian: Sequence[str] | None = None, bound="dct2", iterations: int = 32, tolerance: float = 1e-6) -> Solution:
     """Jacobi-preconditioned conjugate gradients for (H + L) x = g from x, the field's channels.
 
     Ends after ``iterations`` steps, when the residual is at most ``tolerance``
@@ -139,6 +142,7 @@ def cg(field: Field, p: Penalties, right: Sequence[str], hessian: Sequence[str]
     """
     stencils._check(field, p)
     n, b = len(field.channels), bound_of(bound)
+    cut = Cuts()
     x, names = list(field.channels), lambda k: [f"_{k}{i}" for i in range(n)]
     r, z, d, q = names("r"), names("z"), names("d"), names("q")
     h = stencils.hessian_columns(hessian, n)

@@ -1,27 +1,25 @@
 """Regularisation operators on fields and flows: stencils with boundary conditions.
 
-A stencil is a list of taps.  Its product with a field is one aggregation: every
-voxel sends its share to the voxels that read it (beyond the ends the boundary
-condition tells which, from a short list made beforehand), and each voxel sums
-what arrives.  There is no join, and sums begin before the shuffle.
+A stencil is a list of taps.  Fields are taken by bricks (``bricks``): a shuffle of
+the field and the bricks' halos, whatever the number of taps, and numpy in them.
 
 Weighted operators need products of several neighbours' values, so there each
-voxel receives its neighbours' values as columns, again by one aggregation, and
-the rest is arithmetic on rows.
+voxel receives its neighbours' values as columns, from the bricks again, and the
+rest is arithmetic on rows.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldloom.functions import bounds
 from fieldloom.meta import Bound, Field, bound_of, per_axis
-from fieldloom.operators import posdef
+from fieldloom.operators import bricks, posdef
 
 Offset = tuple[int, ...]
 
@@ -96,117 +94,47 @@ def cross_channel(p: Penalties, ndim: int) -> dict[tuple[int, int], dict[Offset,
     return {(d, e): {_unit(ndim, (d, s), (e, t)): -w * s * t for s in (-1, 1) for t in (-1, 1)} for d in range(ndim) for e in range(ndim) if d != e and w}
 
 
-def _reads(n: int, o: int, bound: Bound) -> list[tuple[int, int, int]]:
-    """(reader, read, sign) of the places whose tap at ``o`` lies beyond the ends."""
-    out = []
-    for i in [*range(0, min(-o, n)), *range(max(n - o, 0), n)] if o else []:
-        j, s = bounds.place(i + o, n, bound)
-        if s:
-            out.append((i, j, s))
-    return out
-
-
-#: How a tap is met along each axis: (offset, -1, 0) within the ends, (0, place read, reader) beyond them.
-Way = tuple[tuple[int, int, int], ...]
-
-
-def _ways(axes: Mapping[str, int], offset: Offset, around: Sequence[Bound]) -> list[tuple[Way, int]]:
-    """The ways in which voxels read a tap, with the boundary's sign."""
-    options = []
-    for n, o, b in zip(axes.values(), offset, around):
-        own = [((o, -1, 0), 1)] if abs(o) < n else []
-        options.append(own + [((0, j, i), s) for i, j, s in _reads(n, o, b)])
-    return [(tuple(w for w, _ in chosen), math.prod(s for _, s in chosen)) for chosen in itertools.product(*options)]
-
-
-def _spread(df: DataFrame, axes: Mapping[str, int], entries: list[tuple[Way, dict[str, float]]], only: Column | None) -> DataFrame:
-    """Each voxel once for each voxel that reads it: ``_to_<axis>`` is the reader, ``_e`` has the entry's numbers; the first entry is the voxel itself.
-
-    Entries are a constant array, so generated code is as small for many taps as
-    for few.  Voxels away from the ends take a shorter array without the entries
-    for what lies beyond them.
-    """
-    names = list(entries[0][1])
-
-    def listed(some: list[tuple[Way, dict[str, float]]]) -> Column:
-        rows = []
-        for k, (way, numbers) in enumerate(some):
-            parts = [f"'{x}{a}', {v}" for a, triple in zip(axes, way) for x, v in zip("oji", triple)]
-            parts += [f"'{n}', double('{numbers[n]!r}')" for n in names] + [f"'own', {int(k == 0)}"]
-            rows.append(f"named_struct({', '.join(parts)})")
-        return F.expr(f"array({', '.join(rows)})")
-
-    inner = [e for e in entries if all(j < 0 for _, j, _ in e[0])]
-    array = listed(entries)
-    if len(inner) < len(entries):
-        within = F.lit(True)
-        for d, (a, n) in enumerate(axes.items()):
-            reach = max(abs(e[0][d][0]) for e in inner)
-            read = [e[0][d][1] for e in entries if e[0][d][1] >= 0]
-            low = max([reach, *(j + 1 for j in read if j < n // 2)])
-            high = min([n - 1 - reach, *(j - 1 for j in read if j >= n // 2)])
-            within = within & F.col(a).between(low, high)
-        array = F.when(within, listed(inner)).otherwise(array)
-    rows = df.withColumn("_e", F.explode(array))
-    for a, n in axes.items():
-        e = F.col("_e")
-        to = F.when(e[f"j{a}"] < 0, F.col(a) - e[f"o{a}"]).otherwise(e[f"i{a}"]).cast("int")
-        rows = rows.withColumn(f"_to_{a}", to).where(F.when(e[f"j{a}"] < 0, F.col(f"_to_{a}").between(0, n - 1)).otherwise(F.col(a) == e[f"j{a}"]))
-    if only is not None:
-        flagged = rows.withColumns({f"_at_{a}": F.col(a) for a in axes}).withColumns({a: F.col(f"_to_{a}") for a in axes})
-        rows = flagged.where((F.col("_e.own") == 1) | only).withColumns({a: F.col(f"_at_{a}") for a in axes}).drop(*[f"_at_{a}" for a in axes])
-    return rows
-
-
-def _summed(rows: DataFrame, batch: Sequence[str], axes: Mapping[str, int], values: Mapping[str, Column]) -> DataFrame:
-    sent = rows.select(*batch, *[F.col(f"_to_{a}").alias(a) for a in axes], *[v.cast("double").alias(n) for n, v in values.items()])
-    return sent.groupBy(*batch, *axes).agg(*[F.sum(n).alias(n) for n in values])
-
-
-def _own(columns: Sequence[str], prefix: str) -> dict[str, Column]:
-    return {f"{prefix}{k}": F.when(F.col("_e.own") == 1, F.col(c)) for k, c in enumerate(columns)}
-
-
-def apply_stencil(field: Field, p: Penalties, bound: Bound, carry: Sequence[str] = (), out: Sequence[str] | None = None, only: Column | None = None) -> DataFrame:
+def apply_stencil(field: Field, p: Penalties, bound: Bound, carry: Sequence[str] = (), out: Sequence[str] | None = None) -> DataFrame:
     """L f: the keys, the result as columns ``out`` (by default the channels' names), and the ``carry`` columns (numbers) of each voxel."""
     ndim, chans = field.ndim, list(field.channels)
     out = list(out or chans)
-    v = field.values()
-    around = [bound] * ndim
-    # by offset and bounds: how much each receiver's channel gets of the voxel's channels
-    weights: dict[tuple[Offset, tuple[Bound, ...]], dict[tuple[int, int], float]] = {}
-    for c in range(len(chans)):
+    around = tuple([bound] * ndim)
+    # by output: (channel read, offset, bounds, weight)
+    reads: list[list[tuple[str, Offset, tuple[Bound, ...], float]]] = []
+    for c, name in enumerate(chans):
         centre, taps = same_channel(p, c)
-        weights.setdefault((_unit(ndim), tuple(around)), {})[c, c] = centre - sum(taps.values())
-        for o, w in taps.items():
-            weights.setdefault((o, tuple(around)), {})[c, c] = w
+        reads.append([(name, _unit(ndim), around, centre - sum(taps.values())), *[(name, o, around, w) for o, w in taps.items()]])
     for (d, e), taps in cross_channel(p, ndim).items():
         crossed = tuple(bounds.transposed(bound) if k == d else bound for k in range(ndim))
-        for o, w in taps.items():
-            weights.setdefault((o, crossed), {})[d, e] = w
-    pairs = sorted({pair for w in weights.values() for pair in w})
-    entries = [(way, {f"w{c}_{e}": sign * w.get((c, e), 0.0) for c, e in pairs}) for (o, about), w in weights.items() for way, sign in _ways(field.axes, o, about)]
-    rows = _spread(field.df, field.axes, entries, only)
-    values = {}
-    for c in range(len(chans)):
-        parts = [F.col(f"_e.w{d}_{e}") * v[e] for d, e in pairs if d == c]
-        values[f"_o{c}"] = sum(parts[1:], parts[0])
-    summed = _summed(rows, field.batch, field.axes, values | _own(carry, "_c"))
-    return summed.select(*field.keys, *[F.coalesce(f"_o{c}", F.lit(0.0)).alias(n) for c, n in enumerate(out)], *[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)])
-
-
-def neighbourhood(df: DataFrame, batch: Sequence[str], axes: Mapping[str, int], reads: Mapping[str, tuple[str, Offset, Sequence[Bound], bool]], carry: Sequence[str]) -> DataFrame:
+        reads[d] += [(chans[e], o, crossed, w) for o, w in taps.items()]
+
+    def made(brick: bricks.Brick) -> dict[str, np.ndarray]:
+        results = {}
+        for name, taps in zip(out, reads):
+            total = 0.0
+            for column, o, bound_, w in taps:
+                value, sign = brick.read(column, o, bound_)
+                total = total + w * (value if (sign == 1).all() else np.where(sign, sign * value, 0.0))
+            results[name] = total
+        return results
+
+    inner = [f"_o{k}" for k in range(len(out))]
+    table = bricks.mapped(field.df, field.batch, field.axes, p.radius, bound, chans, list(carry), inner, lambda b: dict(zip(inner, made(b).values())))
+    return table.select(*field.keys, *[F.col(i).alias(n) for n, i in zip(out, inner)], *carry)
+
+
+def neighbourhood(df: DataFrame, batch: Sequence[str], axes: Mapping[str, int], radius: int, bound: Bound, reads: Mapping[str, tuple[str, Offset, Sequence[Bound], bool]], carry: Sequence[str]) -> DataFrame:
     """Each voxel with neighbours' values: ``reads`` maps a new column to (column, offset, bounds, whether the boundary's sign applies); null where there is no neighbour."""
-    here = tuple((0, -1, 0) for _ in axes)
-    groups = {key: k for k, key in enumerate(dict.fromkeys((offset, tuple(around)) for _, offset, around, _ in reads.values()))}
-    entries: list[tuple[Way, dict[str, float]]] = [(here, {"tap": -1.0, "sign": 1.0})]
-    entries += [(way, {"tap": float(k), "sign": float(sign)}) for (offset, around), k in groups.items() for way, sign in _ways(axes, offset, around)]
-    rows = _spread(df, axes, entries, None)
-    values = {c: F.when(F.col("_e.own") == 1, F.col(c)) for c in carry}
-    for name, (column, offset, around, signed) in reads.items():
-        x = F.col(column).cast("double")
-        values[name] = F.when(F.col("_e.tap") == float(groups[offset, tuple(around)]), x * F.col("_e.sign") if signed else x)
-    return _summed(rows, batch, axes, values)
+    columns = list(dict.fromkeys(c for c, *_ in reads.values()))
+
+    def made(brick: bricks.Brick) -> dict[str, np.ndarray]:
+        results = {}
+        for name, (column, o, around, signed) in reads.items():
+            value, sign = brick.read(column, o, tuple(around))
+            results[name] = np.ma.masked_array(sign * value if signed else value, np.broadcast_to(sign == 0, value.shape))
+        return results
+
+    return bricks.mapped(df, batch, axes, radius, bound, columns, carry, list(reads), made)
 
 
 # --- unweighted operators -------------------------------------------------
@@ -399,7 +327,7 @@ class _Weighted:
                 for o in taps:
                     reads[_named(f"x{d}{e}", o)] = (self.field.channels[e], o, around, True)
         own = list(dict.fromkeys([*self.weights, *(self.field.channels if values else ()), *carry]))
-        return neighbourhood(self.field.df, self.field.batch, self.field.axes, reads, own)
+        return neighbourhood(self.field.df, self.field.batch, self.field.axes, self.p.radius, self.bound, reads, own)
 
     def weight(self, w: str, o: Offset) -> Column:
         """A neighbour's weight; where there is none, the nearest one's along that direction."""
