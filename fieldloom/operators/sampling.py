@@ -4,7 +4,9 @@ Each point is exploded over its (order + 1) taps an axis, axis by axis, with the
 boundary condition already applied.  A gather joins the taps to the voxels and
 sums by point; a scatter sums by voxel.  Taps with sign 0 are dropped before any
 join, and points out of view have no taps: results are made dense by zero rows
-that take part in the same aggregation, so that no further join is needed.
+that take part in the same aggregation, so that no further join is needed.  Of
+these each point has one, so the aggregation also tells if two points have the
+same ids, which is refused.
 """
 
 from __future__ import annotations
@@ -15,14 +17,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fieldloom import storage
 from fieldloom.functions import bounds, fov, splines
 from fieldloom.meta import Bound, Field, Spline, bound_of, dense, per_axis, spline_of
 
 
-
 @dataclass(frozen=True)
 class Points:
-    """Points of one or more batches: ``ids`` tell points of a batch apart, ``loc`` has a coordinate column for each axis of the field."""
+    """Points of one or more batches: ``ids`` tell points of a batch apart, ``loc`` has a coordinate column for each axis of the field.
+
+    Operators that give a row for each point fail when run if two points of a
+    batch have the same ids; ``numbered`` gives points ids.
+    """
 
     df: DataFrame
     ids: Sequence[str]
@@ -39,6 +45,12 @@ class Points:
     def keys(self) -> list[str]:
         return [*self.batch, *self.ids]
 
+    @classmethod
+    def numbered(cls, df: DataFrame, loc: Sequence[str], batch: Sequence[str] = (), number: str = "point") -> Points:
+        """Points of a table without ids of its own, with a number in a new column; the table is written, so that numbers are fixed."""
+        table, _ = storage.written(df.withColumn(number, F.monotonically_increasing_id()), "points")
+        return cls(table, [number], loc, batch)
+
 
 def _check(points: Points, batch: Sequence[str], ndim: int) -> None:
     if tuple(points.batch) != tuple(batch):
@@ -48,18 +60,18 @@ def _check(points: Points, batch: Sequence[str], ndim: int) -> None:
 
 
 def _axis_taps(x: Column, n: int, order: Spline, bound: Bound, resize: bool, kinds: str) -> Column:
-    """An array of (index, and as asked for weight, gradient, second derivative), signs of the boundary included; null where the sign is 0."""
+    """An array of (index, and as asked for weight, gradient, second derivative, signs of the boundary included, and that sign); null where the sign is 0."""
     low, out = splines.first_tap(x, order, resize), []
     for t in range(int(order) + 1):
         at = low + t
         i, s = bounds.index_and_sign(at, n, bound)
         d = x - at
-        out.append(F.when(s != 0, F.struct(i.cast("int").alias("i"), *[(s * splines.at_tap(d, order, t, k)).alias("wgh"[k]) for k in range(len(kinds))])))
+        out.append(F.when(s != 0, F.struct(i.cast("int").alias("i"), *[(s.cast("double") if k == "s" else s * splines.at_tap(d, order, t, "wgh".index(k))).alias(k) for k in kinds])))
     return F.array(*out)
 
 
 def taps(df: DataFrame, loc: Sequence[str | Column], axes: Mapping[str, int], order: Spline, bound: Bound, extrapolate: int = 1, resize: bool = False, kinds: str = "w") -> DataFrame:
-    """``df`` exploded over taps: for each axis ``_i_<axis>`` and, of "wgh" as many as asked for, ``_w_``, ``_g_``, ``_h_`` of it."""
+    """``df`` exploded over taps: for each axis ``_i_<axis>`` and, of "wghs" those asked for, ``_w_``, ``_g_``, ``_h_`` and ``_s_`` (the boundary's sign) of it."""
     columns = [F.col(c).cast("double") if isinstance(c, str) else c for c in loc]
     out = df.where(fov.in_view(columns, axes, extrapolate))
     for x, (axis, n) in zip(columns, axes.items()):
@@ -81,13 +93,16 @@ def _order(order, bound) -> tuple[Spline, Bound]:
 
 
 def _gathered(field: Field, points: Points, order: Spline, bound: Bound, extrapolate: int, sums: Mapping[str, tuple[Column, str]], carry: Sequence[str] = (), kinds: str = "w") -> DataFrame:
-    """For each point the sums of (weight x channel), 0 out of view; ``carry`` columns of the points come along."""
+    """For each point the sums of (weight x channel), 0 out of view; weights may use the ``carry`` columns of the points."""
     tapped = taps(points.df.select(*points.keys, *points.loc, *carry), points.loc, field.axes, order, bound, extrapolate, kinds=kinds)
     voxels = field.df.select(*field.batch, *[F.col(a).cast("int").alias(f"_i_{a}") for a in field.axes], *[F.col(c).cast("double").alias(f"_f_{c}") for c in field.channels])
     joined = tapped.join(voxels, [*field.batch, *[f"_i_{a}" for a in field.axes]])
-    rows = joined.select(*points.keys, *carry, *[(w * F.col(f"_f_{c}")).alias(name) for name, (w, c) in sums.items()])
-    zeros = points.df.select(*points.keys, *carry, *[F.lit(0.0).alias(name) for name in sums])
-    return rows.unionByName(zeros).groupBy(*points.keys, *carry).agg(*[F.sum(n).alias(n) for n in sums])
+    rows = joined.select(*points.keys, *carry, *[(w * F.col(f"_f_{c}")).alias(name) for name, (w, c) in sums.items()], F.lit(0).alias("_points"))
+    zeros = points.df.select(*points.keys, *carry, *[F.lit(0.0).alias(name) for name in sums], F.lit(1).alias("_points"))
+    # values of the points are the same in all rows of a point
+    summed = rows.unionByName(zeros).groupBy(*points.keys).agg(*[F.sum(n).alias(n) for n in sums], F.sum("_points").alias("_points"))
+    once = F.when(F.col("_points") > 1, F.raise_error(F.lit("two points of a batch have the same ids")).cast("boolean")).otherwise(F.lit(True))
+    return summed.where(once).drop("_points")
 
 
 def pull(field: Field, points: Points, order: int | str = 2, bound: int | str = "dct2", extrapolate: int = 1) -> DataFrame:
@@ -110,14 +125,11 @@ def grad(field: Field, points: Points, order: int | str = 2, bound: int | str =
             return w
         out = None
         for b in axes:  # the sign of the boundary stays, that of the derivative goes
-            c = F.col(f"_{'g' if b == a else 'w'}_{b}")
-            if b == a:
-                sign = F.when(F.col(f"_w_{b}") < 0, -1.0).otherwise(1.0)
-                c = F.abs(c) * sign
+            c = F.abs(F.col(f"_g_{b}")) * F.col(f"_s_{b}") if b == a else F.col(f"_w_{b}")
             out = c if out is None else out * c
         return out
 
-    return _gathered(field, points, order, bound, extrapolate, {f"{c}_{a}": (along(a), c) for c in field.channels for a in axes}, kinds="wg")
+    return _gathered(field, points, order, bound, extrapolate, {f"{c}_{a}": (along(a), c) for c in field.channels for a in axes}, kinds="wgs" if absolute else "wg")
 
 
 def hess(field: Field, points: Points, order: int | str = 2, bound: int | str = "dct2", extrapolate: int = 1) -> DataFrame:

@@ -62,12 +62,12 @@ def _r(x: str, name: str) -> str:
 
 
 def _taps(axes: Axes, loc: Sequence[str], order: int, bound: str, extrapolate: int, keys: Sequence[str], carry: Sequence[str] = ()) -> str:
-    """CTEs: bm_<axis>, and t with keys, carried columns, j<axis>, w<axis>, g<axis>, h<axis>."""
+    """CTEs: bm_<axis>, and t with keys, carried columns, j<axis>, w<axis>, g<axis>, h<axis>, s<axis>."""
     maps = ",\n".join(bmap(f"bm_{a}", n, bound, 12) for a, n in axes.items())
     columns, joins, view = [], [], []
     for (a, n), x in zip(axes.items(), loc):
         d = f"p.{x} - {a}_.i"
-        columns += [f"{a}_.j as j{a}", f"{a}_.s * {spline(d, order)} as w{a}", f"{a}_.s * {spline(d, order, 1)} as g{a}", f"{a}_.s * {spline(d, order, 2)} as h{a}"]
+        columns += [f"{a}_.j as j{a}", f"{a}_.s * {spline(d, order)} as w{a}", f"{a}_.s * {spline(d, order, 1)} as g{a}", f"{a}_.s * {spline(d, order, 2)} as h{a}", f"{a}_.s as s{a}"]
         span = f"{a}_.i = round(p.{x})" if order == 0 else f"{a}_.i between floor(p.{x} - {(order - 1) / 2}) and floor(p.{x} - {(order - 1) / 2}) + {order}"
         joins.append(f"join bm_{a} {a}_ on {span}")
         if extrapolate < 1:

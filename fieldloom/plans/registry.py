@@ -68,7 +68,7 @@ def _sampling(name: str, kind: str, ndim: int, order: int, bound: str = "dct2",
     elif kind in ("grad", "grad_abs"):
         sums = {f"v_{x}": along[x] for x in a}
         if kind == "grad_abs":
-            sums = {f"v_{x}": " * ".join(f"abs(g{y}) * (case when w{y} < 0 then -1 else 1 end)" if y == x else f"w{y}" for y in a) + " * f.v" for x in a}
+            sums = {f"v_{x}": " * ".join(f"abs(g{y}) * s{y}" if y == x else f"w{y}" for y in a) + " * f.v" for x in a}
         _add(name, lambda s, d: sp.grad(field(s, d, ff), points(s, d, pp), *args, absolute=kind == "grad_abs"), sql.gather(fn, pn, axes, loc, *args, batch, sums))
     elif kind == "hess":
         pairs = [(x, x) for x in a] + [(a[i], a[j]) for i in range(len(a)) for j in range(i + 1, len(a))]
@@ -111,6 +111,12 @@ _sampling("count_2d", "count", 2, 1, "zero", -1)
 _sampling("grad_1d", "grad", 1, 3)
 _sampling("grad_3d", "grad", 3, 2, "dst2")
 _sampling("grad_abs_2d", "grad_abs", 2, 2, "dst2")
+_sampling("grad_abs_1d_linear", "grad_abs", 1, 1, "dst2")
+_sampling("grad_abs_1d_dst1", "grad_abs", 1, 3, "dst1")
+for _b in BOUNDS:
+    _sampling(f"push_bound_{_b}", "push", 1, 2, _b)
+for _k in (0, 4, 5, 6, 7):
+    _sampling(f"push_{_k}", "push", 1, _k)
 _sampling("hess_2d", "hess", 2, 3)
 _sampling("pull_backward_2d", "pull_backward", 2, 2)
 _sampling("push_backward_2d", "push_backward", 2, 1, "dct1", 0)
