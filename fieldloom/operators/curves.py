@@ -1,7 +1,9 @@
 """Distances from points to a parametric spline curve.
 
-Curves are small tables: their control points go to every task (behind a check
-of their size), and points are worked on by numpy, many at once, with no shuffle.
+Few curves go to every task (behind a check of their size), and points are worked
+on by numpy, many at once, with no shuffle.  Many curves, told apart by batch
+columns, meet their points by a shuffle; a batch's points are dealt to several tasks
+with a copy of its curve each, so that no batch has to be in one.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from fieldloom.functions.bounds import place
 from fieldloom.functions.splines import pieces
 from fieldloom.meta import bound_of, spline_of
 
-#: Control points of all curves together that tasks may get.
-MAX_CONTROL_POINTS = 1_000_000
+#: Control points of all curves together that every task may get, and of one curve that a task may get.
+MAX_CONTROL_POINTS, MAX_OF_A_CURVE = 1_000_000, 1_000_000
+#: Tasks that a batch's points are dealt to, if curves are many.
+DEALT = 16
 _GOLDEN = (1 + 5**0.5) / 2
 
 
@@ -55,23 +59,49 @@ class Curve:
 
 
 def _curves(coeff: DataFrame, batch: Sequence[str], k: str, p: Sequence[str]) -> dict[tuple, np.ndarray]:
-    """Control points by batch, brought to the driver after a check of their number."""
-    if (n := coeff.count()) > MAX_CONTROL_POINTS:
-        raise ValueError(f"{n} control points are more than the {MAX_CONTROL_POINTS} that tasks may get")
+    """Control points by batch, brought to the driver; their number has been checked."""
     table = coeff.select(*batch, k, *[F.col(c).cast("double").alias(c) for c in p]).toPandas()
     groups = [((), table)] if not batch else [(key if isinstance(key, tuple) else (key,), g) for key, g in table.groupby(list(batch))]
     return {key: g.sort_values(k)[list(p)].to_numpy(float) for key, g in groups}
 
 
+def _co_grouped(points: DataFrame, coeff: DataFrame, loc: Sequence[str], k: str, p: Sequence[str], order, bound, batch: Sequence[str], need: Sequence[str], step: Callable, keep: Sequence[str], schema: T.StructType) -> DataFrame:
+    """``_mapped`` for curves that are too many for every task: points and curves meet by batch."""
+    largest = coeff.groupBy(*batch).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if largest and largest > MAX_OF_A_CURVE:
+        raise ValueError(f"a curve has {largest} control points, more than {MAX_OF_A_CURVE}")
+    left = points.select(*dict.fromkeys([*keep, *need])).withColumn("_dealt", F.pmod(F.xxhash64(*loc), F.lit(DEALT)).cast("int"))
+    right = coeff.select(*batch, F.col(k).alias("_k"), *[F.col(c).cast("double").alias(f"_p{i}") for i, c in enumerate(p)])
+    right = right.select("*", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("_dealt"))
+
+    def run(some: pd.DataFrame, curve: pd.DataFrame) -> pd.DataFrame:
+        time, dist = np.zeros(len(some)), np.full(len(some), np.inf)
+        if len(curve) and len(some):
+            made = Curve(curve.sort_values("_k")[[f"_p{i}" for i in range(len(p))]].to_numpy(float), order, bound)
+            for a in range(0, len(some), 4096):
+                part = some.iloc[a : a + 4096]
+                time[a : a + 4096], dist[a : a + 4096] = step(made, part[list(loc)].to_numpy(float), part)
+        out = some[list(keep)].copy()
+        out["time"], out["dist"] = time, dist
+        return out
+
+    by = [*batch, "_dealt"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, schema)
+
+
 def _mapped(points: DataFrame, coeff: DataFrame, loc: Sequence[str], k: str, p: Sequence[str], order, bound, batch: Sequence[str], need: Sequence[str], step: Callable) -> DataFrame:
     """Points with columns ``time`` and ``dist`` from ``step(curve, places, frame)``, curve by curve; points of a batch without a curve have time 0 and infinite distance."""
     order, bound = spline_of(order), bound_of(bound)
     if len(loc) != len(p):
         raise ValueError("points and control points have different dimensions")
-    made = {key: Curve(x, order, bound) for key, x in _curves(coeff, batch, k, p).items()}
-    shared = points.sparkSession.sparkContext.broadcast(made)
     keep = [c for c in points.columns if c not in ("time", "dist")]
     schema = T.StructType([*points.select(*keep).schema.fields, T.StructField("time", T.DoubleType()), T.StructField("dist", T.DoubleType())])
+    if (n := coeff.count()) > MAX_CONTROL_POINTS:
+        if not batch:
+            raise ValueError(f"a curve has {n} control points, more than {MAX_CONTROL_POINTS}")
+        return _co_grouped(points, coeff, loc, k, p, order, bound, batch, need, step, keep, schema)
+    made = {key: Curve(x, order, bound) for key, x in _curves(coeff, batch, k, p).items()}
+    shared = points.sparkSession.sparkContext.broadcast(made)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -14,9 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-#: Faces that a task gets at once; vertices of a mesh.
+#: Faces that a task gets at once; vertices and faces of a mesh, which the driver holds.
 BLOCK_FACES = 200_000
-MAX_VERTICES = 5_000_000
+MAX_VERTICES, MAX_FACES = 5_000_000, 10_000_000
 _PAIRS = 2_000_000
 
 
@@ -127,6 +127,8 @@ def dt_mesh(points: DataFrame, vertices: DataFrame, faces: DataFrame, loc: Seque
         raise ValueError("meshes have 2 dimensions and segments, or 3 and triangles")
     if (n := vertices.count()) > MAX_VERTICES:
         raise ValueError(f"{n} vertices are more than {MAX_VERTICES}")
+    if (n := faces.count()) > MAX_FACES:
+        raise ValueError(f"{n} faces are more than {MAX_FACES}")
     v = vertices.select(vertex_id, *[F.col(c).cast("double").alias(c) for c in position]).orderBy(vertex_id).toPandas()
     f = faces.orderBy(face_id or list(corners)).select(*corners).toPandas().to_numpy(np.int64)
     names = v[vertex_id].to_numpy(np.int64)

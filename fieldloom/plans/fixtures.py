@@ -20,8 +20,8 @@ from orders join {_BATCHES} bt on o_orderkey % 5 = bt.k""", ("orders", "events")
 select o_orderkey q, cast(o_orderkey % n.images as int) b, cast(o_orderkey % 408 as double) / 8 - 1 ly, cast(o_custkey % 520 as double) / 8 - 0.5 lx, cast(o_custkey % 7 as double) - 3 g
 from orders cross join (select cast(floor(max(vec_id) / 50) as bigint) + 1 images from embeddings) n""", ("orders", "embeddings")),
     "p3": ("""
-select p_partkey q, cast(p_partkey % 31 as double) / 4 - 0.5 lx, cast(p_size % 33 as double) / 4 - 0.5 ly, cast(p_partkey % 29 as double) / 4 lz, cast(p_size % 5 as double) - 2 g
-from part""", ("part",)),
+select p_partkey q, cast(p_partkey % n.volumes as int) b, cast(p_partkey % 31 as double) / 4 - 0.5 lx, cast(p_size % 33 as double) / 4 - 0.5 ly, cast(p_partkey % 19 as double) / 4 - 0.5 lz, cast(p_size % 5 as double) - 2 g
+from part cross join (select cast(floor(max(vec_id) / 4) as bigint) + 1 volumes from embeddings) n""", ("part", "embeddings")),
     "sym": ("""
 select o_orderkey q, cast(6 + o_orderkey % 3 as double) h00, cast(7 + o_orderkey % 5 as double) h11, cast(8 + o_custkey % 4 as double) h22, cast(o_orderkey % 2 as double) h01,
        cast(-(o_custkey % 3) as double) h02, cast(o_orderkey % 4 as double) / 4 h12, cast(o_orderkey % 7 as double) v0, cast(o_custkey % 5 as double) - 2 v1, cast(1 as double) v2,
@@ -39,21 +39,19 @@ select p_partkey q, cast(p_size % 9 as double) / 2 - 2 px, cast(p_partkey % 7 as
 }
 
 _IMAGE = "select cast(floor(vec_id / 50) as int) b, cast(vec_id % 50 as int) y, {pos} x, cast(floor(cast({value} as double) * 64) as double) v, cast(1 + vec_id % 2 as double) wgt, cast(vec_id % 3 as double) v2, cast(vec_id % 5 as double) - 2 g, cast(2 + vec_id % 2 as double) h from {source}"
-_VOLUME = "select cast(i % 8 as int) x, cast(floor(i / 8) as int) % 8 y, cast(floor(i / 64) as int) z, cast((i * 37) % 101 - 50 as double) v, cast((i * 11) % 7 - 3 as double) v1, cast((i * 5) % 9 - 4 as double) v2, cast(1 + i % 4 as double) / 2 wgt, cast((i * 13) % 19 - 9 as double) g, cast(2 + i % 3 as double) h from {source}"
+_VOLUME = "select cast(floor(vec_id / 4) as int) b, {pos} % 8 x, cast(floor({pos} / 8) as int) y, cast(vec_id % 4 as int) z, cast(floor(cast({value} as double) * 64) as double) v, cast((vec_id * 11 + {pos}) % 7 - 3 as double) v1, cast((vec_id * 5 + {pos} * 3) % 9 - 4 as double) v2, cast(1 + (vec_id + {pos}) % 4 as double) / 2 wgt, cast((vec_id * 13 + {pos}) % 19 - 9 as double) g, cast(2 + (vec_id + {pos}) % 3 as double) h from {source}"
 
 DUCK = {k: v for k, (v, _) in SQL.items()} | {
     "f2": _IMAGE.format(pos="cast(pos - 1 as int)", value="embedding[pos]", source="embeddings, range(1, 65) t(pos)"),
-    "f8": _VOLUME.format(source="(select unnest(range(512)) i)"),
+    "f3": _VOLUME.format(pos="cast(pos - 1 as int)", value="embedding[pos]", source="embeddings, range(1, 65) t(pos)"),
 }
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture as a DataFrame."""
-    if name == "f2":
+    if name in ("f2", "f3"):
         vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-        return spark.sql(_IMAGE.format(pos="pos", value="c", source="(select vec_id, posexplode(embedding) as (pos, c) from {embeddings})"), embeddings=vectors)
-    if name == "f8":
-        return spark.sql(_VOLUME.format(source="{ids}"), ids=spark.range(512).withColumnRenamed("id", "i"))
+        return spark.sql((_IMAGE if name == "f2" else _VOLUME).format(pos="pos", value="c", source="(select vec_id, posexplode(embedding) as (pos, c) from {embeddings})"), embeddings=vectors)
     text, tables = SQL[name]
     for t in tables:
         text = text.replace(f"from {t}", f"from {{{t}}}")

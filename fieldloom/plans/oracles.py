@@ -11,6 +11,8 @@ import itertools
 from collections.abc import Mapping, Sequence
 from math import comb, factorial
 
+import numpy as np
+
 from fieldloom.plans.fixtures import DUCK
 
 Axes = Mapping[str, int]
@@ -106,6 +108,14 @@ def product(axes: Axes, kinds: Mapping[str, str] | None = None) -> str:
     return " * ".join(f"{(kinds or {}).get(a, 'w')}{a}" for a in axes)
 
 
+def inverse_spline(order: int) -> list[tuple[float, float]]:
+    """(a, z) such that a spline's coefficients are the sums over k of (sum a z**|k|) times the samples, from its values at whole places."""
+    value = lambda x: sum((-1) ** j * comb(order + 1, j) * max(x + (order + 1) / 2 - j, 0.0) ** order for j in range(order + 2)) / factorial(order)
+    m = order // 2
+    polynomial = np.poly1d([value(k) for k in range(-m, m + 1)])
+    return [(float((z ** (m - 1) / polynomial.deriv()(z)).real), float(z.real)) for z in polynomial.roots if abs(z) < 1]
+
+
 def resize(field: str, axes: Axes, new: Axes, order: int, bound: str, batch: Sequence[str], shift: float = 0.0) -> str:
     """One tensor sum over all axes at once."""
     maps = ",\n".join(bmap(f"bm_{a}", n, bound, 12) for a, n in axes.items())
@@ -174,7 +184,7 @@ def _values(name: str, axes: Axes, taps) -> str:
     return f"{name}({', '.join('o' + a for a in axes)}, w) as (values {rows})"
 
 
-def stencil_ctes(axes: Axes, batch: Sequence[str], own: Sequence[tuple[str, float, list]], cross: Sequence[tuple[int, str, list, int]], bound: str, source: str = "f", weight: str | None = None, tag: str = "", factor: str = "") -> tuple[str, list[str]]:
+def stencil_ctes(axes: Axes, batch: Sequence[str], own: Sequence[tuple[str, float, list]], cross: Sequence[tuple[int, str, list, int]], bound: str, source: str = "f", weight: str | Sequence[str] | None = None, tag: str = "", factor: str = "") -> tuple[str, list[str]]:
     """CTEs that leave, for each channel, a table m<c> (keys, y) with L f; ``own`` has (channel, absolute, taps), ``cross`` (out, channel read, taps, axis swapped)."""
     keys = [*batch, *axes]
     ctes, parts = [], {}
@@ -182,8 +192,9 @@ def stencil_ctes(axes: Axes, batch: Sequence[str], own: Sequence[tuple[str, floa
     for c, (channel, absolute, taps) in enumerate(own):
         ctes.append(_values(f"k{tag}{c}", axes, taps) if taps else f"k{tag}{c} as (select {', '.join(f'0 as o{a}' for a in axes)}, 0.0 as w)")
         maps = " ".join(f"left join bm_{a} {a}_ on {a}_.i = f.{a} + k.o{a}" for a in axes)
-        w = f"k.w * (f.{weight} + coalesce(n.{weight}, f.{weight})) / 2" if weight else "k.w"
-        centre = f"{absolute!r} * f.{weight} * f.{channel}" if weight else f"{absolute!r} * f.{channel}"
+        of = weight if not isinstance(weight, (list, tuple)) else weight[c]
+        w = f"k.w * (f.{of} + coalesce(n.{of}, f.{of})) / 2" if of else "k.w"
+        centre = f"{absolute!r} * f.{of} * f.{channel}" if of else f"{absolute!r} * f.{channel}"
         sign = " * ".join(f"{a}_.s" for a in axes)
         parts.setdefault(c, []).append(f"select {', '.join(f'f.{k}' for k in keys)}, {w} * (coalesce({sign} * n.{channel}, 0) - f.{channel}) lv from {source} f cross join k{tag}{c} k {maps} left join {source} n on {on({a: a + '_' for a in axes})}")
         parts[c].append(f"select {', '.join(f'f.{k}' for k in keys)}, {centre} lv from {source} f")
@@ -202,7 +213,7 @@ def maps_of(axes: Axes, bound: str) -> str:
     return ",\n".join([bmap(f"bm_{a}", n, bound, 3) for a, n in axes.items()] + [bmap(f"sw_{a}", n, swapped(bound), 3) for a, n in axes.items()])
 
 
-def stencil(field: str, axes: Axes, batch: Sequence[str], own, cross, bound: str, outputs: Mapping[str, str] | None = None, weight: str | None = None) -> str:
+def stencil(field: str, axes: Axes, batch: Sequence[str], own, cross, bound: str, outputs: Mapping[str, str] | None = None, weight: str | Sequence[str] | None = None) -> str:
     """L f, or expressions of m0.y, m1.y, ... and f's columns."""
     ctes, made = stencil_ctes(axes, batch, own, cross, bound, weight=weight)
     keys = [*batch, *axes]
@@ -230,11 +241,51 @@ def diagonal(field: str, axes: Axes, batch: Sequence[str], own, bound: str, plus
     return f"with f as ({DUCK[field]}) select {', '.join(keys)}, {', '.join(_r(expr(c, a, t), c) for c, a, t in own)} from f"
 
 
-def weighted_diagonal(field: str, axes: Axes, batch: Sequence[str], own, bound: str, weight: str) -> str:
-    """abs w - sum w_k (w + w') / 2 s, for penalties without bending."""
+def weighted_lame(field: str, axes: Axes, batch: Sequence[str], own, channels: Sequence[str], shears: float, div: float, bound: str, weight: str) -> str:
+    """L f with one weight map: between channels, neighbours' weights along either axis count for shears and for the divergence."""
+    keys, names = [*batch, *axes], list(axes)
+    ctes, made = stencil_ctes(axes, batch, own, [], bound, weight=weight)
+    parts = {c: [f"select {', '.join(keys)}, lv from {m}"] for c, m in enumerate(made)}
+    at = lambda t, places: " and ".join([*[f"{t}.{b} = f.{b}" for b in batch], *[f"{t}.{a} = {places.get(a, f'f.{a}')}" for a in names]])
+    for c, d in enumerate(names):
+        for e_, e in enumerate(names):
+            if c == e_:
+                continue
+            for s in (-1, 1):
+                for t in (-1, 1):
+                    k = f"{-s * t / 4!r} * ({shears!r} * coalesce(wd.{weight}, f.{weight}) + {div!r} * coalesce(we.{weight}, f.{weight}))"
+                    near = f"left join bm_{d} pd on pd.i = f.{d} + ({s}) left join {'f'} wd on {at('wd', {d: 'pd.j'})} left join bm_{e} pe on pe.i = f.{e} + ({t}) left join f we on {at('we', {e: 'pe.j'})}"
+                    read = f"join sw_{d} sd on sd.i = f.{d} + ({s}) join bm_{e} se on se.i = f.{e} + ({t}) join f n on {at('n', {d: 'sd.j', e: 'se.j'})}"
+                    parts[c].append(f"select {', '.join(f'f.{x}' for x in keys)}, {k} * sd.s * se.s * n.{channels[e_]} lv from f {near} {read}")
+    for c, rows in parts.items():
+        ctes += f",\nz{c} as (select {', '.join(keys)}, sum(lv) lv from ({' union all '.join(rows)}) group by {', '.join(keys)})"
+    joins = " ".join(f"join z{c} using ({', '.join(keys)})" for c in parts)
+    return f"with f as ({DUCK[field]}), {maps_of(axes, bound)},\n{ctes}\nselect {', '.join(keys)}, {', '.join(_r(f'z{c}.lv', ch) for c, ch in enumerate(channels))} from f {joins}"
+
+
+def relax_flow(field: str, axes: Axes, batch: Sequence[str], own, cross, right: Sequence[str], bound: str, colours: int, kind: str, sweeps: int) -> str:
+    """Coloured sweeps for the channels of a flow without a matrix, unrolled."""
+    keys, channels = [*batch, *axes], [c for c, _, _ in own]
+    names = list(dict.fromkeys([*channels, *right]))
+    chain = [f"f0 as (select {', '.join([*keys, *names])} from f)"]
+    colour = f"({' + '.join('f.' + a for a in axes)}) % 2" if kind == "sum" else " + ".join(f"(f.{a} % {kind}) * {int(kind) ** d}" for d, a in enumerate(axes))
+    diag = [diagonal_sql(axes, a, taps, bound) for _, a, taps in own]
+    for n in range(sweeps * colours):
+        ctes, made = stencil_ctes(axes, batch, own, cross, bound, source=f"f{n}", tag=f"{n}_")
+        chain.append(ctes)
+        new = [f"case when {colour} = {n % colours} then f.{c} + (f.{g} - {m}.lv) / {d} else f.{c} end {c}" for c, g, m, d in zip(channels, right, made, diag)]
+        joins = " ".join(f"join {m} using ({', '.join(keys)})" for m in made)
+        rest = "".join(f", f.{x}" for x in names if x not in channels)
+        chain.append(f"f{n + 1} as materialized (select {', '.join(f'f.{k}' for k in keys)}, {', '.join(new)}{rest} from f{n} f {joins})")
+    return f"with f as ({DUCK[field]}), {maps_of(axes, bound)},\n" + ",\n".join(chain) + f"\nselect {', '.join(keys)}, {', '.join(_r(c, c) for c in channels)} from f{sweeps * colours}"
+
+
+def weighted_diagonal(field: str, axes: Axes, batch: Sequence[str], own, bound: str, weight: str | Sequence[str]) -> str:
+    """abs w - sum w_k (w + w') / 2 s, for penalties without bending; one weight, or one for each channel."""
     keys = [*batch, *axes]
-    ctes, selects = [], []
+    ctes, selects, weights = [], [], [weight] * len(own) if isinstance(weight, str) else list(weight)
     for c, (channel, absolute, taps) in enumerate(own):
+        weight = weights[c]
         ctes.append(_values(f"k{c}", axes, taps))
         maps = " ".join(f"left join bm_{a} {a}_ on {a}_.i = f.{a} + k.o{a}" for a in axes)
         on = " and ".join([*[f"n.{b} = f.{b}" for b in batch], *[f"n.{a} = {a}_.j" for a in axes]])

@@ -18,9 +18,9 @@ BOUNDS = ("zero", "replicate", "dct1", "dct2", "dst1", "dst2", "dft", "nocheck")
 #: Fields by dimension: fixture, axes, batch, channel columns of a flow.
 F1 = ("f1", {"x": 30}, ("b",))
 F2 = ("f2", {"y": 50, "x": 64}, ("b",))
-F3 = ("f8", {"x": 8, "y": 8, "z": 8}, ())
+F3 = ("f3", {"x": 8, "y": 8, "z": 4}, ("b",))
 #: Points by dimension: fixture, coordinates in order of the field's axes, batch.
-P1, P2, P3 = ("p1", ("lx",), ("b",)), ("p2", ("ly", "lx"), ("b",)), ("p3", ("lx", "ly", "lz"), ())
+P1, P2, P3 = ("p1", ("lx",), ("b",)), ("p2", ("ly", "lx"), ("b",)), ("p3", ("lx", "ly", "lz"), ("b",))
 PAIRS = {1: (F1, P1), 2: (F2, P2), 3: (F3, P3)}
 FLOWS = {1: (F1, ("v",)), 2: (F2, ("v", "v2")), 3: (F3, ("v", "v1", "v2"))}
 VOXEL = {1: [1.0], 2: [1.0, 2.0], 3: [1.0, 2.0, 0.5]}
@@ -127,12 +127,12 @@ _sampling("grad_backward_1d", "grad_backward", 1, 5)
 
 # --- resizing
 
-for _o in (0, 1, 3):
-    _n = {0: "nearest", 1: "linear", 3: "cubic"}[_o]
+for _o in range(8):
+    _n = {0: "nearest", 1: "linear", 3: "cubic"}.get(_o, f"order_{_o}")
     _add(f"resample_{_n}", lambda s, d, o=_o: sp.resample(field(s, d, F1), {"x": 45}, o, "dct2", 0.5).df, sql.resize("f1", {"x": 30}, {"x": 45}, _o, "dct2", ("b",), 0.5))
     _add(f"restriction_{_n}", lambda s, d, o=_o: sp.restriction(field(s, d, F1), {"x": 10}, o, "dct2", 0.5).df, sql.restrict("f1", {"x": 30}, {"x": 10}, _o, "dct2", ("b",), 0.5))
 _add("resample_2d", lambda s, d: sp.resample(field(s, d, F2), {"y": 25, "x": 96}, 2, "dft").df, sql.resize("f2", F2[1], {"y": 25, "x": 96}, 2, "dft", ("b",)))
-_add("resample_3d", lambda s, d: sp.resample(field(s, d, F3), {"x": 5, "y": 12, "z": 8}, 1, "dst2").df, sql.resize("f8", F3[1], {"x": 5, "y": 12, "z": 8}, 1, "dst2", ()))
+_add("resample_3d", lambda s, d: sp.resample(field(s, d, F3), {"x": 5, "y": 12, "z": 8}, 1, "dst2").df, sql.resize("f3", F3[1], {"x": 5, "y": 12, "z": 8}, 1, "dst2", ("b",)))
 _add("restriction_2d", lambda s, d: sp.restriction(field(s, d, F2), {"y": 25, "x": 16}, 1, "replicate").df, sql.restrict("f2", F2[1], {"y": 25, "x": 16}, 1, "replicate", ("b",)))
 
 
@@ -141,13 +141,11 @@ _add("restriction_2d", lambda s, d: sp.restriction(field(s, d, F2), {"y": 25, "x
 MASK = ("mask", {"x": 64}, ("b",))
 _add("dt_l1", lambda s, d: lines.dt_l1(field(s, d, MASK, ["f"]), spacing=2.0).df, f"with f as ({DUCK['mask']}) select p.b, q.x, round(min(p.f + 2.0 * abs(q.x - p.x)) + {sql.NUDGE}, 6) + 0.0 as f from f p join (select distinct b, x from f) q on p.b = q.b group by 1, 2")
 _add("dt_euclidean", lambda s, d: lines.dt_euclidean(field(s, d, MASK, ["f"]), spacing=1.5).df, f"with f as ({DUCK['mask']}) select p.b, q.x, round(min(p.f + 2.25 * power(q.x - p.x, 2)) + {sql.NUDGE}, 6) + 0.0 as f from f p join (select distinct b, x from f) q on p.b = q.b group by 1, 2")
-_POLE = {2: -3 + 8**0.5, 3: -2 + 3**0.5}
 for _b in ("dct1", "dct2", "dft", "replicate"):
-    for _o in (2, 3):
-        _z = _POLE[_o]
-        _gain = (-8 if _o == 2 else -6) * _z / (1 - _z * _z)
+    for _o in range(2, 8):
+        _weights = " + ".join(f"{_a!r} * power({_z!r}, abs(e.i - o.x))" for _a, _z in sql.inverse_spline(_o))
         _add(f"spline_coeff_{_b}_{_o}", lambda s, d, b=_b, o=_o: lines.spline_coeff(field(s, d, F1), o, b).df,
-             f"with f as ({DUCK['f1']}), {sql.bmap('e', 30, 'dct2' if _b == 'replicate' else _b, 40)} select f.b, o.x, round(sum({_gain!r} * power({_z!r}, abs(e.i - o.x)) * f.v) + {sql.NUDGE}, 6) + 0.0 as v from (select unnest(range(30))::int x) o join e on abs(e.i - o.x) <= 40 join f on f.x = e.j group by 1, 2")
+             f"with f as ({DUCK['f1']}), {sql.bmap('e', 30, 'dct2' if _b == 'replicate' else _b, 45)} select f.b, o.x, round(sum(({_weights}) * f.v) + {sql.NUDGE}, 6) + 0.0 as v from (select unnest(range(30))::int x) o join e on abs(e.i - o.x) <= 45 join f on f.x = e.j group by 1, 2")
 _T = [k / 2 for k in range(49)]
 
 
@@ -157,9 +155,8 @@ def _table_search(s: SparkSession, d: str) -> DataFrame:
 
 def _refined(how) -> Query:
     def query(s: SparkSession, d: str) -> DataFrame:
-        seed = _table_search(s, d)
-        out = how(seed.withColumn("seed", F.col("dist")), table(s, d, "curve"), ("px", "py"))
-        return out.select("q", ((F.col("dist") <= F.col("seed")) & (F.col("dist") >= 0)).alias("no_worse"), (F.abs(F.col("time") * 0) == 0).alias("finite"))
+        out = how(_table_search(s, d), table(s, d, "curve"), ("px", "py"))
+        return out.select("q", F.round(F.sqrt("dist") + sql.NUDGE, 3).alias("dist"), F.round(F.col("time") * 0, 1).alias("off"))
 
     return query
 
@@ -168,8 +165,15 @@ _add("dt_spline_table", _table_search, f"""with c as ({DUCK['curve']}), p as ({D
 times as (select unnest({_T!r}::double[]) t), placed as (select t, sum({sql.spline('t - e.i', 3)} * p0) x, sum({sql.spline('t - e.i', 3)} * p1) y from times join e on e.i between floor(t - 1) and floor(t - 1) + 3 join c on c.k = e.j group by t),
 far as (select q, px, py, t, power(px - x, 2) + power(py - y, 2) d from p cross join placed), best as (select *, row_number() over (partition by q order by round(d, 9), t) n from far)
 select q, round(px + {sql.NUDGE}, 6) + 0.0 as px, round(py + {sql.NUDGE}, 6) + 0.0 as py, round(t + {sql.NUDGE}, 6) + 0.0 as time, round(d + {sql.NUDGE}, 6) + 0.0 as dist from best where n = 1""")
-_add("dt_spline_brent", _refined(curves.dt_spline_brent), f"select q, true as no_worse, true as finite from ({DUCK['pts']}) p")
-_add("dt_spline_gaussnewton", _refined(curves.dt_spline_gaussnewton), f"select q, true as no_worse, true as finite from ({DUCK['pts']}) p")
+# the least distance on a fine grid around the seed that the table search finds
+_FINE = f"""with c as ({DUCK['curve']}), p as ({DUCK['pts']}), {sql.bmap('e', 25, 'dct2', 6)},
+times as (select i / 4000.0::double t from (select unnest(range(-4000, 100001)) i)),
+placed as materialized (select t, sum({sql.spline('t - e.i', 3)} * p0) x, sum({sql.spline('t - e.i', 3)} * p1) y from times join e on e.i between floor(t - 1) and floor(t - 1) + 3 join c on c.k = e.j group by t),
+far as (select q, px, py, t, power(px - x, 2) + power(py - y, 2) d from p cross join (select * from placed where t * 2 = floor(t * 2) and t between 0 and 24)),
+seed as (select q, px, py, t from (select *, row_number() over (partition by q order by round(d, 9), t) n from far) where n = 1)
+select q, round(sqrt(min(power(px - x, 2) + power(py - y, 2))) + {sql.NUDGE}, 3) as dist, 0.0::double as off from seed join placed on placed.t between {{low}} and {{high}} group by q"""
+_add("dt_spline_brent", _refined(curves.dt_spline_brent), _FINE.format(low="seed.t - 0.6", high="seed.t + 0.6"))
+_add("dt_spline_gaussnewton", _refined(curves.dt_spline_gaussnewton), _FINE.format(low="greatest(seed.t - 0.6, 0)", high="least(seed.t + 0.6, 24)"))
 
 _VERTICES = [(0, 2.0, 0.0, 0.0), (1, -2.0, 0.0, 0.0), (2, 0.0, 2.0, 0.0), (3, 0.0, -2.0, 0.0), (4, 0.0, 0.0, 2.0), (5, 0.0, 0.0, -2.0)]
 _FACES = [(0, 2, 4), (2, 1, 4), (1, 3, 4), (3, 0, 4), (2, 0, 5), (1, 2, 5), (3, 1, 5), (0, 3, 5)]
@@ -192,6 +196,26 @@ for _n, _s, _v in (("unsigned", False, False), ("signed", True, False), ("naive"
     _add(f"dt_mesh_{_n}", _mesh(_s, _v), _OCTAHEDRON.format(sign="(case when u[1] + u[2] + u[3] < 2 then -1 else 1 end)" if _s else "1"))
 
 
+# an uneven polygon, clockwise, so that normals point outwards: vertex numbers aren't places, and no point is as near to two segments
+_CORNERS = [(10, 0.13, -2.17), (25, 2.31, 0.29), (30, 0.87, 0.41), (41, 0.53, 1.73), (52, -1.19, 2.11), (60, -2.43, -0.37)]
+_SIDES = [(_CORNERS[(k + 1) % 6][0], _CORNERS[k][0]) for k in range(6)]
+
+
+def _polygon(s: SparkSession, d: str) -> DataFrame:
+    vertices = s.createDataFrame(_CORNERS, "vid long, px double, py double")
+    faces = s.createDataFrame(_SIDES, "v0 long, v1 long")
+    found = meshes.dt_mesh(table(s, d, "pts").select("q", "px", "py"), vertices, faces, ("px", "py"), True, position=("px", "py"), corners=("v0", "v1"))
+    return found.select("q", "dist", "nearest_vertex")
+
+
+_add("dt_mesh_2d_signed", _polygon, f"""with p as ({DUCK['pts']}), v(id, x, y) as (values {', '.join(map(str, _CORNERS))}), f(a, b) as (values {', '.join(map(str, _SIDES))}),
+s as (select f.a, f.b, v.x ax, v.y ay, w.x bx, w.y by_ from f join v on v.id = f.a join v w on w.id = f.b),
+t as (select q, px, py, s.*, greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / (power(bx - ax, 2) + power(by_ - ay, 2)))) u from p cross join s),
+r as (select q, a, b, u, sqrt(power(px - ax - u * (bx - ax), 2) + power(py - ay - u * (by_ - ay), 2)) dist, case when (ay > py) <> (by_ > py) and px < (bx - ax) * (py - ay) / (by_ - ay) + ax then 1 else 0 end crossed from t),
+n as (select *, sum(crossed) over (partition by q) crossings, row_number() over (partition by q order by dist, a) k from r)
+select q, round((case when crossings % 2 = 1 then -1 else 1 end) * dist + {sql.NUDGE}, 6) + 0.0 as dist, case when u <= 0.5 then a else b end::bigint as nearest_vertex from n where k = 1""")
+
+
 # --- packed matrices
 
 _H = {1: ["h00"], 2: ["h00", "h11", "h01"], 3: ["h00", "h11", "h22", "h01", "h02", "h12"], 4: ["h00", "h11", "h22", "h33", "h01", "h02", "h03", "h12", "h13", "h23"]}
@@ -376,6 +400,30 @@ for _d, _bound in ((1, "dft"), (2, "dct2"), (3, "zero")):
     _weighted(_d, _bound)
 
 
+def _weighted_by_channel(ndim: int, channels: Sequence[str], weights: Sequence[str], bound: str) -> None:
+    (name, axes, batch), voxel = PAIRS[ndim][0], VOXEL[ndim]
+    p = st.field_penalties(ndim, len(channels), [1.0, 0.5][: len(channels)], [2.0, 3.0][: len(channels)], 0.0, voxel)
+    own = [(ch, a, sql.field_taps(ndim, m, 0.0, voxel)) for ch, a, m in zip(channels, (1.0, 0.5), (2.0, 3.0))]
+    _add(f"field_matvec_rls_channels_{ndim}d", lambda s, d: st.matvec_rls(field(s, d, (name, axes, batch), channels), p, weights, bound).df, sql.stencil(name, axes, batch, own, [], bound, weight=list(weights)))
+    _add(f"field_diag_rls_channels_{ndim}d", lambda s, d: st.diag_rls(field(s, d, (name, axes, batch), channels), p, weights, bound).df, sql.weighted_diagonal(name, axes, batch, own, bound, list(weights)))
+
+
+def _weighted_lame(ndim: int, bound: str) -> None:
+    ((name, axes, batch), channels), voxel = FLOWS[ndim], VOXEL[ndim]
+    p = st.flow_penalties(ndim, 1.0, 0.5, 0.0, 2.0, 1.0, voxel)
+    v = [1 / (x * x) for x in voxel]
+    own = [(ch, 1.0 / v[c], sql.flow_taps(ndim, c, 0.5, 0.0, 2.0, 1.0, voxel)) for c, ch in enumerate(channels)]
+    flow = lambda s, d: field(s, d, (name, axes, batch), channels)
+    _add(f"flow_matvec_rls_lame_{ndim}d", lambda s, d: st.matvec_rls(flow(s, d), p, ["wgt"], bound).df, sql.weighted_lame(name, axes, batch, own, channels, 2.0, 1.0, bound, "wgt"))
+    _add(f"flow_diag_rls_lame_{ndim}d", lambda s, d: st.diag_rls(flow(s, d), p, ["wgt"], bound).df, sql.weighted_diagonal(name, axes, batch, own, bound, "wgt"))
+
+
+_weighted_by_channel(2, ["v", "v2"], ["wgt", "h"], "dct2")
+_weighted_by_channel(3, ["v", "v1"], ["wgt", "h"], "dft")
+for _d, _bound in ((1, "dct2"), (2, "dct2"), (3, "dft")):
+    _weighted_lame(_d, _bound)
+
+
 def _solver(name: str, which, p, taps, a: float, colours: int, kind: str, sweeps: int, bound: str, weight: str | None = None) -> None:
     fx, axes, batch = which
     keys = [*batch, *axes]
@@ -397,11 +445,26 @@ _solver("flow_relax_lame_1d", F1, st.flow_penalties(1, 1.0, 2.0, 0.0, 1.0, 1.0),
 _solver("flow_relax_rls_1d", F1, st.flow_penalties(1, 1.0, 2.0), sql.flow_taps(1, 0, 2.0, 0.0, 0.0, 0.0, [1.0]), 1.0, 2, "sum", 1, "dct2", "wgt")
 
 
+def _flow_solver(name: str, ndim: int, penalties: Sequence[float], right: Sequence[str], colours: int, kind: str, bound: str) -> None:
+    (fx, axes, batch), channels = FLOWS[ndim]
+    a, m, b, s_, l_ = penalties
+    p = st.flow_penalties(ndim, a, m, b, s_, l_)
+    own = [(ch, a, sql.flow_taps(ndim, c, m, b, s_, l_, [1.0] * ndim)) for c, ch in enumerate(channels)]
+    query = lambda s, d: solvers.relax(field(s, d, (fx, axes, batch), channels), p, right, None, bound, 1).df.select(*batch, *axes, *channels)
+    _add(name, query, sql.relax_flow(fx, axes, batch, own, _cross(ndim, channels, s_, l_), right, bound, colours, kind, 1))
+
+
+_flow_solver("flow_relax_membrane_2d", 2, (1.0, 2.0, 0.0, 0.0, 0.0), ["g", "wgt"], 2, "sum", "dct2")
+_flow_solver("flow_relax_lame_2d", 2, (1.0, 2.0, 0.0, 1.0, 0.5), ["g", "wgt"], 4, "2", "dft")
+_flow_solver("flow_relax_all_1d", 1, (1.0, 0.5, 0.25, 1.0, 0.5), ["g"], 3, "3", "dct2")
+_flow_solver("flow_relax_membrane_3d", 3, (1.0, 2.0, 0.0, 0.0, 0.0), ["g", "wgt", "h"], 2, "sum", "dct2")
+
+
 def _cg(s: SparkSession, d: str) -> DataFrame:
-    return solvers.cg(field(s, d, F3), st.field_penalties(3, 1, 1.0, 0.5, 0.25), ["g"], ["h"], "dct2", iterations=3, tolerance=0.0).field.df.select("x", "y", "z", "v")
+    return solvers.cg(field(s, d, F3), st.field_penalties(3, 1, 1.0, 0.5, 0.25), ["g"], ["h"], "dct2", iterations=3, tolerance=0.0).field.df.select("b", "x", "y", "z", "v")
 
 
-_add("field_cg", _cg, sql.conjugate("f8", F3[1], (), 1.0, sql.field_taps(3, 0.5, 0.25, [1.0] * 3), "dct2", 3))
+_add("field_cg", _cg, sql.conjugate("f3", F3[1], ("b",), 1.0, sql.field_taps(3, 0.5, 0.25, [1.0] * 3), "dct2", 3))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
