@@ -36,6 +36,8 @@ CLASSES, CLASS_WORDS = 32, 64
 STATE, STREAMS, WINDOW = 24, 512, 32
 #: Words of a bucket, about, and words that a task gathers before it scores them.
 BUCKET_WORDS, BUFFER_WORDS = 3_000_000, 2_000_000
+#: Bytes of text that are read as words at once.
+READ_BYTES = 6 << 20
 #: Words of the pilot sample at most; a smaller sample is gone through again, up to so many times.
 PILOT_WORDS, PILOT_ROUNDS = 1_000_000, 8
 #: Documents of the pilot sample at most, and the words that it takes of each.
@@ -95,13 +97,20 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     edges = np.concatenate([[0], np.cumsum(ends - starts)])
     flat = np.ascontiguousarray(lowered[inside])
     coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(flat)]).dictionary_encode()
-    distinct = coded.dictionary
-    values, at = text_values(distinct)
+    distinct = pa.concat_arrays([coded.dictionary, pa.array([END], pa.large_binary())])
+    numbers = np.insert(np.asarray(coded.indices).astype(np.int32, copy=False), np.cumsum(n), len(distinct) - 1)
+    return Tokens(distinct, groups_of(distinct), numbers, n + 1)
+
+
+def groups_of(words: pa.Array) -> np.ndarray:
+    """The group of each token."""
+    values, at = text_values(words)
+    filled = at[1:] > at[:-1]
+    last = np.full(len(words), 97, np.uint8)  # the end is in group 0
+    last[filled] = values[at[1:][filled] - 1]
+    groups = _ENDINGS[last]
     beyond = np.concatenate([[0], np.cumsum(values >= 128, dtype=np.int64)])
-    groups = _ENDINGS[values[at[1:] - 1]] if len(distinct) else np.zeros(0, np.uint8)
-    groups = np.where((groups < 26) & (beyond[at[1:]] > beyond[at[:-1]]), groups + 26, groups)
-    numbers = np.insert(np.asarray(coded.indices).astype(np.int32), np.cumsum(n), len(distinct))
-    return Tokens(pa.concat_arrays([distinct, pa.array([END], pa.large_binary())]), np.append(groups, 0).astype(np.uint8), numbers, n + 1)
+    return np.where((groups < 26) & (beyond[at[1:]] > beyond[at[:-1]]), groups + 26, groups).astype(np.uint8)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -113,24 +122,25 @@ def _token_counts(training: DataFrame) -> DataFrame:
     """(w, g, c) of every training token: its bytes, group and count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, int] = {}
-        groups: dict[bytes, int] = {}
+        held: list[tuple[pa.Array, np.ndarray]] = []
+
+        def merged() -> tuple[pa.Array, np.ndarray]:
+            coded = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
+            return coded.dictionary, np.bincount(np.asarray(coded.indices), np.concatenate([c for _, c in held]), len(coded.dictionary)).astype(np.int64)
 
         def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array([groups[w] for w in held], pa.int32()), pa.array(held.values(), pa.int64())], ["w", "g", "c"])
+            words, counts = merged()
             held.clear()
-            groups.clear()
-            return out
+            return pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(groups_of(words), pa.int32()), pa.array(counts)], ["w", "g", "c"])
 
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", READ_BYTES):
                 tokens = tokens_of(*text_values(batch.column(0)))
-                counts = np.bincount(tokens.numbers, minlength=len(tokens.distinct)).tolist()
-                for w, g, c in zip(tokens.distinct.to_pylist(), tokens.groups.tolist(), counts):
-                    held[w] = held.get(w, 0) + c
-                    groups[w] = g
-                if len(held) > 500_000:
-                    yield rows()
+                held.append((tokens.distinct, np.bincount(tokens.numbers, minlength=len(tokens.distinct))))
+                if sum(len(w) for w, _ in held) > 1_000_000:
+                    held[:] = [merged()]
+                    if len(held[0][0]) > 500_000:
+                        yield rows()
         if held:
             yield rows()
 
@@ -190,80 +200,106 @@ class Gru:
         n, steps = self.state, len(x)
         gates, u = self.w["x"][x], self.w["u"]
         states, saved = np.empty((steps, x.shape[1], n), np.float32), []
-        now = h[: x.shape[1]]
+        now, keeps = h[: x.shape[1]].copy(), keep.all(axis=1)
         for t in range(steps):
-            before = now * keep[t][:, None]
+            before = now if keeps[t] else now * keep[t][:, None]
             g, hg = gates[t], before @ u
-            zr = 1 / (1 + np.exp(-(g[:, : 2 * n] + hg[:, : 2 * n])))
-            z, r = zr[:, :n], zr[:, n:]
-            cand = np.tanh(g[:, 2 * n :] + r * hg[:, 2 * n :])
-            now = cand + z * (before - cand)
-            states[t] = now
+            zr = g[:, : 2 * n] + hg[:, : 2 * n]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            cand = zr[:, n:] * hg[:, 2 * n :]
+            cand += g[:, 2 * n :]
+            np.tanh(cand, out=cand)
+            now = states[t]
+            np.subtract(before, cand, out=now)
+            now *= zr[:, :n]
+            now += cand
             if save:
                 saved.append((before, zr, cand, hg[:, 2 * n :]))
         h[: x.shape[1]] = now
         return states, saved
 
     @staticmethod
-    def _softmax(logits: np.ndarray) -> np.ndarray:
+    def _softmax(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        out = states @ weights
+        out += bias
         with np.errstate(over="ignore", invalid="ignore"):
-            out = np.exp(logits)
-            out *= 1 / (out @ np.ones((out.shape[1], 1), out.dtype))
-        if not np.isfinite(out).all():  # beyond what exp can hold
-            out = np.exp(logits - logits.max(1, keepdims=True))
-            out /= out.sum(1, keepdims=True)
+            np.exp(out, out=out)
+            sums = out @ np.ones(out.shape[1], out.dtype)
+        if not (np.isfinite(sums).all() and sums.all()):  # beyond what exp can hold
+            out = states @ weights + bias
+            out = np.exp(out - out.max(1, keepdims=True))
+            sums = out.sum(1)
+        out *= (1 / sums)[:, None]
         return out
 
     def outputs(self, states: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of the targets given (N, H) states; with ``grads``, adds to them and returns the states' gradients."""
         n = len(target)
-        of = np.where(target < self.words, target // self.class_words, target - self.words + self.classes)
-        p = self._softmax(states @ self.w["wc"] + self.w["bc"])
+        of = np.where(target < self.words, target // self.class_words, target - self.words + self.classes).astype(np.uint16)
+        order = np.argsort(of, kind="stable")  # by class, so that each class is one stretch
+        states, target, of = states[order], target[order], of[order]
+        p = self._softmax(states, self.w["wc"], self.w["bc"])
         rows = np.arange(n)
-        out = np.log(np.maximum(p[rows, of], 1e-30))
+        found = np.log(np.maximum(p[rows, of], 1e-30))
         back = None
         if grads is not None:
             p[rows, of] -= 1
             grads["wc"] += states.T @ p
             grads["bc"] += p.sum(0)
             back = p @ self.w["wc"].T
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(self.classes + 1)).tolist()
+        edges = np.searchsorted(of, np.arange(self.classes + 1)).tolist()
         for k, (a, b) in enumerate(zip(edges, edges[1:])):
             if a == b:
                 continue
-            at = order[a:b]
-            s, y = states[at], target[at] - k * self.class_words
-            q = self._softmax(s @ self.w["ww"][k] + self.w["bw"][k])
-            own = np.arange(b - a)
-            out[at] += np.log(np.maximum(q[own, y], 1e-30))
+            s, y = states[a:b], target[a:b] - k * self.class_words
+            q = self._softmax(s, self.w["ww"][k], self.w["bw"][k])
+            own = rows[: b - a]
+            found[a:b] += np.log(np.maximum(q[own, y], 1e-30))
             if grads is not None:
                 q[own, y] -= 1
                 grads["ww"][k] += s.T @ q
                 grads["bw"][k] += q.sum(0)
-                back[at] += q @ self.w["ww"][k].T
+                back[a:b] += q @ self.w["ww"][k].T
+        out = np.empty_like(found)
+        out[order] = found
+        if back is not None:
+            spread = np.empty_like(back)
+            spread[order] = back
+            back = spread
         return out, back
 
     def backward(self, x: np.ndarray, keep: np.ndarray, saved: list, back: np.ndarray, grads: dict[str, np.ndarray]) -> None:
         """Backpropagation through the steps of one window."""
         n, (steps, width) = self.state, x.shape
         gx, gh, befores = np.empty((steps, width, 3 * n), np.float32), np.empty((steps, width, 3 * n), np.float32), np.empty((steps, width, n), np.float32)
-        ut, dh = np.ascontiguousarray(self.w["u"].T), np.zeros((width, n), np.float32)
+        ut, dh, keeps = np.ascontiguousarray(self.w["u"].T), np.zeros((width, n), back.dtype), keep.all(axis=1)
         for t in range(steps - 1, -1, -1):
             before, zr, cand, hg = saved[t]
             z, r = zr[:, :n], zr[:, n:]
-            dh = dh + back[t]
-            da = dh * (1 - z) * (1 - cand * cand)
-            g = gx[t]
-            g[:, :n] = dh * (before - cand) * z * (1 - z)
-            g[:, n : 2 * n] = da * hg * r * (1 - r)
-            g[:, 2 * n :] = da
+            dh += back[t]
+            dz = dh * z
+            g, da, slope = gx[t], gx[t, :, 2 * n :], cand * cand
+            np.subtract(1, slope, out=slope)
+            np.subtract(dh, dz, out=da)  # dh (1 - z)
+            da *= slope
+            np.subtract(before, cand, out=g[:, :n])
+            g[:, :n] *= dz
+            g[:, :n] *= 1 - z
+            dr = gh[t, :, 2 * n :]
+            np.multiply(da, r, out=dr)
+            np.multiply(dr, hg, out=g[:, n : 2 * n])
+            g[:, n : 2 * n] *= 1 - r
             gh[t, :, : 2 * n] = g[:, : 2 * n]
-            gh[t, :, 2 * n :] = da * r
             befores[t] = before
-            dh = (dh * z + gh[t] @ ut) * keep[t][:, None]
+            dh = gh[t] @ ut
+            dh += dz
+            if not keeps[t]:
+                dh *= keep[t][:, None]
         grads["u"] += befores.reshape(-1, n).T @ gh.reshape(-1, 3 * n)
-        flat = x.ravel()
+        flat = x.ravel().astype(np.uint16)
         order = np.argsort(flat, kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
         grads["x"][flat[order][first]] += np.add.reduceat(gx.reshape(-1, 3 * n)[order], first, axis=0)
@@ -405,7 +441,7 @@ def encoded(docs: DataFrame, table: WordTable, model_words: int) -> DataFrame:
         rest = np.log10(totals + 0.1 * (distinct + 1))
         row = TaskContext.get().partitionId() << 40
         for whole_batch in batches:
-            for batch in pieces(whole_batch, "text"):
+            for batch in pieces(whole_batch, "text", READ_BYTES):
                 at = batch.schema.get_field_index
                 tokens = tokens_of(*text_values(batch.column(at("text"))))
                 places = np.array([place.get(w, -1) for w in tokens.distinct.to_pylist()], np.int64)
@@ -517,7 +553,7 @@ def _average(rows: DataFrame) -> bytes | None:
 def fit(training: DataFrame, table: WordTable) -> Gru:
     """A model of all training documents, rows (row, doc_id, n_tokens, numbers) of ``encoded``.
 
-    The pilot is on the documents of least hash, up to its bounds; then every
+    The pilot is on documents chosen by their hashes, up to its bounds; then every
     bucket goes through all its own, and the results are averaged.
     """
     model = Gru()
@@ -530,7 +566,8 @@ def fit(training: DataFrame, table: WordTable) -> Gru:
     hashed = training.select("numbers", F.xxhash64(F.coalesce("doc_id", "row"), "n_tokens", F.crc32("numbers")).alias("h"))
     documents = int(table.counts[table.words.index(END)]) if END in table.words else 1
     each = max(1, min(PILOT_DOCUMENTS, 2 * PILOT_WORDS * documents // max(1, table.total)))
-    sample = hashed.select("h", F.substring("numbers", 1, 2 * PILOT_EACH).alias("numbers")).orderBy("h", "numbers").limit(each)
+    thinned = hashed.where(F.pmod("h", F.lit(max(1, documents // (2 * each))).cast("long")) == 0)  # so that few rows meet, however many there are
+    sample = thinned.select("h", F.substring("numbers", 1, 2 * PILOT_EACH).alias("numbers")).orderBy("h", "numbers").limit(each)
     pilot = sample.coalesce(1).sortWithinPartitions("h", "numbers").select(F.lit(0).cast("long").alias("bucket"), "numbers")
     first = _trained(pilot, model, PILOT_RATE, PILOT_WORDS).first()
     if first is not None and first.n:
