@@ -1,12 +1,15 @@
 """Distances from points to a mesh of segments (2-D) or triangles (3-D).
 
 The mesh goes to every task in blocks of bounded size; each block is one pass
-over the points, which carry the best so far.  Bounding spheres tell which faces
-can be nearest to a point; only those are measured.  Nothing is shuffled.
+over the points, which carry the best so far.  Faces lie in a tree of bounding
+spheres, in the order of a space-filling curve; its levels are gone down for many
+points at once, and only faces that can be nearest are measured.  Nothing is
+shuffled.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -18,6 +21,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 BLOCK_FACES = 200_000
 MAX_VERTICES, MAX_FACES = 5_000_000, 10_000_000
 _PAIRS = 2_000_000
+#: Children of a tree's node, and nodes of its top level at most.
+_CHILDREN, _TOP = 16, 64
 
 
 @dataclass(frozen=True)
@@ -30,6 +35,33 @@ class Mesh:
     vertex_normals: np.ndarray
     edge_normals: np.ndarray
 
+    @functools.cached_property
+    def tree(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Centres and radii of the spheres of each level, from the top down to the faces in the order ``sorted_faces``."""
+        centre = self.corners.mean(1)
+        radius = np.sqrt(((self.corners - centre[:, None]) ** 2).sum(2).max(1))
+        levels = [(centre[self.sorted_faces], radius[self.sorted_faces])]
+        while len(levels[-1][0]) > _TOP:
+            c, r = levels[-1]
+            first = np.arange(0, len(c), _CHILDREN)
+            sizes = np.diff(np.append(first, len(c)))
+            middle = np.add.reduceat(c, first, axis=0) / sizes[:, None]
+            far = np.sqrt(((c - np.repeat(middle, sizes, axis=0)) ** 2).sum(1)) + r
+            levels.append((middle, np.maximum.reduceat(far, first)))
+        return levels[::-1]
+
+    @functools.cached_property
+    def sorted_faces(self) -> np.ndarray:
+        """The faces by the interleaved bits of their centres."""
+        centre = self.corners.mean(1)
+        low, high = centre.min(0), centre.max(0)
+        cells = ((centre - low) / np.maximum(high - low, 1e-300) * 1023).astype(np.int64)
+        code = np.zeros(len(centre), np.int64)
+        for bit in range(10):
+            for d in range(centre.shape[1]):
+                code |= (cells[:, d] >> bit & 1) << (bit * centre.shape[1] + d)
+        return np.argsort(code, kind="stable")
+
     def part(self, at: slice) -> Mesh:
         return Mesh(self.corners[at], self.ids[at], self.faces[at], self.vertex_normals[at], self.edge_normals[at])
 
@@ -91,20 +123,33 @@ def nearest_on(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a + v[:, None] * ab + w[:, None] * ac, part
 
 
+def _candidates(x: np.ndarray, mesh: Mesh) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of points and faces that can be nearest to them, by point, then face: down the tree, each level for all points."""
+    limit = np.full(len(x), np.inf)
+    p, node = (i.ravel() for i in np.indices((len(x), len(mesh.tree[0][0]))))
+    for depth, (centre, radius) in enumerate(mesh.tree):
+        far = np.sqrt(((x[p] - centre[node]) ** 2).sum(1))
+        first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        limit = np.minimum(limit, np.minimum.reduceat(far + radius[node], first))  # every point has a node left
+        near = far - radius[node] <= limit[p] * (1 + 1e-9) + 1e-9
+        p, node = p[near], node[near]
+        if depth + 1 < len(mesh.tree):
+            begin = node * _CHILDREN
+            sizes = np.minimum(_CHILDREN, len(mesh.tree[depth + 1][0]) - begin)
+            ends = np.cumsum(sizes)
+            p, node = np.repeat(p, sizes), np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1])
+    f = mesh.sorted_faces[node]
+    order = np.lexsort((f, p))
+    return p[order], f[order]
+
+
 def nearest_faces(x: np.ndarray, mesh: Mesh, naive: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each point: squared distance, nearest place, its part of the face, the face; the first face of equals."""
-    centre = mesh.corners.mean(1)
-    radius = np.sqrt(((mesh.corners - centre[:, None]) ** 2).sum(2).max(1))
     best, place, part, face = np.full(len(x), np.inf), np.zeros_like(x), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-    rows = max(1, _PAIRS // max(1, len(centre)))
+    rows = max(1, _PAIRS // max(1, len(mesh.corners) if naive else 4 * _TOP * _CHILDREN))
     for s in range(0, len(x), rows):
         some = x[s : s + rows]
-        if naive:
-            p, f = (i.ravel() for i in np.indices((len(some), len(centre))))
-        else:
-            far = np.sqrt(np.maximum((some**2).sum(1)[:, None] + (centre**2).sum(1)[None] - 2 * some @ centre.T, 0))
-            limit = (far + radius).min(1)
-            p, f = np.nonzero(far - radius <= limit[:, None] * (1 + 1e-9) + 1e-9)
+        p, f = (i.ravel() for i in np.indices((len(some), len(mesh.corners)))) if naive else _candidates(some, mesh)
         near, which = nearest_on(some[p], mesh.corners[f])
         d = ((some[p] - near) ** 2).sum(1)
         first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
