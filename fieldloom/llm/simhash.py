@@ -94,17 +94,17 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS, split_above: int =
     met = variants.groupBy("k").agg(F.sum(F.expr("bigint(side = 0)")).alias("n0"), F.sum(F.expr("bigint(side = 1)")).alias("n1"))
     # an exact half stands on both sides, so it needs two fingerprints
     exact = F.shiftright("k", _HALF) % (_HALF + 1) == _EXACT
-    met = scratch.written(met.where((F.col("n0") > 0) & (F.col("n1") > 0) & (~exact | (F.col("n0") > 1))), "signatures")
-    few = met.where(F.col("n0") * F.col("n1") <= split_above).select("k")
-    many = met.where(F.col("n0") * F.col("n1") > split_above).select("k")
-    crowded = variants.join(many, "k")
+    met = met.where((F.col("n0") > 0) & (F.col("n1") > 0) & (~exact | (F.col("n0") > 1)))
+    # most signatures stand alone; the others' fingerprints are written once, for all that follows
+    shared = scratch.written(variants.join(met.select("k", (F.col("n0") * F.col("n1") > split_above).alias("many")), "k"), "signatures")
+    few, crowded = shared.where("not many").drop("many"), shared.where("many").drop("many")
     other = F.when(F.shiftright("k", _HALF) < _HALF + 1, _half(fp, 1)).otherwise(_half(fp, 0))
     quarter = lambda q: F.shiftrightunsigned(other, 16 * q).bitwiseAND(F.lit(0xFFFF).cast("long"))
     finer = crowded.withColumnRenamed("side", "outer")
     finer = _exploded(finer, [o for q in (0, 1) for o in _coded(quarter(q), 16, q)], "q")
     # sides of the finer signature; the verification below needs no sides of the outer one
     fine = _matched(finer.select("k", "q", "side", "fp").distinct(), ["k", "q"], max_bits)
-    return _matched(variants.join(few, "k"), ["k"], max_bits).unionByName(fine).distinct()
+    return _matched(few, ["k"], max_bits).unionByName(fine).distinct()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
