@@ -338,11 +338,17 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass the base rules and are no outliers; all columns as they are.
 
-    The rows that pass the base rules are written with their features, which are
-    read alone for the estimates; so texts go through their statistics once.
+    Texts go through their statistics twice, rather than be written once more
+    beside them: first for the estimates, then for the verdict.
     """
     rows = docs.select(F.struct("*").alias("doc"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    stated = with_statistics(rows, out="_s").drop("text").where(~base_failed(F.col("_s")))
-    table = scratch.written(stated.select("*", *[F.col("_s")[c].alias(c) for c in FEATURES]).drop("_s"), "passed")
-    judged = verdict(table, *fit(table.drop("doc"))).where("not outlier")
+
+    def passed(df: DataFrame) -> DataFrame:
+        stated = with_statistics(df, out="_s").drop("text").where(~base_failed(F.col("_s")))
+        return stated.select("*", *[F.col("_s")[c].alias(c) for c in FEATURES]).drop("_s")
+
+    features = scratch.written(passed(rows.drop("doc")), "features")
+    keys, model = fit(features)
+    scratch.remove(docs.sparkSession, features)
+    judged = verdict(passed(rows), keys, model).where("not outlier")
     return judged.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

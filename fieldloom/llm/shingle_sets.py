@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldloom.llm.textbatch import row_texts
+from fieldloom.llm.textbatch import pieces, row_texts
 
 SEED = 42
 #: Bands of minhash rows: at a similarity of 0.8 a pair shares a band with a chance of 0.99995.
@@ -80,7 +80,7 @@ def signed(df: DataFrame, shingle_words: int) -> DataFrame:
     """(row, words, n, simhash, sketch, bands) of a table (row, text): a digest of all words, the number of distinct shingles, and signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces(whole, "text")):
             words, sizes, prints, sketches, keys = [], [], [], [], []
             for text in row_texts(batch.column(1)):
                 words.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())))
@@ -101,7 +101,7 @@ def sets(df: DataFrame, shingle_words: int) -> DataFrame:
     """(row, shingles) of a table (row, text): the hashes of the distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces(whole, "text")):
             found = [np.unique(shingle_hashes(x, shingle_words)).view(np.int64) for x in row_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["row", "shingles"])
 

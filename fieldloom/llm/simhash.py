@@ -193,17 +193,29 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
     nodes = scratch.written(signed.join(heads, "row").select("row", "o", "n", "simhash", "sketch", "bands"), "nodes")
     keys = nodes.select("row", F.explode(F.concat(F.array(*_wildcards(F.col("simhash"))), "bands")).alias("k"))
     shared = keys.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k")
-    members = scratch.written(keys.join(shared, "k"), "keys")
-    wanted = members.select("row").distinct()
-    sets = scratch.written(shingle_sets.sets(texts.join(wanted, "row", "left_semi"), shingle_words), "shingles")
-    members = scratch.written(members.join(nodes.select("row", "o", "n", "sketch"), "row").select("k", "o", "n", "sketch"), "members")
-    gone = _like_smaller_ones(members, sets, least)
+    meeting = scratch.written(keys.join(shared, "k"), "keys")
+    members = scratch.written(meeting.join(nodes.select("row", "o", "n", "sketch"), "row").select("k", "o", "n", "sketch"), "members")
+    for done in (signed, nodes, meeting):
+        scratch.remove(docs.sparkSession, done)
+    gone = _like_smaller_ones(members, texts, shingle_words, least)
     stay = heads.select("row") if gone is None else heads.select("row").join(gone, "row", "left_anti")
     return table.join(stay, "row", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
-def _like_smaller_ones(members: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame | None:
-    """The rows of a written table (k, o, n, sketch) of buckets' members that are like a smaller one of a bucket."""
+def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, least: tuple[int, int]) -> DataFrame:
+    """The greater rows of the pairs (a, b) that are alike, as a written table; only the pairs' texts are made into sets."""
+    spark = pairs.sparkSession
+    pairs = scratch.written(pairs, "pairs")
+    wanted = scratch.written(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "wanted")
+    sets = scratch.written(shingle_sets.sets(texts.join(scratch.broadcast_if_small(wanted), "row", "left_semi"), shingle_words), "shingles")
+    fresh = scratch.written(shingle_sets.alike(pairs, sets, least).select(F.col("b").alias("row")).distinct(), "gone")
+    for done in (pairs, wanted, sets):
+        scratch.remove(spark, done)
+    return fresh
+
+
+def _like_smaller_ones(members: DataFrame, texts: DataFrame, shingle_words: int, least: tuple[int, int]) -> DataFrame | None:
+    """The rows of a written table (k, o, n, sketch) of buckets' members that are like a smaller one of a bucket; ``texts`` is (row, text)."""
     spark, (part, whole) = members.sparkSession, least
     gone, leaders = None, 1
     while not members.isEmpty():
@@ -215,7 +227,7 @@ def _like_smaller_ones(members: DataFrame, sets: DataFrame, least: tuple[int, in
         close = (whole * F.least("n", "l.n") >= part * F.greatest("n", "l.n")) & (shingle_sets.rows_that_differ(F.col("sketch"), F.col("l.sketch")) <= shingle_sets.MOST_DIFFERENT)
         met = members.join(lead, "k").where((F.col("o.row") != F.col("l.o.row")) & close)
         pairs = met.select(F.least("o", "l.o").alias("a"), F.greatest("o", "l.o").alias("b")).select(F.col("a.row").alias("a"), F.col("b.row").alias("b")).distinct()
-        fresh = scratch.written(shingle_sets.alike(pairs, sets, least).select(F.col("b").alias("row")).distinct(), "gone")
+        fresh = _verified(pairs, texts, shingle_words, least)
         gone = fresh if gone is None else gone.unionByName(fresh)
         led = lead.select("k", F.col("l.o.row").alias("row"))
         left = members.select("k", "o", "n", "sketch", F.col("o.row").alias("row")).join(led, ["k", "row"], "left_anti").join(fresh, "row", "left_anti")
