@@ -53,7 +53,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder: lineage ends there, and a lost executor costs a re-read."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
