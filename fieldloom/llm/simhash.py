@@ -3,8 +3,8 @@
 Fingerprints are cut into two halves.  Two fingerprints that differ in at most
 three bits have a half that differs in at most one bit, so every fingerprint is
 indexed under each half as it is, and under each half with one bit left out.
-Pairs come from an equality join on these signatures and are verified by
-counting the differing bits.  Copies share one fingerprint and are expanded only
+Pairs come from an equality join on these signatures, within buckets of equal
+quarters where these are small, and are verified by counting the differing bits.  Copies share one fingerprint and are expanded only
 at the end, so a hot group of copies is one row in all joins before that.
 
 ``keep_one`` wants all pairs as similar as 0.8 by shingles of five words, of which
@@ -15,6 +15,7 @@ minhashes give candidates beside the signatures, and each is verified.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,11 @@ KEPT_WORDS, LEAST = 5, (4, 5)
 SMALL = 16
 #: A signature whose two sides would give more candidate pairs than this is split by finer signatures.
 SPLIT_ABOVE = 4096
-_HALF, _EXACT = 32, 32
+#: Fingerprints that share a quarter up to which one task always holds them.
+TOGETHER = 1024
+_HALF, _QUARTER = 32, 16
+#: Fingerprints and candidate pairs that a task takes at once.
+_TOGETHER, _PAIRS = 1 << 16, 1 << 21
 
 
 def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -80,31 +85,102 @@ def _matched(variants: DataFrame, keys: list[str], max_bits: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def links(fingerprints: DataFrame, max_bits: int = MAX_BITS, split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """Distinct pairs (a < b) of a table of distinct fingerprints ``fp`` that differ in 1 to ``max_bits`` (3 at most) bits.
+def _met(bucket: np.ndarray, prints: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_matched`` for whole buckets, held as arrays sorted by bucket: the signatures are made here, one wildcard at a time."""
+    beside = (prints >> (np.uint64(16) * (bucket >> 16 ^ 1).astype(np.uint64))).astype(np.int64) & 0xFFFF
+    for i in range(_QUARTER + 1):
+        exact = i == _QUARTER
+        key = bucket << 16 | (beside if exact else beside & ~(1 << i))
+        side = np.zeros_like(beside) if exact else beside >> i & 1
+        order = np.argsort(key << 1 | side, kind="stable")
+        key, side, at = key[order], side[order], prints[order]
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(begins, len(key)))
+        ends = np.repeat(begins + sizes, sizes)
+        # a fingerprint meets those of its signature on the other side, or those after it
+        first = np.arange(1, len(key) + 1) if exact else ends - np.repeat(np.add.reduceat(side, begins), sizes)
+        many = np.where(side == 0, ends - first, 0)
+        total = np.cumsum(many)
+        low = 0
+        while low < len(key):
+            high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + _PAIRS, side="right")))
+            each = many[low:high]
+            one = np.repeat(np.arange(low, high), each)
+            other = np.arange(len(one)) - np.repeat(np.cumsum(each) - each, each) + first[one]
+            a, b = at[one], at[other]
+            near = np.bitwise_count(a ^ b) <= max_bits
+            a, b = a[near].view(np.int64), b[near].view(np.int64)
+            yield np.minimum(a, b), np.maximum(a, b)
+            low = high
+
+
+def _matched_in_buckets(dealt: DataFrame, max_bits: int) -> DataFrame:
+    """Verified pairs (a < b) of a table (fp, bucket) of buckets that a task can hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append((batch.column(1).to_numpy(), batch.column(0).to_numpy().view(np.uint64)))
+            if not held or batch is not None and sum(len(b) for b, _ in held) < _TOGETHER:
+                continue
+            bucket, prints = (np.concatenate(x) for x in zip(*held))
+            whole = len(bucket) if batch is None else int(np.searchsorted(bucket, bucket[-1]))
+            held = [(bucket[whole:], prints[whole:])]
+            if whole:
+                for a, b in _met(bucket[:whole], prints[:whole], max_bits):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").select("fp", "bucket").mapInArrow(run, "a bigint, b bigint")
+
+
+def _matched_when_crowded(dealt: DataFrame, max_bits: int, split_above: int) -> DataFrame:
+    """Verified pairs (a < b) of a table (fp, bucket) of buckets of any size: each signature is a row, and may have a task of its own.
 
     A crowded signature isn't cut off: its fingerprints agree in one half but
     for one bit at most, so the other half is signed once more by its quarters,
     one of which again differs in at most one bit.
     """
-    if not 1 <= max_bits <= 3:
-        raise ValueError("two halves find pairs of at most 3 differing bits")
-    fp = F.col("fp")
-    variants = _exploded(fingerprints.select("fp"), [o for s in (0, 1) for o in _coded(_half(fp, s), _HALF, s)], "k")
+    beside = F.expr("shiftrightunsigned(fp, cast(16 * (shiftright(bucket, 16) ^ 1) as int)) & 65535")
+    variants = _exploded(dealt, _coded(beside, _QUARTER, 0), "k").select("fp", (F.col("bucket") * (1 << 22) + F.col("k")).alias("k"), "side")
     met = variants.groupBy("k").agg(F.sum(F.expr("bigint(side = 0)")).alias("n0"), F.sum(F.expr("bigint(side = 1)")).alias("n1"))
-    # an exact half stands on both sides, so it needs two fingerprints
-    exact = F.shiftright("k", _HALF) % (_HALF + 1) == _EXACT
+    # an exact value stands on both sides, so it needs two fingerprints
+    exact = F.shiftright(F.col("k") % (1 << 22), _QUARTER) == _QUARTER
     met = met.where((F.col("n0") > 0) & (F.col("n1") > 0) & (~exact | (F.col("n0") > 1)))
     # most signatures stand alone; the others' fingerprints are written once, for all that follows
     shared = scratch.written(variants.join(met.select("k", (F.col("n0") * F.col("n1") > split_above).alias("many")), "k"), "signatures")
     few, crowded = shared.where("not many").drop("many"), shared.where("many").drop("many")
-    other = F.when(F.shiftright("k", _HALF) < _HALF + 1, _half(fp, 1)).otherwise(_half(fp, 0))
+    other = F.expr("shiftrightunsigned(fp, cast(32 * (1 - shiftright(k, 39)) as int)) & 4294967295")
     quarter = lambda q: F.shiftrightunsigned(other, 16 * q).bitwiseAND(F.lit(0xFFFF).cast("long"))
     finer = crowded.withColumnRenamed("side", "outer")
     finer = _exploded(finer, [o for q in (0, 1) for o in _coded(quarter(q), 16, q)], "q")
     # sides of the finer signature; the verification below needs no sides of the outer one
     fine = _matched(finer.select("k", "q", "side", "fp").distinct(), ["k", "q"], max_bits)
-    return _matched(few, ["k"], max_bits).unionByName(fine).distinct()
+    return _matched(few, ["k"], max_bits).unionByName(fine)
+
+
+def links(fingerprints: DataFrame, max_bits: int = MAX_BITS, split_above: int = SPLIT_ABOVE, together: int = TOGETHER) -> DataFrame:
+    """Distinct pairs (a < b) of a table of distinct fingerprints ``fp`` that differ in 1 to ``max_bits`` (3 at most) bits.
+
+    A half that differs in one bit at most has a quarter that doesn't differ.  So
+    fingerprints are dealt out by each of their quarters, in four rows and not in one
+    for each signature, and a task makes the signatures of the buckets that it has.
+    Only buckets of more than ``together`` fingerprints, and of more than four times
+    the mean, are dealt out by the signatures themselves.
+    """
+    if not 1 <= max_bits <= 3:
+        raise ValueError("two halves find pairs of at most 3 differing bits")
+    places = [F.shiftrightunsigned("fp", 16 * q).bitwiseAND(F.lit(0xFFFF).cast("long")) + (q << 16) for q in range(4)]
+    dealt = fingerprints.select("fp", F.explode(F.array(*places)).alias("bucket"))
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("m"))
+    # at most a quarter of all 4 * 65,536 buckets have more than four times the mean
+    bound = max(together, fingerprints.count() // (1 << 14))
+    crowded = scratch.written(sizes.where(F.col("m") > bound).select("bucket"), "crowded")
+    if crowded.isEmpty():
+        return _matched_in_buckets(dealt, max_bits).distinct()
+    held = dealt.join(F.broadcast(crowded), "bucket", "left_anti")
+    spread = dealt.join(F.broadcast(crowded), "bucket", "left_semi")
+    return _matched_in_buckets(held, max_bits).unionByName(_matched_when_crowded(spread, max_bits, split_above)).distinct()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
