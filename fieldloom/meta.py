@@ -64,12 +64,16 @@ class Field:
     columns (whole numbers from 0) to sizes, ``channels`` names the value
     columns, ``batch`` the columns that tell fields apart.  Other columns are
     not part of the field.  Values are never null; infinity is a value.
+
+    With ``gaps``, a batch may lack voxels.  Stencils read nothing there, as they
+    do beyond the ends of a line with the zero condition, and give no row.
     """
 
     df: DataFrame
     axes: Mapping[str, int]
     channels: Sequence[str] = ("v",)
     batch: Sequence[str] = ()
+    gaps: bool = False
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "axes", dict(self.axes))

@@ -9,11 +9,13 @@ one brick has no halo, and such fields of many batches are taken side by side.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fieldloom.functions import bounds
@@ -60,11 +62,21 @@ def _bricks_of(a: Column, n: int, size: int, radius: int, bound: Bound) -> Colum
     return F.array_distinct(F.array_compact(F.array(*out)))
 
 
+def _differ(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether each value but the first isn't the one before it; null is null and NaN is NaN."""
+    column = column.combine_chunks()
+    one, two = column.slice(0, len(column) - 1), column.slice(1)
+    same = pc.or_(pc.and_(pc.is_null(one), pc.is_null(two)), pc.fill_null(pc.equal(one, two), False))
+    if pa.types.is_floating(column.type):
+        same = pc.or_(same, pc.fill_null(pc.and_(pc.is_nan(one), pc.is_nan(two)), False))
+    return ~same.to_numpy(zero_copy_only=False)
+
+
 class Brick:
     """The values of equally placed bricks of several batches, as (batches, places...) arrays by column."""
 
-    def __init__(self, lines: Sequence[Line], sizes: Sequence[int], radius: int, columns: Mapping[str, np.ndarray]):
-        self.lines, self.sizes, self.radius, self.columns = lines, sizes, radius, columns
+    def __init__(self, lines: Sequence[Line], sizes: Sequence[int], radius: int, columns: Mapping[str, np.ndarray], there: np.ndarray | None = None):
+        self.lines, self.sizes, self.radius, self.columns, self.there = lines, sizes, radius, columns, there
         self._padded: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
 
     def _signs(self, around: Sequence[Bound]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -79,17 +91,18 @@ class Brick:
         key = (column, tuple(around))
         if key not in self._padded:
             places, sign = self._signs(around)
-            self._padded[key] = self.columns[column][np.ix_(np.arange(len(self.columns[column])), *places)], sign
+            at = np.ix_(np.arange(len(self.columns[column])), *places)
+            self._padded[key] = self.columns[column][at], sign if self.there is None else sign * self.there[at]
         values, sign = self._padded[key]
         cut = tuple(slice(self.radius + o, self.radius + o + line.high - line.low) for o, line in zip(offset, self.lines))
         return values[(slice(None), *cut)], sign[(slice(None), *cut)]
 
 
-def mapped(df: DataFrame, batch: Sequence[str], axes: Mapping[str, int], radius: int, bound: Bound, columns: Sequence[str], carry: Sequence[str], out: Sequence[str], made: Callable[[Brick], dict[str, np.ndarray]]) -> DataFrame:
+def mapped(df: DataFrame, batch: Sequence[str], axes: Mapping[str, int], radius: int, bound: Bound, columns: Sequence[str], carry: Sequence[str], out: Sequence[str], made: Callable[[Brick], dict[str, np.ndarray]], gaps: bool = False) -> DataFrame:
     """The keys, the double columns ``out`` that ``made`` gives for each brick's own voxels (null where masked), and ``carry`` columns as doubles.
 
-    ``columns`` are read as doubles.  A batch must have each voxel once, else the
-    query fails; all voxels of a brick meet in one task, whose size is bounded.
+    ``columns`` are read as doubles.  A batch must have each voxel once, or with
+    ``gaps`` once at most, else the query fails; all voxels of a brick meet in one task, whose size is bounded.
     """
     names, size = list(axes), SIZES[len(axes)]
     counts = [-(-n // size) for n in axes.values()]
@@ -106,12 +119,52 @@ def mapped(df: DataFrame, batch: Sequence[str], axes: Mapping[str, int], radius:
         lines: dict[tuple[int, ...], list[Line]] = {}
         held: pa.Table | None = None
 
+        def refuse() -> None:
+            raise ValueError("a batch has a voxel of the field more than once, or others" if gaps else "a batch doesn't have each voxel of the field once")
+
+        def begins(table: pa.Table) -> np.ndarray:
+            """Where rows of another brick or batch begin."""
+            new = np.zeros(table.num_rows, bool)
+            new[0] = True
+            for name in (*batch, *marks):
+                new[1:] |= _differ(table.column(name))
+            return np.flatnonzero(new)
+
+        def with_gaps(table: pa.Table, at: list[Line]) -> pa.RecordBatch:
+            shape, first = [len(line.sent) for line in at], begins(table)
+            places = [np.searchsorted(line.sent, table.column(a).to_numpy()) for a, line in zip(names, at)]
+            for a, line, place in zip(names, at, places):
+                if not np.array_equal(line.sent[np.minimum(place, len(line.sent) - 1)], table.column(a).to_numpy()):
+                    refuse()
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, table.num_rows)))
+            flat = np.ravel_multi_index((group, *places), (len(first), *shape))
+            if (np.diff(flat) <= 0).any():
+                refuse()
+            whole = [len(first), *shape]
+            there = np.zeros(whole, bool)
+            there.ravel()[flat] = True
+            values = {c: np.zeros(whole) for c in columns}
+            for c, v in values.items():
+                v.ravel()[flat] = table.column(f"_c_{c}").to_numpy()
+            results = made(Brick(at, sizes, radius, values, there))
+            own = [np.flatnonzero((line.sent >= line.low) & (line.sent < line.high)) for line in at]
+            inside = np.zeros(shape, bool)
+            inside[np.ix_(*own)] = True
+            kept = table.filter(pa.array(inside[tuple(places)]))
+            wanted = there[np.ix_(np.arange(len(first)), *own)]
+            arrays = [kept.column(b) for b in (*batch, *names)]
+            for name in out:
+                gone = np.broadcast_to(results[name].mask, wanted.shape)[wanted] if np.ma.isMaskedArray(results[name]) else None
+                arrays.append(pa.array(np.broadcast_to(np.ma.getdata(results[name]), wanted.shape)[wanted], pa.float64(), mask=gone))
+            arrays += [kept.column(f"_c_{c}") for c in carry]
+            return pa.RecordBatch.from_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays], schema.names)
+
         def bricks(table: pa.Table, at: list[Line], expected: np.ndarray) -> pa.RecordBatch:
             shape, each = [len(line.sent) for line in at], len(expected[0])
             groups = table.num_rows // each
             for a, e in zip(names, expected):
                 if not np.array_equal(table.column(a).to_numpy().reshape(groups, each), np.broadcast_to(e, (groups, each))):
-                    raise ValueError("a batch doesn't have each voxel of the field once")
+                    refuse()
             values = {c: table.column(f"_c_{c}").to_numpy().reshape([groups, *shape]) for c in dict.fromkeys([*columns, *carry])}
             own = tuple(np.flatnonzero((line.sent >= line.low) & (line.sent < line.high)) for line in at)
             results = made(Brick(at, sizes, radius, {c: values[c] for c in columns}))
@@ -134,12 +187,24 @@ def mapped(df: DataFrame, batch: Sequence[str], axes: Mapping[str, int], radius:
                 if which not in lines:
                     lines[which] = [Line.of(n, size, k, radius, bound) for n, k in zip(sizes, which)]
                 at = lines[which]
+                if gaps:
+                    if arrived is not None and max(counts) == 1 and held.num_rows < CHUNK:
+                        break
+                    ends = begins(held)[1:]
+                    if arrived is None:  # else more rows of the last one may come
+                        ends = np.append(ends, held.num_rows)
+                    if not len(ends):
+                        break
+                    ready = min(len(ends), max(1, CHUNK // math.prod(len(line.sent) for line in at))) if max(counts) == 1 else 1
+                    yield with_gaps(held.slice(0, int(ends[ready - 1])), at)
+                    held = held.slice(int(ends[ready - 1]))
+                    continue
                 expected = [g.ravel() for g in np.meshgrid(*[line.sent for line in at], indexing="ij")]
                 each = len(expected[0])
                 ready = held.num_rows // each if max(counts) == 1 else min(1, held.num_rows // each)
                 if not ready or max(counts) == 1 and arrived is not None and held.num_rows < CHUNK:
                     if arrived is None:
-                        raise ValueError("a batch doesn't have each voxel of the field once")
+                        refuse()
                     break
                 yield bricks(held.slice(0, ready * each), at, expected)
                 held = held.slice(ready * each)

@@ -150,7 +150,7 @@ def cg(field: Field, p: Penalties, right: Sequence[str], hessian: Sequence[str]
     full = [h[k] + stencils.diagonal(field.axes, p, b, k) for k in range(n)] + h[n:]
 
     def applied(df: DataFrame, v: Sequence[str], carry: Sequence[str], out: Sequence[str]) -> DataFrame:
-        moved = stencils.apply_stencil(Field(df, field.axes, v, field.batch), p, b, carry=carry, out=out)
+        moved = stencils.apply_stencil(Field(df, field.axes, v, field.batch, field.gaps), p, b, carry=carry, out=out)
         hv = posdef.products(h, [F.col(c) for c in v])
         return moved.withColumns({o: F.col(o) + y for o, y in zip(out, hv)})
 

@@ -119,11 +119,11 @@ def apply_stencil(field: Field, p: Penalties, bound: Bound, carry: Sequence[str]
         return results
 
     inner = [f"_o{k}" for k in range(len(out))]
-    table = bricks.mapped(field.df, field.batch, field.axes, p.radius, bound, chans, list(carry), inner, lambda b: dict(zip(inner, made(b).values())))
+    table = bricks.mapped(field.df, field.batch, field.axes, p.radius, bound, chans, list(carry), inner, lambda b: dict(zip(inner, made(b).values())), field.gaps)
     return table.select(*field.keys, *[F.col(i).alias(n) for n, i in zip(out, inner)], *carry)
 
 
-def neighbourhood(df: DataFrame, batch: Sequence[str], axes: Mapping[str, int], radius: int, bound: Bound, reads: Mapping[str, tuple[str, Offset, Sequence[Bound], bool]], carry: Sequence[str]) -> DataFrame:
+def neighbourhood(df: DataFrame, batch: Sequence[str], axes: Mapping[str, int], radius: int, bound: Bound, reads: Mapping[str, tuple[str, Offset, Sequence[Bound], bool]], carry: Sequence[str], gaps: bool = False) -> DataFrame:
     """Each voxel with neighbours' values: ``reads`` maps a new column to (column, offset, bounds, whether the boundary's sign applies); null where there is no neighbour."""
     columns = list(dict.fromkeys(c for c, *_ in reads.values()))
 
@@ -134,14 +134,14 @@ def neighbourhood(df: DataFrame, batch: Sequence[str], axes: Mapping[str, int],
             results[name] = np.ma.masked_array(sign * value if signed else value, np.broadcast_to(sign == 0, value.shape))
         return results
 
-    return bricks.mapped(df, batch, axes, radius, bound, columns, carry, list(reads), made)
+    return bricks.mapped(df, batch, axes, radius, bound, columns, carry, list(reads), made, gaps)
 
 
 # --- unweighted operators -------------------------------------------------
 
 
 def _op(field: Field, result: DataFrame, channels: Sequence[str]) -> Field:
-    return Field(result, field.axes, channels, field.batch)
+    return Field(result, field.axes, channels, field.batch, field.gaps)
 
 
 def _check(field: Field, p: Penalties) -> None:
@@ -327,7 +327,7 @@ class _Weighted:
                 for o in taps:
                     reads[_named(f"x{d}{e}", o)] = (self.field.channels[e], o, around, True)
         own = list(dict.fromkeys([*self.weights, *(self.field.channels if values else ()), *carry]))
-        return neighbourhood(self.field.df, self.field.batch, self.field.axes, self.p.radius, self.bound, reads, own)
+        return neighbourhood(self.field.df, self.field.batch, self.field.axes, self.p.radius, self.bound, reads, own, self.field.gaps)
 
     def weight(self, w: str, o: Offset) -> Column:
         """A neighbour's weight; where there is none, the nearest one's along that direction."""
@@ -398,6 +398,8 @@ class _Weighted:
                 if step:
                     s = _sign(a, n, step, self.bound)
                     sign = s if sign is None else sign * s
+            if self.field.gaps and o in self.taps:
+                sign = F.when(F.col(_named(_weight_of(self.weights, c), o)).isNull(), 0).otherwise(sign)
             out = out - k * sign
         return out
 

@@ -33,7 +33,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def field(spark: SparkSession, sf: str, which, channels: Sequence[str] = ("v",)) -> Field:
     name, axes, batch = which
-    return Field(table(spark, sf, name), axes, channels, batch)
+    return Field(table(spark, sf, name), axes, channels, batch, gaps=name in ("f2", "f3"))  # the last image or volume may lack vectors
 
 
 def points(spark: SparkSession, sf: str, which) -> sp.Points:
@@ -362,7 +362,7 @@ def _flow_stencils(ndim: int, kind: str, bound: str) -> None:
         _add(f"flow_submatvec_{end}", lambda s, d: st.submatvec_(acc, flow(s, d), p, bound).df, sql.stencil(name, axes, batch, own, cross, bound, {x: f"f.{x} - m{c}.lv" for c, x in enumerate(acc)}))
         _add(f"flow_adddiag_{end}", lambda s, d: st.adddiag_(flow(s, d), p, bound).df, sql.diagonal(name, axes, batch, own, bound, 1))
         _add(f"flow_subdiag_{end}", lambda s, d: st.subdiag_(flow(s, d), p, bound).df, sql.diagonal(name, axes, batch, own, bound, -1))
-        with_h = lambda s, d: Field(flow(s, d).df.withColumns({f"m{i}": F.col("h") if i < ndim else F.lit(0.5) for i in range(ndim * (ndim + 1) // 2)}), axes, channels, batch)
+        with_h = lambda s, d: (f := flow(s, d)).with_df(f.df.withColumns({f"m{i}": F.col("h") if i < ndim else F.lit(0.5) for i in range(ndim * (ndim + 1) // 2)}))
         hs = [f"m{i}" for i in range(ndim * (ndim + 1) // 2)]
         hv = [" + ".join(["f.h * f." + ch, *[f"0.5 * f.{e}" for e in channels if e != ch]]) for ch in channels]
         _add(f"flow_forward_{end}", lambda s, d: st.forward(with_h(s, d), p, hs, bound).df, sql.stencil(name, axes, batch, own, cross, bound, {ch: f"m{c}.lv + {hv[c]}" for c, ch in enumerate(channels)}))
