@@ -220,7 +220,8 @@ def component_ids(fingerprinted: DataFrame, doc_id: str = "doc_id", simhash: str
     roots = components(links(nodes, max_bits))
     placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     low = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    return placed.join(low, "root").select(F.col("fp").alias(simhash), "component_id")
+    # a row for each component, and below for each fingerprint: never gathered by the driver, however small
+    return placed.join(low.hint("merge"), "root").select(F.col("fp").alias(simhash), "component_id")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
@@ -232,7 +233,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     prints = scratch.written(with_fingerprint(ids).select("doc_id", "simhash"), "simhash")
-    out = prints.join(component_ids(prints, max_bits=max_bits), "simhash")
+    out = prints.join(component_ids(prints, max_bits=max_bits).hint("merge"), "simhash")
     return out.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
