@@ -11,6 +11,7 @@ NAMES = [
     "field_addmatvec_bending_3d",
     "field_diag_rls_3d",
     "field_forward_bending_2d",
+    "field_forward_bending_3d",
 ]
 
 
