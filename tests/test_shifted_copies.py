@@ -13,6 +13,7 @@ NAMES = [
     "field_forward_bending_2d",
     "field_forward_bending_3d",
     "field_matvec_absolute_2d",
+    "field_matvec_absolute_3d",
 ]
 
 
