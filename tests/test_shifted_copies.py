@@ -14,6 +14,7 @@ NAMES = [
     "field_forward_bending_3d",
     "field_matvec_absolute_2d",
     "field_matvec_absolute_3d",
+    "field_matvec_bending_2d",
 ]
 
 
