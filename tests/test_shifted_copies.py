@@ -15,6 +15,7 @@ NAMES = [
     "field_matvec_absolute_2d",
     "field_matvec_absolute_3d",
     "field_matvec_bending_2d",
+    "field_matvec_membrane_2d",
 ]
 
 
