@@ -16,6 +16,7 @@ NAMES = [
     "field_matvec_absolute_3d",
     "field_matvec_bending_2d",
     "field_matvec_membrane_2d",
+    "field_matvec_bending_3d",
 ]
 
 
