@@ -18,6 +18,7 @@ NAMES = [
     "field_matvec_membrane_2d",
     "field_matvec_bending_3d",
     "field_matvec_rls_2d",
+    "field_matvec_membrane_3d",
 ]
 
 
