@@ -19,6 +19,7 @@ NAMES = [
     "field_matvec_bending_3d",
     "field_matvec_rls_2d",
     "field_matvec_membrane_3d",
+    "field_matvec_rls_3d",
 ]
 
 
