@@ -21,6 +21,7 @@ NAMES = [
     "field_matvec_membrane_3d",
     "field_matvec_rls_3d",
     "field_matvec_rls_channels_2d",
+    "field_matvec_rls_channels_3d",
 ]
 
 
