@@ -22,6 +22,7 @@ NAMES = [
     "field_matvec_rls_3d",
     "field_matvec_rls_channels_2d",
     "field_matvec_rls_channels_3d",
+    "field_relax_membrane_3d",
 ]
 
 
