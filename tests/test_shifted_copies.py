@@ -24,6 +24,7 @@ NAMES = [
     "field_matvec_rls_channels_3d",
     "field_relax_membrane_3d",
     "field_submatvec_bending_2d",
+    "field_submatvec_bending_3d",
 ]
 
 
