@@ -10,6 +10,7 @@ from tests.test_queries import SF, listed
 NAMES = [
     "field_addmatvec_bending_3d",
     "field_cg",
+    "field_diag_rls_2d",
     "field_diag_rls_3d",
     "field_forward_bending_2d",
     "field_forward_bending_3d",
