@@ -12,6 +12,7 @@ NAMES = [
     "field_cg",
     "field_diag_rls_2d",
     "field_diag_rls_3d",
+    "field_diag_rls_channels_2d",
     "field_forward_bending_2d",
     "field_forward_bending_3d",
     "field_matvec_absolute_2d",
