@@ -14,6 +14,7 @@ NAMES = [
     "field_diag_rls_3d",
     "field_diag_rls_channels_2d",
     "field_forward_bending_2d",
+    "field_diag_rls_channels_3d",
     "field_forward_bending_3d",
     "field_matvec_absolute_2d",
     "field_matvec_absolute_3d",
