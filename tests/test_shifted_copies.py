@@ -29,6 +29,7 @@ NAMES = [
     "field_relax_membrane_3d",
     "field_submatvec_bending_2d",
     "field_submatvec_bending_3d",
+    "flow_addmatvec_all_2d",
 ]
 
 
