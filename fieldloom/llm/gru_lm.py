@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -48,6 +49,8 @@ PILOT_RATE, RATE = 1e-2, 4e-3
 SEED = 5
 #: How many weights are added up by one task.
 ADDED_BY_ONE = 64
+#: Rows of a softmax that are worked on at once, so that they stay in the cache, and the least log-probability.
+LAYER_ROWS, LEAST = 1024, np.float32(np.log(1e-30))
 _BINS_PER_OCTAVE = 32
 #: The token that ends each document; words aren't empty.
 END = b""
@@ -198,71 +201,93 @@ class Gru:
     def run(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, save: bool = False) -> tuple[np.ndarray, list]:
         """States after each of the T steps of (T, B) words; ``keep`` is 0 where a document begins.  ``h`` has B rows at least; active rows are overwritten."""
         n, steps = self.state, len(x)
-        gates, u = self.w["x"][x], self.w["u"]
+        # the two gates and the candidate are planes of their own, so that each is one stretch of memory; the gates are negated for exp
+        gates, u = (np.ascontiguousarray(w.reshape(-1, 3, n).transpose(1, 0, 2)) for w in (self.w["x"], self.w["u"]))
+        for w in (gates, u):
+            np.negative(w[:2], out=w[:2])
+        gates = np.take(gates, x, axis=1)
         states, saved = np.empty((steps, x.shape[1], n), np.float32), []
         now, keeps = h[: x.shape[1]].copy(), keep.all(axis=1)
         for t in range(steps):
             before = now if keeps[t] else now * keep[t][:, None]
-            g, hg = gates[t], before @ u
-            zr = g[:, : 2 * n] + hg[:, : 2 * n]
-            np.negative(zr, out=zr)
+            hg = np.matmul(before, u)
+            zr = hg[:2]
+            zr += gates[:2, t]
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            cand = zr[:, n:] * hg[:, 2 * n :]
-            cand += g[:, 2 * n :]
+            cand = zr[1] * hg[2]
+            cand += gates[2, t]
             np.tanh(cand, out=cand)
             now = states[t]
             np.subtract(before, cand, out=now)
-            now *= zr[:, :n]
+            now *= zr[0]
             now += cand
             if save:
-                saved.append((before, zr, cand, hg[:, 2 * n :]))
+                saved.append((before, hg, cand))
         h[: x.shape[1]] = now
         return states, saved
 
     @staticmethod
-    def _softmax(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        out = states @ weights
-        out += bias
-        with np.errstate(over="ignore", invalid="ignore"):
-            np.exp(out, out=out)
-            sums = out @ np.ones(out.shape[1], out.dtype)
-        if not (np.isfinite(sums).all() and sums.all()):  # beyond what exp can hold
-            out = states @ weights + bias
-            out = np.exp(out - out.max(1, keepdims=True))
-            sums = out.sum(1)
-        out *= (1 / sums)[:, None]
-        return out
+    def _layer(states: np.ndarray, weights: np.ndarray, y: np.ndarray, grad: np.ndarray | None = None, back: np.ndarray | None = None) -> np.ndarray:
+        """Natural log-probabilities of the places ``y`` in softmaxes; states end in a column of ones, weights in the biases' row.  With ``grad``, adds to it and to ``back``.
+
+        Rows are taken so few at once that they stay in the cache.  Exponentials aren't
+        divided by their sums; what they are multiplied with is.
+        """
+        found, ones = np.empty(len(y), np.float32), np.ones(weights.shape[1], np.float32)
+        transposed = np.ascontiguousarray(weights[:-1].T) if grad is not None else None
+        for a in range(0, len(y), LAYER_ROWS):
+            s, at = states[a : a + LAYER_ROWS], y[a : a + LAYER_ROWS]
+            rows = np.arange(len(at))
+            out = s @ weights
+            own = out[rows, at]
+            with np.errstate(over="ignore", invalid="ignore"):
+                np.exp(out, out=out)
+                sums = out @ ones
+            if not (np.isfinite(sums).all() and sums.all()):  # beyond what exp can hold
+                out = s @ weights
+                most = out.max(1)
+                own = own - most
+                out -= most[:, None]
+                np.exp(out, out=out)
+                sums = out @ ones
+            found[a : a + LAYER_ROWS] = own - np.log(sums)
+            if grad is not None:
+                out[rows, at] -= sums
+                parts = (1 / sums)[:, None]
+                grad += (s * parts).T @ out
+                moved = out @ transposed
+                moved *= parts
+                back[a : a + LAYER_ROWS] += moved
+        return np.maximum(found, LEAST, out=found)
 
     def outputs(self, states: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of the targets given (N, H) states; with ``grads``, adds to them and returns the states' gradients."""
-        n = len(target)
+        n = self.state
         of = np.where(target < self.words, target // self.class_words, target - self.words + self.classes).astype(np.uint16)
         order = np.argsort(of, kind="stable")  # by class, so that each class is one stretch
-        states, target, of = states[order], target[order], of[order]
-        p = self._softmax(states, self.w["wc"], self.w["bc"])
-        rows = np.arange(n)
-        found = np.log(np.maximum(p[rows, of], 1e-30))
-        back = None
-        if grads is not None:
-            p[rows, of] -= 1
-            grads["wc"] += states.T @ p
-            grads["bc"] += p.sum(0)
-            back = p @ self.w["wc"].T
+        target, of = target[order], of[order]
+        ended = np.empty((len(target), n + 1), np.float32)
+        ended[:, :n] = states[order]
+        ended[:, n] = 1
+        back = np.zeros((len(target), n), np.float32) if grads is not None else None
+
+        def layer(w: str, b: str, k: tuple, a: int, e: int, y: np.ndarray) -> np.ndarray:
+            weights = np.concatenate([self.w[w][k], self.w[b][k][None]])
+            if grads is None:
+                return self._layer(ended[a:e], weights, y)
+            grad = np.zeros_like(weights)
+            found = self._layer(ended[a:e], weights, y, grad, back[a:e])
+            grads[w][k] += grad[:n]
+            grads[b][k] += grad[n]
+            return found
+
+        found = layer("wc", "bc", (), 0, len(target), of)
         edges = np.searchsorted(of, np.arange(self.classes + 1)).tolist()
         for k, (a, b) in enumerate(zip(edges, edges[1:])):
-            if a == b:
-                continue
-            s, y = states[a:b], target[a:b] - k * self.class_words
-            q = self._softmax(s, self.w["ww"][k], self.w["bw"][k])
-            own = rows[: b - a]
-            found[a:b] += np.log(np.maximum(q[own, y], 1e-30))
-            if grads is not None:
-                q[own, y] -= 1
-                grads["ww"][k] += s.T @ q
-                grads["bw"][k] += q.sum(0)
-                back[a:b] += q @ self.w["ww"][k].T
+            if a < b:
+                found[a:b] += layer("ww", "bw", (k,), a, b, target[a:b] - k * self.class_words)
         out = np.empty_like(found)
         out[order] = found
         if back is not None:
@@ -274,35 +299,43 @@ class Gru:
     def backward(self, x: np.ndarray, keep: np.ndarray, saved: list, back: np.ndarray, grads: dict[str, np.ndarray]) -> None:
         """Backpropagation through the steps of one window."""
         n, (steps, width) = self.state, x.shape
-        gx, gh, befores = np.empty((steps, width, 3 * n), np.float32), np.empty((steps, width, 3 * n), np.float32), np.empty((steps, width, n), np.float32)
-        ut, dh, keeps = np.ascontiguousarray(self.w["u"].T), np.zeros((width, n), back.dtype), keep.all(axis=1)
+        # planes as in run; the candidate's has one gradient for the word's row and one for the state's product
+        gx, gh, befores = np.empty((steps, width, n), np.float32), np.empty((3, steps, width, n), np.float32), np.empty((steps, width, n), np.float32)
+        ut, dh, keeps = np.ascontiguousarray(self.w["u"].reshape(n, 3, n).transpose(1, 2, 0)), np.zeros((width, n), np.float32), keep.all(axis=1)
         for t in range(steps - 1, -1, -1):
-            before, zr, cand, hg = saved[t]
-            z, r = zr[:, :n], zr[:, n:]
+            before, hg, cand = saved[t]
+            z, r = hg[0], hg[1]
             dh += back[t]
             dz = dh * z
-            g, da, slope = gx[t], gx[t, :, 2 * n :], cand * cand
+            da, slope = gx[t], cand * cand
             np.subtract(1, slope, out=slope)
             np.subtract(dh, dz, out=da)  # dh (1 - z)
             da *= slope
-            np.subtract(before, cand, out=g[:, :n])
-            g[:, :n] *= dz
-            g[:, :n] *= 1 - z
-            dr = gh[t, :, 2 * n :]
+            g = gh[0, t]
+            np.subtract(before, cand, out=g)
+            g *= dz
+            np.subtract(1, z, out=slope)
+            g *= slope
+            g, dr = gh[1, t], gh[2, t]
             np.multiply(da, r, out=dr)
-            np.multiply(dr, hg, out=g[:, n : 2 * n])
-            g[:, n : 2 * n] *= 1 - r
-            gh[t, :, : 2 * n] = g[:, : 2 * n]
+            np.multiply(dr, hg[2], out=g)
+            np.subtract(1, r, out=slope)
+            g *= slope
             befores[t] = before
-            dh = gh[t] @ ut
-            dh += dz
+            moved = np.matmul(gh[:, t], ut)
+            dh = dz
+            for m in moved:
+                dh += m
             if not keeps[t]:
                 dh *= keep[t][:, None]
-        grads["u"] += befores.reshape(-1, n).T @ gh.reshape(-1, 3 * n)
         flat = x.ravel().astype(np.uint16)
         order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
-        grads["x"][flat[order][first]] += np.add.reduceat(gx.reshape(-1, 3 * n)[order], first, axis=0)
+        ordered = flat[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        given, befores = ordered[first], befores.reshape(-1, n).T
+        for k, (word, product) in enumerate(((gh[0], gh[0]), (gh[1], gh[1]), (gx, gh[2]))):
+            grads["u"][:, k * n : (k + 1) * n] += befores @ product.reshape(-1, n)
+            grads["x"][given, k * n : (k + 1) * n] += np.add.reduceat(word.reshape(-1, n)[order], first, axis=0)
 
 
 def streams_of(sizes: np.ndarray, most: int = STREAMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -434,7 +467,7 @@ def encoded(docs: DataFrame, table: WordTable, model_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        place = dict(zip(table.words, range(len(table.words))))
+        listed_words = pa.array(table.words, pa.large_binary())
         share = np.append(np.log10(table.counts + 0.1), 0.0)
         whole = np.log10(table.total + 0.1 * (table.distinct + 1))
         totals, distinct = table.rest(model_words)
@@ -444,7 +477,7 @@ def encoded(docs: DataFrame, table: WordTable, model_words: int) -> DataFrame:
             for batch in pieces(whole_batch, "text", READ_BYTES):
                 at = batch.schema.get_field_index
                 tokens = tokens_of(*text_values(batch.column(at("text"))))
-                places = np.array([place.get(w, -1) for w in tokens.distinct.to_pylist()], np.int64)
+                places = np.asarray(pc.fill_null(pc.index_in(tokens.distinct, value_set=listed_words), -1)).astype(np.int64)
                 edges = np.concatenate([[0], np.cumsum(tokens.sizes)])
                 summed = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x[tokens.numbers], dtype=np.float64)])[edges])  # noqa: E731, B023
                 own = share[places]  # of a place of -1 the last, which is 0
